@@ -1 +1,20 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = ("sampling", "lookalike", "grouped_split", "langid", "packing")
+
+
+def _modules() -> list:
+    return [import_module(f"{__name__}.{m}") for m in MODULES]
+
+
+def queries() -> dict:
+    """All pN_ queries of the subpackage."""
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in _modules() for k, s in m.SQL.items()}
