@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sampling", "lookalike", "grouped_split", "langid", "packing")
+MODULES = ("sampling", "lookalike", "grouped_split", "split_overlap", "langid", "packing")
 
 
 def _modules() -> list:
