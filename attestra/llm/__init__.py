@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sampling", "lookalike", "grouped_split", "split_overlap", "langid", "packing", "leakage")
+MODULES = ("sampling", "lookalike", "grouped_split", "split_overlap", "langid", "packing", "leakage", "personal")
 
 
 def _modules() -> list:
