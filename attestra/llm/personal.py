@@ -81,7 +81,7 @@ class NameScores:
     given: set[str]
     family: set[str]
     floor: dict[str, float] = field(default_factory=dict)
-    memo: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    memo: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
     @staticmethod
     def fit(names: list[tuple[str, str]], texts: list[str]) -> NameScores:
@@ -100,14 +100,13 @@ class NameScores:
                 total = sum(mine.values()) + 1
                 odds[kind, k] = {g: math.log((mine[g] + 0.05) / total) - math.log((other[g] + 0.5) / n_other) for g in mine}
         out = NameScores(fold, odds, dict(common), parts["given"], parts["family"])
-        # scores below nearly all of the known names, each scored without itself
+        # no known name, scored without itself, ends less like a name than this
         for i, kind in enumerate(("given", "family")):
-            known = sorted(out.of(n)[i] for n in parts[kind])
-            out.floor[kind] = known[len(known) // 50] if known else math.inf
+            out.floor[kind] = min((out.of(n)[3 + i] for n in parts[kind]), default=math.inf)
         return out
 
-    def of(self, word: str) -> tuple[float, float, float]:
-        """(given, family, log of the documents of the sample that hold the word)."""
+    def of(self, word: str) -> tuple[float, ...]:
+        """(given, family, log of the documents of the sample that hold the word, given and family by the end of the word alone)."""
         w = word.lower()
         got = self.memo.get(w)
         if got is None:
@@ -115,8 +114,8 @@ class NameScores:
                 self.memo.clear()
             gs = _grams(w)
             use = (1 - self.fold[w],) if w in self.fold else (0, 1)
-            s = [sum(self.odds[kind, k].get(g, -3.0) for k in use for g in gs) / (len(use) * len(gs)) for kind in ("given", "family")]
-            got = self.memo[w] = (s[0], s[1], math.log1p(self.common.get(w, 0)))
+            s = [sum(self.odds[kind, k].get(g, -3.0) for k in use for g in part) / (len(use) * len(part)) for part in (gs, gs[-3:]) for kind in ("given", "family")]
+            got = self.memo[w] = (s[0], s[1], math.log1p(self.common.get(w, 0)), s[2], s[3])
         return got
 
 
@@ -190,9 +189,9 @@ def features(text: str, span: Span, names: NameScores) -> list[float]:
         first, last = ws[0], ws[-1]
         g, f = names.of(first), names.of(last)
         upper = sum(w[0].isupper() or ord(w[0]) > 0x900 for w in ws)
-        x += [g[0], f[1], f[0] - f[1], g[2], f[2], is_initial(s, first.lower()), first.lower() in TITLES, upper, bool(_PLACE.match(after)), "\n" in s]
+        x += [g[0], f[1], g[3], f[4], f[3] - f[4], g[2], f[2], is_initial(s, first.lower()), first.lower() in TITLES, upper, bool(_PLACE.match(after)), "\n" in s]
     else:
-        x += [0.0] * 10
+        x += [0.0] * 12
     if kind == "address":
         inside = s[: -len(groups[-1])] if groups else s
         x += [len(_STREET.findall(s)), bool(re.match(HOUSE, s)), bool(re.search(rf"(?:{HOUSE})\s*$", text[max(0, a - 8) : a])), len(_STOP.findall(re.sub(r"H\.\s?No\.|No\.", "", s))), s.count(","), len([g for g in groups if len(g) > 2]), bool(re.match(r"\d+(st|nd|rd|th)", s)), len(re.findall(r"(?<![\w/])\d+(?![\w/])", inside))]
@@ -240,13 +239,13 @@ def weak_label(text: str, span: Span, names: NameScores) -> int | None:
         return int(bool(starts) and starts[0] == a and not earlier)
     ws = [w.lower() for w in _WORD.findall(s)]
     given, family = ws[0] in names.given, ws[-1] in names.family
-    if _PLACE.match(after) or ws[0] in TITLES or names.of(ws[-1])[1] < names.floor["family"]:
+    if _PLACE.match(after) or ws[0] in TITLES:
         return 0
-    if is_initial(s, ws[0]):
-        return 1 if family else None
-    if given and family:
+    if family and (given or is_initial(s, ws[0])):
         return 1
-    return 0 if names.of(ws[0])[0] < names.floor["given"] else None
+    if names.of(ws[-1])[4] < names.floor["family"]:
+        return 0
+    return 0 if not is_initial(s, ws[0]) and names.of(ws[0])[3] < names.floor["given"] else None
 
 
 def is_initial(span: str, first: str) -> bool:
