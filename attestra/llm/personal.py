@@ -57,6 +57,9 @@ _GROUP = re.compile(r"\d+")
 _IDENT = re.compile(r"(?<![\w-])(?:[A-Za-z]\d{7}|[A-Za-z]{5}\d{4}[A-Za-z])(?![\w-])")
 _POSTAL = re.compile(r"(?<!\d)(?<!\d[ -])\d{3}[ \n]?\d{3}(?![ -]?\d)")
 _HOUSE = re.compile(rf"(?:(?<!\w)(?P<word>{HOUSE})\s*)?(?<![\w/.-])(?P<number>\d{{1,4}}(?:[A-Za-z]|/\d{{1,3}})?)(?=[,\s])")
+#: A word, or up to four letters and a full stop, and one blank before the place where a family name starts.
+_PAIR = re.compile(_WORD.pattern + r"(?:\s|(?<![A-Za-zÀ-ɏऀ-ॣॱ-ॿஂ-்]{5})\.\s?)\Z")
+WORD_CHARS = 48
 ADDRESS_CHARS = 130
 _STOP = re.compile(r"[.!?।]\s|\n\s*\n")
 _LINE_OF_NUMBER = re.compile(r"\d\n")
@@ -105,6 +108,10 @@ class NameScores:
             out.floor[kind] = min((out.of(n)[3 + i] for n in parts[kind]), default=math.inf)
         return out
 
+    def may_end(self, word: str) -> bool:
+        """Whether a word could be a family name by its end; lets through more than any known name needs."""
+        return len(word) > 3 and self.of(word)[4] >= self.floor["family"] - 0.7
+
     def of(self, word: str) -> tuple[float, ...]:
         """(given, family, log of the documents of the sample that hold the word, given and family by the end of the word alone)."""
         w = word.lower()
@@ -153,14 +160,13 @@ def candidates(text: str, names: NameScores) -> list[Span]:
             out.append(("address", h.start(), m.end()))
             if h["word"]:
                 out.append(("address", h.start("number"), m.end()))
-    before: re.Match | None = None
-    for m in _WORD.finditer(text):
-        if before is not None and m.end() - m.start() > 3 and names.of(m.group())[1] > -1.2:
-            gap = text[before.end() : m.start()]
-            initial = before.end() - before.start() <= 4 and gap.startswith(".") and not gap[1:].strip()
-            if gap.isspace() or initial:
-                out.append(("person", before.start(), m.end()))
-        before = m
+    for w in {w for w in set(_WORD.findall(text)) if names.may_end(w)}:
+        at = text.find(w)
+        while at >= 0:
+            m = _PAIR.search(text, max(0, at - WORD_CHARS), at)
+            if m and not _WORD.match(text, at + len(w)):
+                out.append(("person", m.start(), at + len(w)))
+            at = text.find(w, at + 1)
     return out
 
 
@@ -259,20 +265,23 @@ class Finder:
     trees: Boosted
     threshold: dict[str, float]
 
-    def spans(self, text: str) -> list[tuple[str, int, int, float]]:
-        """The accepted spans of a text, in order, none overlapping another."""
-        found = candidates(text, self.names)
-        if not found:
-            return []
-        found = list(dict.fromkeys(found))
-        p = self.trees.probability(np.array([features(text, s, self.names) for s in found]))
-        order = sorted((i for i in range(len(found)) if p[i] >= self.threshold[found[i][0]]), key=lambda i: (-round(p[i], 6), found[i][1] - found[i][2]))
-        kept: list[tuple[str, int, int, float]] = []
-        for i in order:
-            kind, a, b = found[i]
-            if all(b <= x or a >= y for _, x, y, _ in kept):
-                kept.append((kind, a, b, float(p[i])))
-        return sorted(kept, key=lambda k: k[1])
+    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+        """The accepted spans of each text, in order, none overlapping another; all candidates of a batch are judged at once."""
+        found = [list(dict.fromkeys(candidates(t, self.names))) for t in texts]
+        rows = [features(t, s, self.names) for t, ss in zip(texts, found) for s in ss]
+        p = self.trees.probability(np.array(rows)) if rows else np.zeros(0)
+        out, at = [], 0
+        for ss in found:
+            mine = p[at : at + len(ss)]
+            at += len(ss)
+            order = sorted((i for i in range(len(ss)) if mine[i] >= self.threshold[ss[i][0]]), key=lambda i: (-round(mine[i], 6), ss[i][1] - ss[i][2], ss[i]))
+            kept: list[tuple[str, int, int, float]] = []
+            for i in order:
+                kind, a, b = ss[i]
+                if all(b <= x or a >= y for _, x, y, _ in kept):
+                    kept.append((kind, a, b, float(mine[i])))
+            out.append(sorted(kept, key=lambda k: k[1]))
+        return out
 
 
 def fit(texts: list[str], names: list[tuple[str, str]]) -> Finder:
@@ -337,8 +346,8 @@ def find(docs: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
         f = shared.value
         for s in batches:
             rows = []
-            for t in s.fillna("").tolist():
-                spans = f.spans(t)
+            texts = s.fillna("").tolist()
+            for t, spans in zip(texts, f.spans(texts)):
                 out, at = [], 0
                 for kind, a, b, _ in spans:
                     out += [t[at:a], f"[{kind.upper()}]"]
