@@ -193,9 +193,10 @@ def features(text: str, span: Span, names: NameScores) -> list[float]:
     if kind == "person":
         ws = _WORD.findall(s)
         first, last = ws[0], ws[-1]
-        g, f = names.of(first), names.of(last)
+        initial = is_initial(s, first.lower())
+        g, f = ((0.0,) * 5 if initial else names.of(first)), names.of(last)
         upper = sum(w[0].isupper() or ord(w[0]) > 0x900 for w in ws)
-        x += [g[0], f[1], g[3], f[4], f[3] - f[4], g[2], f[2], is_initial(s, first.lower()), first.lower() in TITLES, upper, bool(_PLACE.match(after)), "\n" in s]
+        x += [g[0], f[1], g[3], f[4], f[3] - f[4], g[2], f[2], initial, first.lower() in TITLES, upper, bool(_PLACE.match(after)), "\n" in s]
     else:
         x += [0.0] * 12
     if kind == "address":
