@@ -186,9 +186,9 @@ def features(text: str, span: Span, names: NameScores) -> list[float]:
     groups = [g.group() for g in _GROUP.finditer(s)]
     seps = {c for c in s if c in " \n-.()"}
     left, right = text[max(0, a - 2) : a], text[b : b + 2]
-    digits = "".join(groups)
+    digits, numeric = "".join(groups), kind in ("phone", "identity")
     x += [len(digits), len(groups), *[len(g) for g in (groups + ["", "", "", ""])[:4]], s.startswith("+"), "(" in s, (" " in seps or "\n" in seps) + 2 * ("-" in seps) + 4 * ("." in seps)]
-    x += [int(digits[0]) if digits else -1, bool(re.search(r"\d[ .\-(]?$|\+$", left)), bool(re.match(r"[ .\-]?\d", right)), sum(c.isalpha() for c in s), b - a]
+    x += [int(digits[0]) if digits else -1, numeric and bool(re.search(r"\d[ .\-(]?\Z|\+\Z", left)), numeric and bool(re.match(r"[ .\-]?\d", right)), sum(c.isalpha() for c in s), b - a]
     x += [digits.startswith("00"), len(digits) >= 7 and "555" in groups, "." in s.rpartition("@")[2] or "dot" in s.lower()]
     if kind == "person":
         ws = _WORD.findall(s)
@@ -201,7 +201,7 @@ def features(text: str, span: Span, names: NameScores) -> list[float]:
         x += [0.0] * 12
     if kind == "address":
         inside = s[: -len(groups[-1])] if groups else s
-        x += [len(_STREET.findall(s)), bool(re.match(HOUSE, s)), bool(re.search(rf"(?:{HOUSE})\s*$", text[max(0, a - 8) : a])), len(_STOP.findall(re.sub(r"H\.\s?No\.|No\.", "", s))), s.count(","), len([g for g in groups if len(g) > 2]), bool(re.match(r"\d+(st|nd|rd|th)", s)), len(re.findall(r"(?<![\w/])\d+(?![\w/])", inside))]
+        x += [len(_STREET.findall(s)), bool(re.match(HOUSE, s)), bool(re.search(rf"(?:{HOUSE})\s*\Z", text[max(0, a - 8) : a])), len(_STOP.findall(re.sub(r"H\.\s?No\.|No\.", "", s))), s.count(","), len([g for g in groups if len(g) > 2]), bool(re.match(r"\d+(st|nd|rd|th)", s)), len(re.findall(r"(?<![\w/])\d+(?![\w/])", inside))]
     else:
         x += [0.0] * 8
     for k in ("other", "phone", "identity", "address"):
@@ -219,7 +219,7 @@ def weak_label(text: str, span: Span, names: NameScores) -> int | None:
     kind, a, b = span
     s = text[a:b]
     before, after = context(text, a, b)
-    whole = not re.search(r"\d[ .\-]?$|\+$", text[max(0, a - 2) : a]) and not re.match(r"[ .\-]?\d", text[b : b + 2])
+    whole = not re.search(r"\d[ .\-]?\Z|\+\Z", text[max(0, a - 2) : a]) and not re.match(r"[ .\-]?\d", text[b : b + 2])
     if kind == "email":
         return int(bool(re.search(r"(?:@|\[at\]|\(at\))\s?[\w-]+\s?(?:\.|\[dot\]|\(dot\))\s?\w{2,}$", s, re.I)))
     if kind in ("phone", "identity"):
@@ -239,7 +239,7 @@ def weak_label(text: str, span: Span, names: NameScores) -> int | None:
         return int(mine == kind)
     if kind == "address":
         inner = re.sub(r"H\.\s?No\.|No\.", "", s)
-        if _STOP.search(inner) or re.search(rf"(?:{HOUSE})\s*$", text[max(0, a - 8) : a]) or not _STREET.search(s):
+        if _STOP.search(inner) or re.search(rf"(?:{HOUSE})\s*\Z", text[max(0, a - 8) : a]) or not _STREET.search(s):
             return 0
         starts = [h.start() for h in _HOUSE.finditer(text, a, b - 6)]
         earlier = [h for h in _HOUSE.finditer(text, max(0, a - 14), a) if not _STOP.search(text[h.start() : a].replace("No.", ""))]
