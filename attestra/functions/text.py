@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
 
 
-@F.arrow_udf("string")
-def nfc(texts: pa.Array) -> pa.Array:
-    """Unicode composition (NFC), vectorised by Arrow."""
-    return pc.utf8_normalize(texts, form="NFC")
+def _composed(text: str | None) -> str | None:
+    return text if text is None or text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+def nfc(text: Column) -> Column:
+    """Unicode composition (NFC) in Arrow batches; Arrow's own kernel leaves two-part Tamil vowel signs apart, so it is not used."""
+
+    @F.arrow_udf("string")
+    def compose(texts: pa.Array) -> pa.Array:
+        return pa.array([_composed(t) for t in texts.to_pylist()], pa.string())
+
+    return compose(text)
 
 
 def normalize(text: Column) -> Column:
@@ -77,7 +86,7 @@ def estimate_tokens(text: Column, language: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of a normalised text; a full stop after an abbreviation or a single letter ends none."""
     ends = r"(?<=[.!?।॥])\s+|(?<=[.!?])(?=[A-Zऀ-ॿ஀-௿])"
-    parts = F.filter(F.transform(F.split(text, ends), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ends), lambda p: F.trim(p)), lambda p: p != "")
     short = F.array(*[F.lit(a) for a in L.ABBREVIATIONS])
 
     def closed(p: Column) -> Column:
@@ -85,7 +94,7 @@ def sentences(text: Column) -> Column:
         return F.when(p.endswith(".") & (F.array_contains(short, last) | last.rlike(r"^\p{L}$")), F.concat(p, F.lit(" "))).otherwise(F.concat(p, F.lit("\u0001")))
 
     joined = F.rtrim(F.array_join(F.transform(parts, closed), ""))
-    return F.filter(F.transform(F.split(joined, "\u0001"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(joined, "\u0001"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def stop_words(language: Column) -> Column:

@@ -24,7 +24,7 @@ def decompose(answer: Column, language: Column) -> Column:
 
     def parts(s: Column) -> Column:
         cut = X.per_language(language, {k: F.split(s, p) for k, p in L.CONNECTIVES.items()}, F.array(s))
-        cut = F.transform(cut, F.trim)
+        cut = F.transform(cut, lambda p: F.trim(p))
         return F.when((F.size(cut) > 1) & F.forall(cut, said), cut).otherwise(F.array(s))
 
     claims = F.filter(F.flatten(F.transform(X.sentences(X.normalize(answer)), parts)), said)
