@@ -106,5 +106,5 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     sentences = F.filter(F.flatten(F.transform(clean, X.sentences)), lambda s: s != "")
     cut = F.transform(sentences, lambda s: F.split(s, r"(?<=[,;:।])\s+"))
     rows = docs.where(F.length(F.trim(F.col(text))) > 0).select(key, F.col(language).alias("language"), packed(cut, rate).alias("parts"))
-    rows = rows.select(key, "language", F.size("parts").alias("n_chunks"), F.posexplode("parts").alias("chunk_index", "text"))
+    rows = rows.select(key, "language", F.size("parts").alias("n_chunks"), F.posexplode_outer("parts").alias("chunk_index", "text")).where("text IS NOT NULL")
     return rows.select(key, F.concat(F.col(key).cast("string"), F.lit("#c"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "n_chunks", X.estimate_tokens(F.col("text"), F.col("language")).alias("est_tokens"), "text", "language")

@@ -59,20 +59,27 @@ def inflated(claims: Column, answer: Column) -> Column:
 def claim_rows(answers: DataFrame, key: str, answer: str, language: str) -> DataFrame:
     """(key, language, claim_ord, claim)."""
     rows = answers.select(key, F.col(language).alias("language"), decompose(F.col(answer), F.col(language)).alias("c"))
-    return rows.select(key, "language", F.posexplode("c").alias("claim_ord", "claim"))
+    # the outer form, as Catalyst would repeat the whole decomposition in a filter before the inner one
+    return rows.select(key, "language", F.posexplode_outer("c").alias("claim_ord", "claim")).where("claim IS NOT NULL")
 
 
-def evidence_sentences(chunks: DataFrame, languages: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, language, sentences): what the keyword check needs of each chunk, for each language of a claim, computed once per chunk and not per pair."""
+def stop_class(language: Column) -> Column:
+    """The language as far as terms depend on it: its code where it has stop-words, else ''."""
+    return F.when(language.isin(*L.STOP_WORDS), language).otherwise("")
+
+
+def evidence_sentences(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, stop_class, sentences): what the keyword check needs of each chunk, for each class of a claim's language, computed once per chunk and not per pair."""
     low = F.lower(F.col(text))
     parts = F.filter(F.split(low, r"(?<=[.!?।॥])\s+"), lambda s: F.trim(s) != "")
-    parts = F.when(F.size(parts) <= 1, F.array(low)).otherwise(parts)
-    rows = chunks.where(F.length(F.trim(text)) > 0).select(key, parts.alias("parts")).join(F.broadcast(languages.select("language").distinct()))
-    # terms are composed text; a sentence is composed with its chunk
-    one = lambda s: F.struct(
-        s.alias("sentence"), X.overlap_words(s).alias("words"), F.array_distinct(X.tokens(s, F.col("language"))).alias("topics"), numbers(s).alias("numbers"), negated(s).alias("negated")
-    )
-    return rows.select(key, "language", F.transform("parts", one).alias("sentences"))
+    rows = chunks.where(F.length(F.trim(text)) > 0).select(key, low.alias("_low"), parts.alias("_parts"))
+    rows = rows.select(key, F.when(F.size("_parts") <= 1, F.array("_low")).otherwise(F.col("_parts")).alias("_parts"))
+    rows = rows.withColumn("_own", F.transform("_parts", lambda s: F.struct(s.alias("sentence"), X.overlap_words(s).alias("words"), numbers(s).alias("numbers"), negated(s).alias("negated"))))
+    rows = rows.withColumn("stop_class", F.explode(F.array(*[F.lit(c) for c in (*L.STOP_WORDS, "")])))
+    topics = F.transform("_parts", lambda s: F.array_distinct(X.tokens(s, F.col("stop_class"))).alias("topics"))
+    rows = rows.withColumn("_topics", topics)
+    one = lambda s, t: F.struct(s["sentence"].alias("sentence"), s["words"].alias("words"), s["numbers"].alias("numbers"), s["negated"].alias("negated"), t.alias("topics"))
+    return rows.select(key, "stop_class", F.zip_with("_own", "_topics", one).alias("sentences"))
 
 
 def numbers(text: Column) -> Column:
@@ -84,17 +91,19 @@ def negated(text: Column) -> Column:
     return F.exists(F.array(*[F.lit(n) for n in L.NEGATIONS]), lambda n: text.contains(n))
 
 
-def keyword_scores(sentences: Column, claim: dict[str, Column]) -> Column:
-    """struct(entailment, contradiction, neutral) of a claim against a chunk's sentences, judged on the sentence that shares most words with it (the first of several)."""
-    scored = F.transform(sentences, lambda s, i: F.struct(X.share_of(s["words"], claim["words"]).alias("overlap"), (-i).alias("at"), s.alias("s")))
-    best = F.array_max(F.transform(scored, lambda x: F.struct(x["overlap"].alias("overlap"), x["at"].alias("at"))))
-    focus = F.element_at(sentences, 1 - best["at"])
-    overlap = best["overlap"]
-    odd_number = (F.size(claim["numbers"]) > 0) & (F.size(focus["numbers"]) > 0) & (F.size(F.array_except(claim["numbers"], focus["numbers"])) > 0)
-    topical = F.greatest(X.share_of(focus["topics"], claim["topics"]), overlap) >= 0.3
-    flipped = (overlap >= 0.5) & (focus["negated"] != claim["negated"])
-    triple = lambda e, c, n: F.struct(F.lit(e).alias("entailment"), F.lit(c).alias("contradiction"), F.lit(n).alias("neutral"))
-    return F.when((odd_number & topical) | flipped, triple(0.05, 0.85, 0.10)).when(overlap >= 0.6, triple(0.85, 0.05, 0.10)).when(overlap >= 0.3, triple(0.45, 0.10, 0.45)).otherwise(triple(0.10, 0.05, 0.85))
+def with_scores(pairs: DataFrame) -> DataFrame:
+    """pairs with `s`, struct(entailment, contradiction, neutral) of `claim_parts` against a chunk's `sentences`, judged on the sentence that shares most words with the claim (the first of several)."""
+    c = F.col("claim_parts")
+    ranked = F.transform("sentences", lambda s, i: F.struct(X.share_of(s["words"], c["words"]).alias("overlap"), (-i).alias("at")))
+    rows = pairs.withColumn("_best", F.array_max(ranked))
+    rows = rows.withColumn("_focus", F.element_at("sentences", 1 - F.col("_best.at"))).drop("sentences")
+    focus, overlap = F.col("_focus"), F.col("_best.overlap")
+    odd_number = (F.size(c["numbers"]) > 0) & (F.size(focus["numbers"]) > 0) & (F.size(F.array_except(c["numbers"], focus["numbers"])) > 0)
+    topical = F.greatest(X.share_of(focus["topics"], c["topics"]), overlap) >= 0.3
+    flipped = (overlap >= 0.5) & (focus["negated"] != c["negated"])
+    triple = lambda e, x, n: F.struct(F.lit(e).alias("entailment"), F.lit(x).alias("contradiction"), F.lit(n).alias("neutral"))
+    scores = F.when((odd_number & topical) | flipped, triple(0.05, 0.85, 0.10)).when(overlap >= 0.6, triple(0.85, 0.05, 0.10)).when(overlap >= 0.3, triple(0.45, 0.10, 0.45)).otherwise(triple(0.10, 0.05, 0.85))
+    return rows.withColumn("s", scores).drop("_best", "_focus")
 
 
 def verdict(scores: Column, language: Column) -> Column:
@@ -115,14 +124,10 @@ def verify(claims: DataFrame, evidence: DataFrame, sentences: DataFrame, key: st
     if policy not in ("support", "contradiction"):
         raise ValueError(policy)
     low = F.lower("claim")
-    made = claims.withColumn("_c", F.struct(X.overlap_words(low).alias("words"), F.array_distinct(X.tokens(low, F.col("language"))).alias("topics"), numbers(low).alias("numbers"), negated(low).alias("negated")))
-    near = evidence.where(F.col("place") < MAX_CHUNKS)
-    # NULL languages meet as one
-    made = made.withColumn("_lang", F.coalesce("language", F.lit("")))
-    told = sentences.withColumn("_lang", F.coalesce("language", F.lit(""))).drop("language")
-    pairs = made.where(F.col("claim_ord") < MAX_CLAIMS).join(near, key).join(told, ["chunk_id", "_lang"])
-    part = {n: F.col(f"_c.{n}") for n in ("words", "topics", "numbers", "negated")}
-    scored = pairs.withColumn("s", keyword_scores(F.col("sentences"), part)).withColumn("v", verdict(F.col("s"), F.col("language")))
+    parts = F.struct(X.overlap_words(low).alias("words"), F.array_distinct(X.tokens(low, F.col("language"))).alias("topics"), numbers(low).alias("numbers"), negated(low).alias("negated"))
+    made = claims.where(F.col("claim_ord") < MAX_CLAIMS).select(key, "claim_ord", "language", stop_class(F.col("language")).alias("stop_class"), parts.alias("claim_parts"))
+    pairs = made.join(evidence.where(F.col("place") < MAX_CHUNKS), key).join(sentences, ["chunk_id", "stop_class"])
+    scored = with_scores(pairs).withColumn("v", verdict(F.col("s"), F.col("language")))
     own = F.when(F.col("v") == "SUPPORTED", F.col("s.entailment")).when(F.col("v") == "CONTRADICTED", F.col("s.contradiction")).otherwise(F.col("s.neutral"))
     pick = lambda v: F.max_by("s", F.when(F.col("v") == v, F.struct(own.alias("p"), (-F.col("place")).alias("at"))))
     cited = lambda v: F.transform(F.array_sort(F.collect_list(F.when(F.col("v") == v, F.struct("place", "chunk_id")))), lambda x: x["chunk_id"])

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df hash-partitioned by keys into as many parts as shuffles have. Before heavy expressions over small rows: a given number of parts is not coalesced by AQE, and joins and groupings by the same keys reuse it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def hash_place(df: DataFrame, keys: list[str], order: Column, place: str, tie: list[str], buckets: int = 1024) -> DataFrame:
     """df with the place of each row in its group, from 0, in the order of a hash (BIGINT), ties by the columns `tie`.
 

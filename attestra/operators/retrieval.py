@@ -16,9 +16,9 @@ from .ranking import top_k
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", language: str = "language") -> DataFrame:
-    """(language, key, term, tf, length): one row per term of a chunk. Terms are counted inside the row, so nothing is shuffled."""
+    """(language, key, term, tf, length): one row per term of a chunk. The outer explode keeps Catalyst from repeating the tokenizer in a filter before it."""
     terms = chunks.select(F.col(language), F.col(key), X.tokens(X.nfc(F.col(text)), F.col(language)).alias("terms"))
-    rows = terms.select(language, key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    rows = terms.select(language, key, F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
     return rows.groupBy(language, key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -42,9 +42,11 @@ def bm25_terms(queries: DataFrame, post: DataFrame, query: str = "query_id", lan
     queries has (query, language, terms ARRAY). The join is on (language, term): a term of many chunks is spread over
     tasks by AQE's skew split of the postings side.
     """
-    wanted = queries.select(query, language, F.explode(F.array_distinct("terms")).alias("term"))
+    wanted = queries.select(query, language, F.explode_outer(F.array_distinct("terms")).alias("term")).where("term IS NOT NULL")
     stats = chunk_statistics(post, language)
-    hits = wanted.join(post, [language, "term"]).join(term_statistics(post, language), [language, "term"]).join(F.broadcast(stats), language)
+    # weights meet the few query terms before those meet the many postings
+    weighted = wanted.join(term_statistics(post, language), [language, "term"]).join(F.broadcast(stats), language)
+    hits = weighted.join(post, [language, "term"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     return hits.select(query, "chunk_id", "term", part.alias("contribution")).where("contribution > 0")
 
@@ -116,7 +118,7 @@ def fuse(rankings: DataFrame, query: str = "query_id", item: str = "chunk_id", k
 
 def hybrid(lexical: DataFrame, dense: DataFrame, k: int = 5, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """(query, item, lexical, dense, fused, place): two candidate lists fused, the k best kept with the score each list gave (0 where it gave none)."""
-    both = lexical.select(query, item, F.lit(0).alias("list_no"), "place", "score").unionByName(dense.select(query, item, F.lit(1).alias("list_no"), "place", "score"))
+    both = lexical.select(query, item, F.lit(0).alias("list_no"), "place", "score").unionByName(dense.select(query, item, F.lit(1).alias("list_no"), "place", "score")).persist()
     given = both.groupBy(query, item).agg(F.coalesce(F.max(F.when(F.col("list_no") == 0, F.col("score"))), F.lit(0.0)).alias("lexical"), F.coalesce(F.max(F.when(F.col("list_no") == 1, F.col("score"))), F.lit(0.0)).alias("dense"))
     return fuse(both, query, item).where(F.col("place") < k).join(given, [query, item])
 

@@ -154,17 +154,17 @@ def evidence_words(text: Column) -> Column:
     return F.filter(ws, lambda w: w.rlike(r"\p{N}") | ((F.length(w) >= 3) & ~F.array_contains(stop, w)))
 
 
-def evidence_difference(passage: Column, claim: Column) -> Column:
-    """struct(sentence, hits, extra): the passage's sentence with most words of the claim (repeats count, the first of several), and its numbers and negations that the claim lacks."""
-    mine = F.array_distinct(evidence_words(claim))
-    said = F.regexp_extract_all(F.lower(claim), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
-    parts = F.filter(F.split(passage, r"(?<=[.!?।॥])\s+"), lambda s: F.trim(s) != "")
-    scored = F.transform(parts, lambda s, i: F.struct(F.size(F.filter(evidence_words(s), lambda w: F.array_contains(mine, w))).alias("hits"), (-i).alias("at")))
-    best = F.array_max(scored)
-    sentence = F.element_at(parts, 1 - best["at"])
+def evidence_difference(pairs: DataFrame, passage: str, claim: str) -> DataFrame:
+    """pairs with `x`, struct(sentence, hits, extra): the passage's sentence with most words of the claim (repeats count, the first of several), and its numbers and negations that the claim lacks; NULL if no sentence shares a word."""
+    word = F.lit(r"([\p{L}\p{M}\p{N}]+)")
+    rows = pairs.withColumn("_mine", F.array_distinct(evidence_words(F.col(claim)))).withColumn("_said", F.regexp_extract_all(F.lower(claim), word, 1))
+    rows = rows.withColumn("_parts", F.filter(F.split(passage, r"(?<=[.!?।॥])\s+"), lambda s: F.trim(s) != ""))
+    ranked = F.transform("_parts", lambda s, i: F.struct(F.size(F.filter(evidence_words(s), lambda w: F.array_contains("_mine", w))).alias("hits"), (-i).alias("at")))
+    rows = rows.withColumn("_best", F.array_max(ranked)).withColumn("_sentence", F.element_at("_parts", 1 - F.col("_best.at")))
     neg = F.array(*[F.lit(n) for n in L.EVIDENCE_NEGATIONS])
-    odd = F.filter(F.regexp_extract_all(F.lower(sentence), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1), lambda w: (w.rlike(r"^\p{N}+$") | F.array_contains(neg, w)) & ~F.array_contains(said, w))
-    return F.when((F.size(parts) > 0) & (best["hits"] > 0), F.struct(sentence.alias("sentence"), best["hits"].alias("hits"), F.array_distinct(odd).alias("extra")))
+    odd = F.filter(F.regexp_extract_all(F.lower("_sentence"), word, 1), lambda w: (w.rlike(r"^\p{N}+$") | F.array_contains(neg, w)) & ~F.array_contains("_said", w))
+    x = F.when(F.col("_best.hits") > 0, F.struct(F.col("_sentence").alias("sentence"), F.col("_best.hits").alias("hits"), F.array_distinct(odd).alias("extra")))
+    return rows.withColumn("x", x).drop("_mine", "_said", "_parts", "_best", "_sentence")
 
 
 def outcome(audit: Column, abstained: Column, n_claims: Column, flagged: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import lexicon as L
 from ..functions import sql as S
 from ..functions import text as X
 from ..operators import chunking, claims, confidence, correction, evaluation, retrieval, review
-from ..operators.ranking import top_k
+from ..operators.ranking import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,12 +33,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, text, language): each chunk once, re-delivered rows collapsed; the language is that of the label, else of the id."""
-    rows = read(spark, sf_dir, "chunks").where("chunk_id IS NOT NULL AND trim(text) <> ''")
+    rows = spread(read(spark, sf_dir, "chunks").where("chunk_id IS NOT NULL AND trim(text) <> ''").select("chunk_id", "text", "language"), "chunk_id")
     named = F.coalesce(F.max(B.language_label(F.col("language"))), F.split("chunk_id", "/")[0])
     return rows.groupBy("chunk_id").agg(F.min("text").alias("text"), named.alias("language"))
 
 
 CORPUS = f"corpus AS (SELECT chunk_id, min(text) AS text, coalesce(max({S.language_label('language')}), split_part(chunk_id, '/', 1)) AS language FROM chunks WHERE chunk_id IS NOT NULL AND trim(coalesce(text, '')) <> '' GROUP BY chunk_id)"
+def corpus_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the corpus, kept for the several reads of a search."""
+    return retrieval.postings(corpus(spark, sf_dir)).persist()
+
+
 QUERY_SET = 20  # searches take every row whose id is divisible by this as a query
 
 
@@ -163,13 +168,13 @@ idf AS (SELECT language, term, count(*) AS df, greatest(0, ln((any_value(n) - co
 
 @query(f"WITH {_POST} SELECT language, term, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark, d):
-    post = retrieval.postings(corpus(spark, d))
+    post = corpus_postings(spark, d)
     return retrieval.term_statistics(post).select("language", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_POST} SELECT language, n AS n_chunks, round(avg_length, 6) AS avg_length, (SELECT count(*) FROM idf i WHERE i.language = cs.language) AS terms FROM cs")
 def index_stats(spark, d):
-    post = retrieval.postings(corpus(spark, d)).persist()
+    post = corpus_postings(spark, d)
     terms = post.groupBy("language").agg(F.count_distinct("term").alias("terms"))
     return retrieval.chunk_statistics(post).join(terms, "language").select("language", "n_chunks", F.round("avg_length", 6).alias("avg_length"), "terms")
 
@@ -179,7 +184,7 @@ def question_queries(spark, d) -> DataFrame:
     rows = read(spark, d, "questions").where(f"row_id % {QUERY_SET} = 0 AND question IS NOT NULL")
     lang = B.language_label(F.col("language"))
     lang = F.when(lang.isin("en", "hi", "ta"), lang).otherwise("en")
-    return rows.select(F.col("row_id").alias("query_id"), lang.alias("language"), F.col("question")).withColumn("terms", X.tokens(X.nfc(F.col("question")), F.col("language"))).drop("question")
+    return spread(rows.select(F.col("row_id").alias("query_id"), lang.alias("language"), F.col("question")), "query_id").withColumn("terms", X.tokens(X.nfc(F.col("question")), F.col("language"))).drop("question")
 
 
 def _bm25_sql(extra: str = "") -> str:
@@ -192,14 +197,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @query(_bm25_sql() + " SELECT query_id, chunk_id, score, place FROM top")
 def bm25_topk(spark, d):
-    out = retrieval.bm25_top(question_queries(spark, d), retrieval.postings(corpus(spark, d)))
+    out = retrieval.bm25_top(question_queries(spark, d), corpus_postings(spark, d))
     return out.select("query_id", "chunk_id", "score", F.col("place").cast("long").alias("place"))
 
 
 @query(_bm25_sql() + " SELECT query_id, chunk_id, term, round(contribution, 6) AS contribution FROM part JOIN top USING (query_id, chunk_id) WHERE place = 0")
 def bm25_explain(spark, d):
     """What each term adds to the best chunk of a query."""
-    q, post = question_queries(spark, d), retrieval.postings(corpus(spark, d))
+    q, post = question_queries(spark, d), corpus_postings(spark, d)
     best = retrieval.bm25_top(q, post, 1).select("query_id", "chunk_id")
     return retrieval.bm25_terms(q, post).join(best, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "term", F.round("contribution", 6).alias("contribution"))
 
@@ -207,7 +212,7 @@ def bm25_explain(spark, d):
 @query(_bm25_sql() + """ SELECT query_id, max(CASE WHEN place = 0 THEN score END) AS s1_top_score, round(coalesce(max(CASE WHEN place = 0 THEN score END) - max(CASE WHEN place = 1 THEN score END), 0), 8) AS s1_score_margin,
 round(avg(score), 6) AS s1_mean_score, count(*) AS s1_n_chunks FROM top GROUP BY query_id""")
 def s1_signals(spark, d):
-    out = retrieval.signals(retrieval.bm25_top(question_queries(spark, d), retrieval.postings(corpus(spark, d))))
+    out = retrieval.signals(retrieval.bm25_top(question_queries(spark, d), corpus_postings(spark, d)))
     return out.select("query_id", "s1_top_score", F.round("s1_score_margin", 8).alias("s1_score_margin"), F.round("s1_mean_score", 6).alias("s1_mean_score"), "s1_n_chunks")
 
 
@@ -240,11 +245,11 @@ def rrf_fuse(spark, d):
 
 
 def _variants(spark, d) -> tuple[DataFrame, DataFrame]:
-    post = retrieval.postings(corpus(spark, d)).persist()
+    post = corpus_postings(spark, d)
     q = question_queries(spark, d)
     rows = read(spark, d, "questions").where(f"row_id % {QUERY_SET} = 0 AND trim(gold_answer) <> ''")
     lang = B.language_label(F.col("language"))
-    v = rows.select(F.col("row_id").alias("query_id"), F.when(lang.isin("en", "hi", "ta"), lang).otherwise("en").alias("language"), "gold_answer").withColumn("terms", X.tokens(X.nfc(F.col("gold_answer")), F.col("language"))).drop("gold_answer")
+    v = spread(rows.select(F.col("row_id").alias("query_id"), F.when(lang.isin("en", "hi", "ta"), lang).otherwise("en").alias("language"), "gold_answer"), "query_id").withColumn("terms", X.tokens(X.nfc(F.col("gold_answer")), F.col("language"))).drop("gold_answer")
     return retrieval.bm25_top(q, post, 20), retrieval.bm25_top(v, post, 20)
 
 
@@ -292,7 +297,7 @@ def evidence_context(spark, d):
 # ---------------------------------------------------------------- claims and verdicts
 
 def answers(spark, d) -> DataFrame:
-    return read(spark, d, "records").where("answer IS NOT NULL").select("record_id", "answer", B.language_label(F.col("language")).alias("language"))
+    return spread(read(spark, d, "records").where("answer IS NOT NULL").select("record_id", "answer", B.language_label(F.col("language")).alias("language")), "record_id")
 
 
 def _claims_sql() -> str:
@@ -316,8 +321,7 @@ def decompose_claims(spark, d):
 def verdicts(spark, d, policy: str = "support") -> DataFrame:
     said = claims.claim_rows(answers(spark, d), "record_id", "answer", "language")
     shown = read(spark, d, "records").select("record_id", F.posexplode("retrieved_chunk_ids").alias("place", "chunk_id"))
-    languages = spark.createDataFrame([("en",), ("hi",), ("ta",), ("mr",), ("de",), ("fr",), (None,)], "language string")
-    told = claims.evidence_sentences(corpus(spark, d).select("chunk_id", "text"), languages)
+    told = claims.evidence_sentences(corpus(spark, d).select("chunk_id", "text"))
     return claims.verify(said, shown, told, "record_id", policy)
 
 
@@ -752,7 +756,7 @@ def review_packet(spark, d):
 def anchor_claims(spark, d):
     """Where each claim stands in its answer."""
     rows = answers(spark, d).select("record_id", "answer", claims.decompose(F.col("answer"), F.col("language")).alias("c"))
-    return rows.select("record_id", F.explode(review.anchors(F.col("answer"), F.col("c"))).alias("a")).select("record_id", "a.claim_no", "a.start", "a.end")
+    return rows.select("record_id", F.explode_outer(review.anchors(F.col("answer"), F.col("c"))).alias("a")).where("a IS NOT NULL").select("record_id", "a.claim_no", "a.start", "a.end")
 
 
 @query(_verdict_sql("support") + """, c AS (SELECT record_id, claim_ord, unnest(string_split(citations, ',')) AS chunk_id FROM res WHERE citations <> '')
@@ -767,7 +771,7 @@ def inverse_citations(spark, d):
 def evidence_diff(spark, d):
     """For every contradicted claim the sentence it is judged by and what that has and the claim lacks."""
     v = verdicts(spark, d).where("verdict = 'CONTRADICTED'").select("record_id", "claim_ord", "claim", F.element_at("citations", 1).alias("chunk_id"))
-    rows = v.join(corpus(spark, d).select("chunk_id", "text"), "chunk_id").withColumn("x", review.evidence_difference(F.col("text"), F.col("claim")))
+    rows = review.evidence_difference(v.join(corpus(spark, d).select("chunk_id", "text"), "chunk_id"), "text", "claim")
     return rows.where("x IS NOT NULL").select("record_id", "claim_ord", "chunk_id", "x.sentence", "x.hits", F.array_join("x.extra", " ").alias("extra"))
 
 

@@ -57,7 +57,7 @@ def admitted(events: DataFrame, limit: int, seconds: int, key: str = "user_id",
         return F.struct(F.when(ok, F.concat(recent, F.array(x["_t"]))).otherwise(recent).alias("last"), F.when(ok, F.concat(acc["yes"], F.array(x))).otherwise(acc["yes"]).alias("yes"))
 
     start = F.struct(F.array().cast("array<bigint>").alias("last"), F.array().cast(kind).alias("yes"))
-    yes = lists.select(F.explode(F.aggregate("_all", start, step, lambda acc: acc["yes"])).alias("x")).select(F.col(f"x.{tie}").alias(tie), F.lit(True).alias("_yes"))
+    yes = lists.select(F.explode_outer(F.aggregate("_all", start, step, lambda acc: acc["yes"])).alias("x")).where("x IS NOT NULL").select(F.col(f"x.{tie}").alias(tie), F.lit(True).alias("_yes"))
     return events.join(yes, tie, "left").withColumn("admitted", F.coalesce("_yes", F.lit(False))).drop("_yes")
 
 
