@@ -5,68 +5,22 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: Full-width ASCII and blanks that a label may hold.
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　     "
-_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " " * 6
+from ..functions.labels import answerability_label, group_id, label, language_label, split_label
+from ..operators.ranking import hash_place as rank_in_group
+
+__all__ = ["answerability_label", "group_id", "label", "language_label", "rank_in_group", "shared_dir", "split_label", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def label(c: Column) -> Column:
-    """A label without width, case, kind of separator and outer blanks: ' Multi-Hop' gives 'multi_hop'; blank gives NULL."""
-    plain = F.regexp_replace(F.lower(F.trim(F.translate(c, _WIDE, _PLAIN))), r"[\s_\-]+", "_")
-    return F.nullif(plain, F.lit(""))
-
-
-def language_label(c: Column) -> Column:
-    """en, hi, ta or whatever code the label names, without region tag; placeholders give NULL."""
-    code = F.split(label(c), "_")[0]
-    return F.when(~code.isin("und", "none", "null", "unknown", "unk", "na", "n/a", "xx", "zxx", "mis", "?"), code)
-
-
-def answerability_label(c: Column) -> Column:
-    return F.upper(F.regexp_replace(label(c), "^class_", ""))
-
-
-def split_label(c: Column) -> Column:
-    s = label(c)
-    return F.when(s.isin("train", "training"), "train").when(s.isin("dev", "valid", "validation", "val"), "dev").when(s.isin("test", "testing"), "test")
-
-
-def group_id(parallel_id: Column, qid: Column) -> Column:
-    """parallel_id as 'ins-000042' whatever its spelling; where it is missing, the one in the qid ('en-ins-000042-v2')."""
-    pattern = r"^([a-z]+)_?([0-9]+)$"
-    own, named = label(parallel_id), F.regexp_extract(F.lower(F.trim(qid)), r"^[a-z]+-([a-z]+-[0-9]+)", 1)
-    digits = F.regexp_extract(own, pattern, 2)
-    tidy = F.when(own.rlike(pattern), F.concat_ws("-", F.regexp_extract(own, pattern, 1), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)))
-    return F.coalesce(tidy, F.regexp_replace(own, "_", "-"), F.nullif(named, F.lit("")))
-
-
-def rank_in_group(df: DataFrame, keys: list[str], order: Column, rank: str, tie: list[str], buckets: int = 1024) -> DataFrame:
-    """df with the place of each row in its group, from 0, by a hash `order` (BIGINT), ties by the columns `tie`.
-
-    A group may hold a third of all rows: rows are first counted by (group, hash bucket), the counts are summed up to
-    an offset per bucket, and only rows of one bucket are sorted together.
-    """
-    df = df.withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftright("_order", 20), F.lit(buckets)))
-    names = [f"_k{i}" for i in range(len(keys))]
-    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*names).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(*names, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)] + [F.col("_bucket") == F.col("_b")]
-    place = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("_order", *tie))
-    return df.join(counts, same).withColumn(rank, F.col("_offset") + place - 1).drop("_order", "_bucket", "_offset", "_b", *names)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), under the working folder's own scratch place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under /tmp."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = f"file:///tmp/attestra-{os.getpid()}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -77,11 +31,3 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def salted_pairs(left: DataFrame, right: DataFrame, keys: list[str], spread: int) -> DataFrame:
-    """Inner equi-join in which the rows of one key are spread over `spread` tasks: left by row, right copied."""
-    cols = [c for c in left.columns if c not in keys]
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(spread)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .canon import add_canonical
-from .common import table
+from .common import table, written
 
 FIELDS = ("question", "gold_answer")
 
@@ -32,6 +32,7 @@ def same_look_pairs(df: DataFrame, key: str = "row_id", fields: tuple[str, ...]
     forms = canonical_forms(df, key, fields).select(
         key, "field_name", F.md5(F.concat_ws("\u0001", "canonical", "visible_form")).alias("look"), F.md5("raw_text").alias("spelling")
     )
+    forms = written(forms)  # read four times below
     several = forms.groupBy("field_name", "look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("field_name", "look")
     rows = forms.join(several, ["field_name", "look"])
     # copies of one spelling stay one row on the side that is spread, so that a hot spelling is not repeated there
