@@ -155,7 +155,7 @@ def identify(df: DataFrame, model: Model, text: str = "question") -> DataFrame:
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(SCHEMA)
+    @F.pandas_udf(SCHEMA)  # marked below: a filter on its result must not run it a second time
     def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for s in batches:
@@ -170,8 +170,9 @@ def identify(df: DataFrame, model: Model, text: str = "question") -> DataFrame:
                 at += len(p)
             yield pd.DataFrame(rows, columns=["language", "confidence", "segments"])
 
-    out = df.withColumn("_text", F.col(text)).withColumn("detected", F.when(F.col(text).isNotNull(), detect(F.col("_text"))))
-    return out.drop("_text")
+    once = detect.asNondeterministic()
+    out = df.withColumn("_text", F.col(text)).withColumn("_found", once(F.col("_text")))
+    return out.withColumn("detected", F.when(F.col(text).isNotNull(), F.col("_found"))).drop("_text", "_found")
 
 
 def text_languages(detected: str = "detected", least: float = 0.9):
@@ -185,7 +186,7 @@ def wrong_labels(df: DataFrame, model: Model, key: str = "row_id", text: str = "
     """(key, language): one row per language of each text whose label is missing or names another one, or that is mixed."""
     rows = identify(df.where(F.trim(text) != "").select(key, text, language_label(F.col(language)).alias("_label")), model, text).withColumn("_in", text_languages())
     wrong = F.col("_label").isNull() | ~F.array_contains("_in", F.col("_label")) | (F.size("_in") > 1)
-    return rows.where(wrong).select(key, F.explode("_in").alias("language"))
+    return rows.where(wrong).select(key, F.explode_outer("_in").alias("language")).where("language IS NOT NULL")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
