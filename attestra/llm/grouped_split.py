@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def allot(bundles: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
     the rest; then whole components follow the flow and what rounding leaves over goes where most rows are missing.
     """
     if not len(bundles) or not len(plan):
-        return pd.DataFrame({"bundle": [], "split_name": [], "first_place": [], "past_place": []})
+        return pd.DataFrame({"bundle": np.zeros(0, object), "split_name": np.zeros(0, object), "first_place": np.zeros(0, np.int64), "past_place": np.zeros(0, np.int64)})
     plan = plan.sort_values("split_name")
     splits, shares = list(plan["split_name"]), list(plan["target_share"] / plan["target_share"].sum())
     bundles = bundles.sort_values(["mean_rows", "bundle"], ascending=[False, True])

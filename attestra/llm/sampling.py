@@ -76,7 +76,7 @@ def swap_repair(available: np.ndarray, member: np.ndarray, want: np.ndarray, flo
 
 def _solve(key: tuple, counts: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
     if not len(counts) or not len(plan):
-        return pd.DataFrame({"plan_id": [], "signature": [], "available": [], "taken": []})
+        return pd.DataFrame({"plan_id": np.zeros(0, np.int64), "signature": np.zeros(0, object), "available": np.zeros(0, np.int64), "taken": np.zeros(0, np.int64)})
     counts = counts.sort_values("signature")
     cats = sorted({(f, c) for f, c in zip(plan["field_name"], plan["category_key"]) if isinstance(c, str)})
     borne = [{(f, c) for f, part in zip(FIELD_LABELS, s.split(SEP)) for c in part.split(WITHIN)} for s in counts["signature"]]
