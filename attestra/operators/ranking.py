@@ -12,6 +12,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def fill_cores(scan: DataFrame) -> DataFrame:
+    """A table scan dealt out anew where its files make fewer parts than there are cores (a few small files before heavy expressions). Larger tables have parts enough and are left as they are, so no text is moved at scale."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def hash_place(df: DataFrame, keys: list[str], order: Column, place: str, tie: list[str], buckets: int = 1024) -> DataFrame:
     """df with the place of each row in its group, from 0, in the order of a hash (BIGINT), ties by the columns `tie`.
 

@@ -12,14 +12,15 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from .ranking import top_k
+from .ranking import spread, top_k
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", language: str = "language") -> DataFrame:
     """(language, key, term, tf, length): one row per term of a chunk. The outer explode keeps Catalyst from repeating the tokenizer in a filter before it."""
     terms = chunks.select(F.col(language), F.col(key), X.tokens(X.nfc(F.col(text)), F.col(language)).alias("terms"))
     rows = terms.select(language, key, F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
-    return rows.groupBy(language, key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # one partitioning by term serves the count of a term in a chunk, document frequencies and the search
+    return spread(rows, language, "term").groupBy(language, key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def term_statistics(post: DataFrame, language: str = "language") -> DataFrame:

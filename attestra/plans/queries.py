@@ -11,7 +11,7 @@ from ..functions import lexicon as L
 from ..functions import sql as S
 from ..functions import text as X
 from ..operators import chunking, claims, confidence, correction, evaluation, retrieval, review
-from ..operators.ranking import spread
+from ..operators.ranking import fill_cores, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts the query works hard on."""
+    return fill_cores(read(spark, sf_dir, name).select(*columns))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, text, language): each chunk once, re-delivered rows collapsed; the language is that of the label, else of the id."""
     rows = spread(read(spark, sf_dir, "chunks").where("chunk_id IS NOT NULL AND trim(text) <> ''").select("chunk_id", "text", "language"), "chunk_id")
@@ -52,7 +57,7 @@ QUERY_SET = 20  # searches take every row whose id is divisible by this as a que
 @query(f"SELECT doc_id, md5({S.normalize('text')}) AS text_md5, length({S.normalize('text')}) AS n_chars FROM documents WHERE text IS NOT NULL")
 def text_normalize(spark, d):
     t = X.normalize(F.col("text"))
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", t.alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
+    return texts(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", t.alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
 @query("SELECT row_id, md5(regexp_replace(question, '[^\\P{P}''-]', '', 'g')) AS text_md5 FROM questions WHERE question IS NOT NULL")
@@ -65,7 +70,7 @@ WITH c AS (SELECT doc_id, {S.count('text', S.DEVA)} AS devanagari, {S.count('tex
 SELECT *, {S.detect_script('devanagari', 'tamil', 'latin')} AS script FROM c""")
 def script_counts(spark, d):
     counts = [c.cast("long").alias(n) for n, c in X.script_counts(F.col("text")).items()]
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", *counts, X.detect_script(F.col("text")).alias("script"))
+    return texts(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", *counts, X.detect_script(F.col("text")).alias("script"))
 
 
 def _detect_sql(table: str, key: str, col: str) -> str:
@@ -82,7 +87,7 @@ CASE WHEN x = '' THEN 'roman' ELSE script END AS script FROM r"""
 
 @query(_detect_sql("questions", "row_id", "question"))
 def detect_language(spark, d):
-    rows = read(spark, d, "questions").where("question IS NOT NULL").select("row_id", X.normalize(F.col("question")).alias("t"))
+    rows = texts(spark, d, "questions", "row_id", "question").where("question IS NOT NULL").select("row_id", X.normalize(F.col("question")).alias("t"))
     rows = rows.select("row_id", X.detect_language(F.col("t")).alias("x"))
     return rows.select("row_id", "x.language", F.round("x.confidence", 6).alias("confidence"), "x.script")
 
@@ -99,7 +104,7 @@ _QLANG = S.language_label("language")
 WITH q AS (SELECT row_id, nfc_normalize(question) AS t, {_QLANG} AS lang FROM questions WHERE question IS NOT NULL), k AS (SELECT row_id, {S.tokens('t', 'lang')} AS toks FROM q)
 SELECT row_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM k""")
 def tokenize_terms(spark, d):
-    rows = read(spark, d, "questions").where("question IS NOT NULL").select("row_id", X.tokens(X.nfc(F.col("question")), B.language_label(F.col("language"))).alias("t"))
+    rows = texts(spark, d, "questions", "row_id", "question", "language").where("question IS NOT NULL").select("row_id", X.tokens(X.nfc(F.col("question")), B.language_label(F.col("language"))).alias("t"))
     return rows.select("row_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -107,7 +112,7 @@ def tokenize_terms(spark, d):
 WITH s AS (SELECT doc_id, {S.sentences(S.normalize('text'))} AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(10))) AS sentences_md5 FROM s""")
 def sentence_split(spark, d):
-    rows = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.normalize(F.col("text")).alias("t")).select("doc_id", X.sentences(F.col("t")).alias("s"))
+    rows = texts(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", X.normalize(F.col("text")).alias("t")).select("doc_id", X.sentences(F.col("t")).alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"))
 
 
@@ -142,7 +147,7 @@ SELECT record_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN
 def answer_consistency(spark, d):
     """Self-consistency of an answer and the reference answer as two samples."""
     gold = read(spark, d, "questions").where("trim(gold_answer) <> ''").groupBy("qid").agg(F.max("gold_answer").alias("gold"))
-    rows = read(spark, d, "records").where("answer IS NOT NULL").select("record_id", "qid", "answer").join(gold, "qid")
+    rows = texts(spark, d, "records", "record_id", "qid", "answer").where("answer IS NOT NULL").join(gold, "qid")
     return rows.select("record_id", F.round(X.self_consistency(F.array("answer", "gold")), 6).alias("consistency"))
 
 
@@ -150,13 +155,13 @@ def answer_consistency(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    out = chunking.chunk_documents(read(spark, d, "documents").select("doc_id", "text", "lang"))
+    out = chunking.chunk_documents(texts(spark, d, "documents", "doc_id", "text", "lang"))
     return out.select("chunk_id", "doc_id", "chunk_index", "n_chunks", "est_tokens", F.md5("text").alias("text_md5"))
 
 
 @query()
 def chunk_stats(spark, d):
-    out = chunking.chunk_documents(read(spark, d, "documents").select("doc_id", "text", "lang"))
+    out = chunking.chunk_documents(texts(spark, d, "documents", "doc_id", "text", "lang"))
     return out.groupBy("language").agg(F.count("*").alias("chunks"), F.avg("est_tokens").alias("mean_tokens"), F.max("est_tokens").alias("most_tokens"), F.count_if(F.col("est_tokens") < 25).alias("small"))
 
 
