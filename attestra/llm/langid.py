@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .canon import canonical
-from .common import language_label, table
+from .common import fill_cores, language_label, table
 
 LANGUAGES = ("en", "hi", "ta")
 SAMPLE_ROWS = 20_000  # bound of the labelled sample that the model is fitted on
@@ -184,7 +184,8 @@ def text_languages(detected: str = "detected", least: float = 0.9):
 
 def wrong_labels(df: DataFrame, model: Model, key: str = "row_id", text: str = "question", language: str = "language") -> DataFrame:
     """(key, language): one row per language of each text whose label is missing or names another one, or that is mixed."""
-    rows = identify(df.where(F.trim(text) != "").select(key, text, language_label(F.col(language)).alias("_label")), model, text).withColumn("_in", text_languages())
+    rows = fill_cores(df.select(key, text, language)).where(F.trim(text) != "").select(key, text, language_label(F.col(language)).alias("_label"))
+    rows = identify(rows, model, text).withColumn("_in", text_languages())
     wrong = F.col("_label").isNull() | ~F.array_contains("_in", F.col("_label")) | (F.size("_in") > 1)
     return rows.where(wrong).select(key, F.explode_outer("_in").alias("language")).where("language IS NOT NULL")
 
@@ -197,7 +198,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every question with its language and confidence, beside those of the whole question."""
     q = table(spark, sf_dir, "questions")
-    rows = identify(q.select("row_id", "question"), train(q, "question", "language", "row_id"))
+    rows = identify(fill_cores(q.select("row_id", "question")), train(q, "question", "language", "row_id"))
     rows = rows.where("question IS NOT NULL").select("row_id", F.col("detected.language").alias("question_language"), F.round("detected.confidence", 6).alias("question_confidence"), F.posexplode_outer("detected.segments"))
     return rows.select("row_id", "question_language", "question_confidence", F.col("pos").alias("segment_no"), F.col("col.language").alias("segment_language"), F.round("col.confidence", 6).alias("segment_confidence"))
 

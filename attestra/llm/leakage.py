@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .canon import Folding, words
-from .common import table, written
+from .common import fill_cores, table, written
 
 K = 5  # words of a shingle
 LEAST_WORDS, ONE_IN = 12, 8
@@ -183,7 +183,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     NULL and empty texts, and items of fewer than twelve words, give no row. Items are read in blocks of BLOCK_SHINGLES
     shingles, so that what every worker holds is bounded; documents are never gathered or broadcast.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, fill_cores(docs.select(key, text))
     blocks: list[list[tuple[int, str]]] = [[]]
     room = BLOCK_SHINGLES
     for i, t in items.where(F.length(item_text) > 0).select(F.col(item_key).cast("long"), item_text).distinct().toLocalIterator():

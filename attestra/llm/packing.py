@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fill_cores, table, written
 
 #: Vocabulary file of a byte-level BPE as ranks, and the pattern it is used with; both are parameters.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -158,7 +158,7 @@ def packed(all_items: DataFrame, n_items: int, key: str = "doc_id", shard_items:
 
 def pack_documents(df: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """(container_kind, capacity, key, part_no, n_parts, size, shard, container) of every item. Token counts are made once and kept in the shared folder."""
-    sizes = written(sized(df, key, text, path))
+    sizes = written(sized(fill_cores(df.select(key, text)), key, text, path))
     parts = items(sizes, containers, key)
     # the number of items of the kind that has most: that of the smallest capacity
     smallest = containers.where("capacity_tokens > 0").agg(F.min("capacity_tokens")).first()[0]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost
-from .common import table
+from .common import fill_cores, table
 
 KINDS = ("person", "email", "phone", "identity", "address")
 SAMPLE_DOCS = 4_000  # bound of the sample that the trees are fitted on
@@ -362,7 +362,7 @@ def find(docs: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find(docs, train(docs, table(spark, sf_dir, "name_parts")))
+    return find(fill_cores(docs), train(docs, table(spark, sf_dir, "name_parts")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
