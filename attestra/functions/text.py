@@ -175,3 +175,17 @@ def fingerprint(*parts: Column) -> Column:
 def secrets(text: Column) -> Column:
     """Names of the credential patterns that a text holds."""
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in L.SECRETS.items()]))
+
+
+def retry_seconds(body: Column) -> Column:
+    """Seconds after which a provider's refusal says to try again ('retry in 1h2m3.5s', '"retryDelay": "56s"'), NULL where it does not."""
+    text = F.regexp_extract(body, r"(?i)retry in\s+((?:\d+h)?(?:\d+m)?(?:[\d.]+s)?)", 1)
+    part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(text, rf"([\d.]+){unit}", 1), F.lit("")).try_cast("double"), F.lit(0.0))
+    delay = F.nullif(F.regexp_extract(body, r'"retryDelay"\s*:\s*"([\d.]+)s"', 1), F.lit("")).try_cast("double")
+    return F.when(text != "", F.nullif(part("h") * 3600 + part("m") * 60 + part("s"), F.lit(0.0))).otherwise(delay)
+
+
+def safe_name(name: Column) -> Column:
+    """A file name without folders, of letters, digits, blank and ._- only; NULL if nothing is left."""
+    last = F.element_at(F.split(name, r"[/\\\\]"), -1)
+    return F.nullif(F.trim(F.regexp_replace(last, r"[^\p{L}\p{M}\p{N} ._-]", "")), F.lit(""))

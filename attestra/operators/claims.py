@@ -169,3 +169,45 @@ def batch_labels(reply: Column, n: int) -> Column:
     order = F.transform(lines, lambda x: x.cast("int"))
     pairs = F.array_sort(F.arrays_zip(order.alias("i"), labels.alias("l")))
     return F.when((F.size(order) == n) & (F.array_sort(order) == F.sequence(F.lit(1), F.lit(n))), F.transform(pairs, lambda p: p["l"]))
+
+
+def claim_lines(reply: Column, answer: Column, most: int = 20) -> Column:
+    """Claims of a decomposer's reply, one a line, list marks stripped; an empty array if it says there are none.
+
+    NULL, which asks for the rule-based decomposition instead: no usable line, `most` or more claims, or claims that
+    together are far longer than the answer.
+    """
+    lines = F.transform(F.split(reply, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
+    kept = F.filter(lines, lambda c: (F.length(c) >= 8) & c.rlike(r"[\p{L}\p{N}]"))
+    none = F.upper(reply).contains(L.ABSTAIN_MARKERS[1])
+    return F.when(none, F.array().cast("array<string>")).when((F.size(kept) == 0) | (F.size(kept) >= most) | inflated(kept, answer), None).otherwise(kept)
+
+
+def whole_answer(answer: Column) -> Column:
+    """The answer as its single claim, with its span; blank answers have none."""
+    one = F.struct(answer.alias("claim"), F.lit(0).alias("start"), F.length(answer).alias("end"))
+    return F.when(F.length(F.trim(answer)) > 0, F.array(one)).otherwise(F.array().cast("array<struct<claim:string,start:int,end:int>>"))
+
+
+def label_scores(label: Column, sure: float = 0.90) -> Column:
+    """The three scores of a judge's hard label: `sure` for it and the rest shared; an unknown or missing label is neutral for certain."""
+    rest = (1 - sure) / 2
+    pick = lambda v: F.when(F.upper(F.trim(label)) == v, F.lit(sure)).otherwise(F.lit(rest))
+    known = F.upper(F.trim(label)).isin("SUPPORTED", "CONTRADICTED", "UNVERIFIABLE")
+    none = F.struct(F.lit(0.0).alias("entailment"), F.lit(0.0).alias("contradiction"), F.lit(1.0).alias("neutral"))
+    return F.when(known, F.struct(pick("SUPPORTED").alias("entailment"), pick("CONTRADICTED").alias("contradiction"), pick("UNVERIFIABLE").alias("neutral"))).otherwise(none)
+
+
+def answer_gate(n_claims: Column, supported: Column, has_evidence: Column, whole: Column, coverage: Column, own_case: Column) -> Column:
+    """struct(extra_claim, partial, personal_case): the check of a whole answer after its claims.
+
+    Only answers with evidence whose claims are all supported are checked. `whole` is the verdict on the answer as one
+    claim, `coverage` a judge's FULL or PARTIAL, `own_case` whether the question needs the asker's own records; NULL where
+    nobody judged. An answer that is not supported as a whole and not merely partial gets its own verdict as a further claim.
+    """
+    due = has_evidence & (n_claims > 0) & (supported == n_claims)
+    part, own = F.coalesce(coverage == "PARTIAL", F.lit(False)), F.coalesce(own_case, F.lit(False))
+    held = whole == "SUPPORTED"
+    partial = due & part & ((held & ~own) | (whole == "UNVERIFIABLE"))
+    extra = F.when(due & ~held & ~partial, whole)
+    return F.struct(extra.alias("extra_claim"), partial.alias("partial"), (due & held & own).alias("personal_case"))

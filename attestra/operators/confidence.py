@@ -138,3 +138,47 @@ def check_model(model: dict, known: list[str]) -> dict:
     if not all(math.isfinite(v) for k in ("weights", "mean", "std") for v in model[k]):
         raise ValueError("numbers must be finite")
     return model
+
+
+def review_problems(reviews: DataFrame, known: list[str], least: int = 20) -> DataFrame:
+    """(problem, n): what forbids fitting on reviewed rows; empty if nothing does.
+
+    reviews: (qid, parallel_id, question, language, split, human_reviewed, reviewer, fully_supported, features MAP).
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    keyed = reviews.withColumn("_q", F.regexp_replace(F.trim(F.lower("question")), r"\s+", " "))
+    own = {
+        "split": ~F.coalesce(F.col("split").isin("train", "dev"), F.lit(False)), "review not attributed": ~F.coalesce("human_reviewed", F.lit(False)) | blank("reviewer"), "key missing": blank("qid") | blank("parallel_id") | blank("question"),
+        "label missing": F.col("fully_supported").isNull(), "unknown or missing features": F.col("features").isNull() | (F.size("features") == 0) | (F.size(F.array_except(F.map_keys("features"), F.array(*[F.lit(k) for k in known]))) > 0),
+        "feature not finite": F.exists(F.map_values("features"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))),
+    }
+    flags = keyed.select(F.explode_outer(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in own.items()]))).alias("problem"))
+    out = flags.where("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n"))
+    for k, name in (("qid", "qid twice"), ("parallel_id", "parallel_id twice"), ("_q", "question twice")):
+        again = keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("c")).where("c > 1").agg(F.lit(name).alias("problem"), F.count("*").alias("n"))
+        out = out.unionByName(again.where("n > 0"))
+    for split in ("train", "dev"):
+        rows = keyed.where(F.col("split") == split).agg(F.count("*").alias("n"), F.count_distinct("fully_supported").alias("labels"))
+        out = out.unionByName(rows.where(F.col("n") < least).select(F.lit(f"too few {split} rows").alias("problem"), "n"))
+        out = out.unionByName(rows.where("labels < 2").select(F.lit(f"one label only in {split}").alias("problem"), "n"))
+    return out
+
+
+def fit_reviews(reviews: DataFrame, known: list[str]) -> tuple[dict, dict]:
+    """(model, report): fitted on the train rows, its temperature set on the dev rows; refused if review_problems() finds any."""
+    problems = review_problems(reviews, known).collect()
+    if problems:
+        raise ValueError("; ".join(sorted(f"{p.problem} ({p.n})" for p in problems)))
+    flat = reviews.select("split", F.col("fully_supported").cast("int").alias("y"), *[F.col("features")[k].alias(k) for k in known])
+    train, dev = flat.where("split = 'train'"), flat.where("split = 'dev'")
+    counts = train.agg(F.count("*").alias("_n"), *[F.count(k).alias(k) for k in known]).first()
+    names = [k for k in known if counts[k] == counts["_n"]]  # present in every row
+    model = fit_logistic(train, names, "y")
+    raw = dev.select(model_score(model, F.lit(None).cast("double")).alias("p"), "y")
+    if raw.where("p IS NULL").count():
+        raise ValueError("dev rows lack fitted features")
+    model["temperature"] = best_temperature(temperature_grid(raw)).first().t
+    scored = dev.select(model_score(model, F.lit(None).cast("double")).alias("p"), "y", F.lit("dev").alias("part"))
+    errors = expected_error(scored, ["part"]).first()
+    order = sorted(zip(names, model["weights"]), key=lambda x: (-abs(x[1]), x[0]))
+    return model, {"train": counts["_n"], "dev": errors.n, "ece": errors.ece, "brier": errors.brier, "adaptive": adaptive_error(scored).first().ace, "importance": order}

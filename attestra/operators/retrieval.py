@@ -141,3 +141,33 @@ def unit_interval(score: Column, batch: list[str]) -> Column:
     w = W.partitionBy(*batch)
     inside = (F.min(score).over(w) >= 0) & (F.max(score).over(w) <= 1)
     return F.when(inside, score).otherwise(1 / (1 + F.exp(-score)))
+
+
+def fuse_variants(results: DataFrame, variants: DataFrame, k: int = 5, query: str = "query_id", item: str = "chunk_id", c: int = L.RRF_K) -> DataFrame:
+    """(query, item, fused, score, place) of the results of several variants of a query.
+
+    results: (query, variant, item, score, place); variants: (query, variant), also those that found nothing, as they count
+    in the scale. Each item keeps its best score over the variants; equal sums stay in the order of first appearance.
+    """
+    n = variants.groupBy(query).agg(F.count_distinct("variant").alias("_n"))
+    sums = results.groupBy(query, item).agg(F.sum(1.0 / (c + 1 + F.col("place"))).alias("_s"), F.max("score").alias("score"), F.min(F.struct("variant", "place")).alias("_seen"))
+    scored = sums.join(n, query).withColumn("fused", F.round(F.col("_s") / (F.col("_n") / (c + 1)), 10))
+    return top_k(scored, [query], [F.desc("fused"), F.col("_seen"), F.col(item)], k).select(query, item, "fused", "score", "place")
+
+
+def route(language: Column, wanted: Column, available: list[str], fallback: str = "en") -> Column:
+    """The index that a query goes to: the wanted one, else that of its language, else the fallback; an error if none is there."""
+    to = F.coalesce(wanted, language)
+    other = F.lit(fallback) if fallback in available else F.raise_error(F.concat(F.lit("no index for "), F.coalesce(to, F.lit("NULL")))).cast("string")
+    return F.when(to.isin(*available), to).otherwise(other)
+
+
+def needs_native_variant(language: Column, script: Column) -> Column:
+    return language.isin("hi", "ta") & (script == "roman")
+
+
+def accepted_variant(variant: Column, language: Column, query: Column, translated: bool = False) -> Column:
+    """Whether a transliterated or translated query counts: in the script of its language, of 500 characters at most, a translation no longer than twice the query and 200."""
+    own = F.when(language == "hi", variant.rlike(L.DEVANAGARI) & ~variant.rlike(L.TAMIL)).when(language == "ta", variant.rlike(L.TAMIL) & ~variant.rlike(L.DEVANAGARI)).otherwise(~variant.rlike(L.DEVANAGARI) & ~variant.rlike(L.TAMIL))
+    short = F.length(variant) <= (2 * F.length(query) + 200 if translated else 500)
+    return F.coalesce((F.trim(variant) != "") & own & short, F.lit(False))

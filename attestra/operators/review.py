@@ -174,3 +174,42 @@ def outcome(audit: Column, abstained: Column, n_claims: Column, flagged: Column)
 
 def secret_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, X.secrets(F.col(text)).alias("patterns")).where(F.size("patterns") > 0)
+
+
+def proposed_labels(items: DataFrame) -> DataFrame:
+    """(item_id, label, confidence) from a judge's replies: items (item_id, evidence, reply, reply_confidence).
+
+    Without evidence an item is UNVERIFIABLE for certain; a reply without exactly one known label is UNVERIFIABLE with confidence 0.
+    """
+    named = F.array_distinct(F.regexp_extract_all(F.upper(F.coalesce("reply", F.lit(""))), F.lit(r"\b(SUPPORTED|CONTRADICTED|UNVERIFIABLE)\b"), 1))
+    empty = F.coalesce(F.size("evidence"), F.lit(0)) <= 0
+    label = F.when(empty | (F.size(named) != 1), "UNVERIFIABLE").otherwise(F.element_at(named, 1))
+    sure = F.when(empty, 1.0).when(F.size(named) != 1, 0.0).otherwise(F.coalesce("reply_confidence", F.lit(0.0)))
+    return items.select("item_id", label.alias("label"), sure.alias("confidence"))
+
+
+def check_judge(judge: str, system: str) -> None:
+    """Refuses a judge that is the judged system's own provider or model."""
+    if judge and judge == system:
+        raise ValueError(f"{judge} would label its own output")
+
+
+def group_head(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """All rows of the n groups that appear first in the order of a column."""
+    first = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(order).alias("_o")).orderBy("_o", group).limit(n).select(group)
+    return rows.join(F.broadcast(first), group, "left_semi")
+
+
+def expected_behaviour(answerability: Column, evidence_languages: Column, document_language: Column) -> Column:
+    """answer, partial or abstain of a question against documents of one language; by class where its evidence languages are not given."""
+    able = F.when(evidence_languages.isNull(), answerability.isin("A", "B")).otherwise(F.array_contains(evidence_languages, document_language))
+    return F.when(~F.coalesce(able, F.lit(False)), "abstain").when(answerability == "B", "partial").otherwise("answer")
+
+
+def run_failures(abstained: Column, should_abstain: Column, n_claims: Column, supported: Column, contradicted: Column, cited: Column, retrieved: Column) -> Column:
+    """What is wrong with a run, as an array of rule names."""
+    rules = [
+        (should_abstain & ~abstained, "unanswerable_question_answered"), (~should_abstain & abstained, "answerable_question_not_answered"), (~abstained & (n_claims > 0) & (supported < n_claims), "answer_not_fully_supported"),
+        (~abstained & (contradicted > 0), "contradiction_released"), (~abstained & (F.size(F.array_except(cited, retrieved)) > 0), "gold_evidence_not_retrieved"), (F.size(retrieved) <= 0, "nothing_retrieved"),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in rules]))

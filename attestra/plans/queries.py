@@ -11,7 +11,7 @@ from ..functions import lexicon as L
 from ..functions import sql as S
 from ..functions import text as X
 from ..operators import chunking, claims, confidence, correction, evaluation, retrieval, review
-from ..operators.ranking import fill_cores, spread
+from ..operators.ranking import fill_cores, spread, top_k
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -820,3 +820,65 @@ def request_metrics(spark, d):
 def admitted_requests(spark, d):
     """At most two requests of a visitor in ten minutes; refused ones do not count."""
     return limits.admitted(read(spark, d, "events"), 2, 600).select("event_id", "user_id", "admitted")
+
+
+# ---------------------------------------------------------------- further views of questions, runs and labels
+
+_CASES = f"q AS (SELECT row_id, {S.answerability_label('answerability')} AS cls, evidence_languages AS el FROM questions), l(document_language) AS (VALUES ('en'), ('hi'), ('ta'))"
+
+
+@query(f"""
+WITH {_CASES} SELECT row_id, document_language, CASE WHEN NOT coalesce(CASE WHEN el IS NULL THEN cls IN ('A', 'B') ELSE list_contains(el, document_language) END, false) THEN 'abstain' WHEN cls = 'B' THEN 'partial' ELSE 'answer' END AS expected FROM q, l""")
+def crosslingual_cases(spark, d):
+    """Every question against documents of each language, with what a right system does."""
+    rows = read(spark, d, "questions").select("row_id", B.answerability_label(F.col("answerability")).alias("cls"), "evidence_languages", F.explode(F.array(*[F.lit(x) for x in ("en", "hi", "ta")])).alias("document_language"))
+    return rows.select("row_id", "document_language", review.expected_behaviour(F.col("cls"), F.col("evidence_languages"), F.col("document_language")).alias("expected"))
+
+
+@query(f"""
+WITH q AS (SELECT row_id, {S.group_id('parallel_id', 'qid')} AS g FROM questions), f AS (SELECT g, min(row_id) AS o FROM q WHERE g IS NOT NULL GROUP BY g ORDER BY o, g LIMIT 20) SELECT row_id, g AS parallel_id FROM q WHERE g IN (SELECT g FROM f)""")
+def group_head(spark, d):
+    """All rows of the first twenty groups."""
+    rows = read(spark, d, "questions").select("row_id", B.group_id(F.col("parallel_id"), F.col("qid")).alias("parallel_id"))
+    return review.group_head(rows, "parallel_id", "row_id", 20).select("row_id", "parallel_id")
+
+
+@query(f"SELECT row_id, language, place FROM (SELECT row_id, {_QLANG} AS language, row_number() OVER (PARTITION BY {_QLANG} ORDER BY row_id) - 1 AS place FROM questions) WHERE place < 10")
+def language_head(spark, d):
+    """The first ten rows of each language."""
+    rows = read(spark, d, "questions").select("row_id", B.language_label(F.col("language")).alias("language"))
+    return top_k(rows, ["language"], [F.col("row_id")], 10).select("row_id", "language", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+SELECT seq, CASE WHEN l = 'SUPPORTED' THEN 0.9 WHEN l IN ('CONTRADICTED', 'UNVERIFIABLE') THEN 0.05 ELSE 0 END::DOUBLE AS entailment, CASE WHEN l = 'CONTRADICTED' THEN 0.9 WHEN l IN ('SUPPORTED', 'UNVERIFIABLE') THEN 0.05 ELSE 0 END::DOUBLE AS contradiction,
+CASE WHEN l = 'UNVERIFIABLE' THEN 0.9 WHEN l IN ('SUPPORTED', 'CONTRADICTED') THEN 0.05 ELSE 1 END::DOUBLE AS neutral FROM (SELECT seq, upper(trim(label)) AS l FROM annotation_events WHERE event_type = 'annotation')""")
+def label_scores(spark, d):
+    """The labels of judges as scores."""
+    rows = read(spark, d, "annotation_events").where("event_type = 'annotation'").select("seq", claims.label_scores(F.col("label")).alias("s"))
+    return rows.select("seq", *[F.round(f"s.{c}", 6).alias(c) for c in ("entailment", "contradiction", "neutral")])
+
+
+@query("""
+WITH r AS (SELECT record_id, coalesce(abstained, false) AS ab, coalesce(should_abstain, false) AS sh, n_claims, supported, contradicted, coalesce(gold_chunk_ids, []) AS g, coalesce(retrieved_chunk_ids, []) AS t FROM records WHERE error_text IS NULL)
+SELECT record_id, 'unanswerable_question_answered' AS failure FROM r WHERE sh AND NOT ab UNION ALL SELECT record_id, 'answerable_question_not_answered' FROM r WHERE NOT sh AND ab UNION ALL SELECT record_id, 'answer_not_fully_supported' FROM r WHERE NOT ab AND n_claims > 0 AND supported < n_claims
+UNION ALL SELECT record_id, 'contradiction_released' FROM r WHERE NOT ab AND contradicted > 0 UNION ALL SELECT record_id, 'gold_evidence_not_retrieved' FROM r WHERE NOT ab AND len(list_filter(g, lambda x: NOT list_contains(t, x))) > 0 UNION ALL SELECT record_id, 'nothing_retrieved' FROM r WHERE len(t) = 0""")
+def run_failures(spark, d):
+    r = read(spark, d, "records").where("error_text IS NULL")
+    none = F.array().cast("array<string>")
+    flags = review.run_failures(F.coalesce("abstained", F.lit(False)), F.coalesce("should_abstain", F.lit(False)), F.col("n_claims"), F.col("supported"), F.col("contradicted"), F.coalesce("gold_chunk_ids", none), F.coalesce("retrieved_chunk_ids", none))
+    return r.select("record_id", F.explode_outer(flags).alias("failure")).where("failure IS NOT NULL")
+
+
+@query(_variant_sql().split("l AS (SELECT query_id, chunk_id, 0 AS list_no")[0] + f"""l AS (SELECT query_id, chunk_id, 0 AS v, place, score FROM top UNION ALL SELECT query_id, chunk_id, 1, place, score FROM top2),
+n AS (SELECT row_id AS query_id, 1 + (trim(coalesce(gold_answer, '')) <> '')::INT AS n FROM questions WHERE row_id % {QUERY_SET} = 0 AND question IS NOT NULL),
+f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (61 + place)) / (any_value(n) / 61.0::DOUBLE), 10) AS fused, max(score) AS score, min({{'a': v, 'b': place}}) AS seen FROM l JOIN n USING (query_id) GROUP BY ALL)
+SELECT query_id, chunk_id, fused, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, seen, chunk_id) - 1 AS place FROM f) WHERE place < 5""")
+def fuse_variants(spark, d):
+    """The results of a question and of its reference answer as variants of one query, empty results counted in the scale."""
+    a, b = _variants(spark, d)
+    both = a.withColumn("variant", F.lit(0)).unionByName(b.withColumn("variant", F.lit(1))).persist()
+    rows = read(spark, d, "questions").where(f"row_id % {QUERY_SET} = 0 AND question IS NOT NULL")
+    asked = F.array_compact(F.array(F.lit(0), F.when(F.trim("gold_answer") != "", 1)))
+    out = retrieval.fuse_variants(both, rows.select(F.col("row_id").alias("query_id"), F.explode(asked).alias("variant")))
+    return out.select("query_id", "chunk_id", "fused", "score", F.col("place").cast("long").alias("place"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -81,3 +84,22 @@ def run_available(df: DataFrame, mode: str, checkpoint: str, sink: str) -> None:
 def closed_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """The streaming form of sessions(): a session comes out once the watermark has passed its end."""
     return sessions(timed(events, ts).withWatermark(ts, late), user, ts, gap)
+
+
+def admitted_stream(events: DataFrame, limit: int, seconds: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The streaming form of admitted(): (key, tie, admitted), with a key's last admissions as its state, which the checkpoint keeps over restarts."""
+    out = f"{key} {dict(events.dtypes)[key]}, {tie} {dict(events.dtypes)[tie]}, admitted boolean"
+
+    def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values([ts, tie])
+        verdicts = []
+        for t in rows[ts].astype("datetime64[us]").astype("int64"):
+            last = [x for x in last if x > t - seconds * 1_000_000]
+            verdicts.append(len(last) < limit)
+            if verdicts[-1]:
+                last.append(int(t))
+        state.update((last,))
+        yield pd.DataFrame({key: k[0], tie: rows[tie], "admitted": verdicts})
+
+    return events.where(F.col(ts).isNotNull()).select(key, tie, ts).groupBy(key).applyInPandasWithState(run, out, "last array<bigint>", "append", "NoTimeout")
