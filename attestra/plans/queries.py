@@ -57,7 +57,7 @@ QUERY_SET = 20  # searches take every row whose id is divisible by this as a que
 @query(f"SELECT doc_id, md5({S.normalize('text')}) AS text_md5, length({S.normalize('text')}) AS n_chars FROM documents WHERE text IS NOT NULL")
 def text_normalize(spark, d):
     t = X.normalize(F.col("text"))
-    return texts(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", t.alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
+    return texts(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", t.alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
 @query("SELECT row_id, md5(regexp_replace(question, '[^\\P{P}''-]', '', 'g')) AS text_md5 FROM questions WHERE question IS NOT NULL")
