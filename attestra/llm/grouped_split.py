@@ -173,7 +173,10 @@ def assign_components(comps: DataFrame, plan: DataFrame, seed: int = 11) -> Data
 
 
 def assign(questions: DataFrame, plan: DataFrame) -> DataFrame:
-    """(row_id, group_key, assigned_split) of every row. Groups of HOT_ROWS rows and more (at most one in HOT_ROWS rows) reach their rows by broadcast."""
+    """(row_id, group_key, assigned_split) of every row. Groups of HOT_ROWS rows and more (at most one in HOT_ROWS rows) reach their rows by broadcast.
+
+    Rows without any group are groups of one. NULL or unknown languages count as `other`. An empty plan or table gives no row.
+    """
     done = assign_components(components(questions), plan).select("group_key", "n_rows", "assigned_split")
     rows = keyed(questions).select("row_id", "group_key")
     hot = done.where(F.col("n_rows") >= HOT_ROWS).select("group_key", F.col("assigned_split").alias("_hot"))

@@ -15,6 +15,7 @@ from .common import fill_cores, table, written
 #: Vocabulary file of a byte-level BPE as ranks, and the pattern it is used with; both are parameters.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MAX_KINDS = 100  # kinds of container; each item is packed once for each
 SHARD_ITEMS = 30_000  # items packed together by one task
 MEMO = 500_000
 _LOADED: dict[str, tuple] = {}
@@ -62,8 +63,12 @@ def sized(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = TO
 
 def items(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> DataFrame:
     """(container_kind, capacity, key, part_no, n_parts, size): one row per item; only a document above the capacity is split, into full parts and a rest."""
-    kinds = containers.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").alias("capacity"))
-    each = sizes.join(F.broadcast(kinds))
+    kinds = containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of container")
+    none = F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
+    each_kind = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(kinds)]) if kinds else none
+    each = sizes.select(key, "tokens", F.explode(each_kind).alias("k")).select(key, "tokens", "k.*")
     n = F.ceil(F.col("tokens") / F.col("capacity"))
     parts = each.withColumn("n_parts", n).withColumn("part_no", F.explode(F.sequence(F.lit(1).cast("long"), "n_parts")))
     return parts.select("container_kind", "capacity", key, "part_no", "n_parts", F.when(F.col("part_no") < F.col("n_parts"), F.col("capacity")).otherwise(F.col("tokens") - (F.col("n_parts") - 1) * F.col("capacity")).alias("size"))
@@ -157,7 +162,10 @@ def packed(all_items: DataFrame, n_items: int, key: str = "doc_id", shard_items:
 
 
 def pack_documents(df: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """(container_kind, capacity, key, part_no, n_parts, size, shard, container) of every item. Token counts are made once and kept in the shared folder."""
+    """(container_kind, capacity, key, part_no, n_parts, size, shard, container) of every item. Token counts are made once and kept in the shared folder.
+
+    NULL and empty texts are no items; equal documents are separate items; no container kind, or none above 0, gives no row.
+    """
     sizes = written(sized(fill_cores(df.select(key, text)), key, text, path))
     parts = items(sizes, containers, key)
     # the number of items of the kind that has most: that of the smallest capacity

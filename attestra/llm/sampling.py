@@ -97,7 +97,10 @@ def allocation(sigs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def draw(questions: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """(plan_id, qid) of the sample: of each signature the allotted number of qids, in the order of a seeded hash."""
+    """(plan_id, qid) of the sample: of each signature the allotted number of qids, in the order of a seeded hash.
+
+    Each qid comes at most once for a plan. Where a plan asks for more qids than its version has, all are drawn.
+    """
     sigs = signatures(questions, targets)
     ranked = rank_in_group(sigs, ["plan_id", "signature"], F.xxhash64(F.lit(seed), "plan_id", "qid"), "place", ["qid"])
     return ranked.join(allocation(sigs, targets), ["plan_id", "signature"]).where("place < taken").select("plan_id", "qid")
