@@ -100,11 +100,12 @@ def best_temperature(grid: DataFrame) -> DataFrame:
 def fit_logistic(rows: DataFrame, features: list[str], label: str, epochs: int = 400, rate: float = 0.1, l2: float = 0.01, limit: int = FIT_ROWS) -> dict:
     """Weights of a logistic model on standardised features by full-batch descent from zero, the bias unpenalised.
 
-    Fitted on at most `limit` rows, those of the reviewed set with every feature present, taken in the order of a hash.
+    Fitted on about `limit` rows at most, a seeded sample of those with every feature present.
     Features that no row has are left out by the caller; NULL in a feature drops the row.
     """
     kept = rows.select(*[F.col(f).cast("double") for f in features], F.col(label).cast("double").alias("_y")).dropna()
-    m = kept.orderBy(F.xxhash64(*features, "_y")).limit(limit).toPandas().to_numpy(float)
+    total = kept.count()
+    m = (kept.sample(False, limit / total, 7) if total > limit else kept).toPandas().to_numpy(float)
     if not len(m):
         raise ValueError("no complete rows")
     x, y = m[:, :-1], m[:, -1]

@@ -18,6 +18,18 @@ def fill_cores(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def hash_sample(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """About n rows (all of them if there are fewer): those whose hash (BIGINT, of a unique key) lies in the lowest n-th part of its range.
+
+    The choice does not depend on partitions, and what a task passes on is its share of n; a global top-n would send n rows of every task to the driver.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    span = int((n / total) * 2**63)
+    return df.where(order.bitwiseAND(F.lit(2**63 - 1)) < F.lit(span))
+
+
 def hash_place(df: DataFrame, keys: list[str], order: Column, place: str, tie: list[str], buckets: int = 1024) -> DataFrame:
     """df with the place of each row in its group, from 0, in the order of a hash (BIGINT), ties by the columns `tie`.
 

@@ -324,6 +324,13 @@ def test_places_and_totals_do_not_depend_on_partitions(spark):
     assert {r.id: r.t for r in t} == {i: 2 * (i + 1) for i in range(500)}
 
 
+def test_hash_sample_is_bounded_and_fixed(spark):
+    df = spark.range(20000)
+    got = [{r.id for r in ranking.hash_sample(df.repartition(n), F.xxhash64("id"), 1000).collect()} for n in (2, 7)]
+    assert got[0] == got[1] and 850 < len(got[0]) < 1150
+    assert ranking.hash_sample(df, F.xxhash64("id"), 50000).count() == 20000 and ranking.hash_sample(df.where("false"), F.xxhash64("id"), 5).count() == 0
+
+
 # ---- review
 
 def test_final_labels_and_sample(spark):
