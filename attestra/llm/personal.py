@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost
-from .common import fill_cores, table
+from .common import fill_cores, hash_sample, table
 
 KINDS = ("person", "email", "phone", "identity", "address")
 SAMPLE_DOCS = 4_000  # bound of the sample that the trees are fitted on
@@ -325,8 +325,8 @@ def calibrated(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, name_parts: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Finder:
-    """A finder fitted on at most sample_docs documents, taken in the order of a hash of the key, and on the list of name parts."""
-    rows = docs.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h")).orderBy("h", "t").limit(sample_docs).toPandas()
+    """A finder fitted on about sample_docs documents at most, taken by a hash of the key, and on the list of name parts."""
+    rows = hash_sample(docs.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t")), F.xxhash64("k"), sample_docs).toPandas().sort_values(["k", "t"])
     names = [(r[0], r[1]) for r in name_parts.select("name_part", "part_kind").distinct().orderBy("name_part", "part_kind").toLocalIterator()]
     return fit(rows["t"].tolist(), names)
 
