@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .canon import canonical
-from .common import fill_cores, language_label, table
+from .common import fill_cores, hash_sample, language_label, table
 
 LANGUAGES = ("en", "hi", "ta")
 SAMPLE_ROWS = 20_000  # bound of the labelled sample that the model is fitted on
@@ -138,9 +138,9 @@ def _counted(texts: list[str], labels: list[str], scripts: list[str]) -> Model:
 
 
 def train(df: DataFrame, text: str, language: str, key: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model fitted on at most `sample_rows` labelled rows, taken in the order of a hash of the key."""
-    rows = df.select(F.col(text).alias("t"), language_label(F.col(language)).alias("l"), F.xxhash64(F.col(key)).alias("h"))
-    rows = rows.where(F.col("l").isin(*LANGUAGES) & (F.trim("t") != "")).orderBy("h", "t").limit(sample_rows).toPandas()
+    """A model fitted on about `sample_rows` labelled rows at most, taken by a hash of the key."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), language_label(F.col(language)).alias("l"))
+    rows = hash_sample(rows.where(F.col("l").isin(*LANGUAGES) & (F.trim("t") != "")), F.xxhash64("k"), sample_rows).toPandas().sort_values(["k", "t"])
     return fit(rows["t"].tolist(), rows["l"].tolist())
 
 
