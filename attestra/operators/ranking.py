@@ -48,7 +48,8 @@ def hash_place(df: DataFrame, keys: list[str], order: Column, place: str, tie: l
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, place: str = "place") -> DataFrame:
     """The first k rows of each group with their place from 0. row_number() <= k plans a group limit before the shuffle, so a hot group is cut map-side."""
-    return df.withColumn(place, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).where(F.col(place) < k)
+    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k)
+    return ranked.withColumn(place, F.col("_rank") - 1).drop("_rank")
 
 
 def running_total(df: DataFrame, order: str, value: str, total: str, parts: int = 64) -> DataFrame:

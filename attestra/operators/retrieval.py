@@ -104,8 +104,8 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: flo
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
-def fuse(rankings: DataFrame, query: str = "query_id", item: str = "chunk_id", k: int = L.RRF_K, lists: str = "list_no", place: str = "place", weight: str | None = None) -> DataFrame:
-    """(query, item, fused, place): reciprocal rank fusion, scaled so that first place in every list gives 1.
+def fuse(rankings: DataFrame, query: str = "query_id", item: str = "chunk_id", k: int = L.RRF_K, lists: str = "list_no", place: str = "place", weight: str | None = None, top: int | None = None) -> DataFrame:
+    """(query, item, fused, place), the `top` best or all: reciprocal rank fusion, scaled so that first place in every list gives 1.
 
     rankings has one row per entry of a list, places from 0. Equal scores stay in the order of first appearance: list,
     then place. Only lists with entries count. Sums are combined map-side, so a query with very many lists is no hot task.
@@ -114,14 +114,17 @@ def fuse(rankings: DataFrame, query: str = "query_id", item: str = "chunk_id", k
     sums = rankings.groupBy(query, item).agg(F.sum(w / (k + 1 + F.col(place))).alias("_sum"), F.min(F.struct(lists, place)).alias("_seen"))
     most = rankings.groupBy(query, lists).agg(F.first(w).alias("_w")).groupBy(query).agg((F.sum("_w") / (k + 1)).alias("_most"))
     scored = sums.join(most, query).withColumn("fused", F.round(F.col("_sum") / F.col("_most"), 10))
-    return scored.withColumn("place", F.row_number().over(W.partitionBy(query).orderBy(F.desc("fused"), "_seen", item)) - 1).select(query, item, "fused", "place")
+    order = [F.desc("fused"), F.col("_seen"), F.col(item)]
+    if top is not None:
+        return top_k(scored, [query], order, top).select(query, item, "fused", "place")
+    return scored.withColumn("place", F.row_number().over(W.partitionBy(query).orderBy(*order)) - 1).select(query, item, "fused", "place")
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, k: int = 5, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """(query, item, lexical, dense, fused, place): two candidate lists fused, the k best kept with the score each list gave (0 where it gave none)."""
     both = lexical.select(query, item, F.lit(0).alias("list_no"), "place", "score").unionByName(dense.select(query, item, F.lit(1).alias("list_no"), "place", "score")).persist()
     given = both.groupBy(query, item).agg(F.coalesce(F.max(F.when(F.col("list_no") == 0, F.col("score"))), F.lit(0.0)).alias("lexical"), F.coalesce(F.max(F.when(F.col("list_no") == 1, F.col("score"))), F.lit(0.0)).alias("dense"))
-    return fuse(both, query, item).where(F.col("place") < k).join(given, [query, item])
+    return fuse(both, query, item, top=k).join(given, [query, item])
 
 
 def rerank(ranked: DataFrame, scores: DataFrame, query: str = "query_id", item: str = "chunk_id") -> DataFrame:

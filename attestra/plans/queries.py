@@ -246,7 +246,7 @@ def record_rankings(spark, d) -> DataFrame:
 @query(_LISTS + " SELECT query_id, chunk_id, fused, place FROM r WHERE place < 5")
 def rrf_fuse(spark, d):
     """The rankings that all runs of a question retrieved, fused."""
-    return retrieval.fuse(record_rankings(spark, d)).where("place < 5").select("query_id", "chunk_id", "fused", F.col("place").cast("long").alias("place"))
+    return retrieval.fuse(record_rankings(spark, d), top=5).select("query_id", "chunk_id", "fused", F.col("place").cast("long").alias("place"))
 
 
 def _variants(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.ranking import spread
+
 
 def timed(events: DataFrame, ts: str = "ts") -> DataFrame:
     """events with a zoned timestamp, which watermarks need."""
@@ -46,22 +48,35 @@ def request_metrics(events: DataFrame, by: str = "event_type", value: str = "val
 def admitted(events: DataFrame, limit: int, seconds: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """events with `admitted`: a request passes if fewer than `limit` admitted ones of its key lie in the last seconds.
 
-    Refused requests use nothing up, so this is a scan in time order and no window: the times of a key fold into its last
-    admissions. A key's times are gathered in its row, whole; texts and other columns stay outside.
+    Refused requests use nothing up, so this is a scan in time order and no window. A key's times are cut wherever a whole
+    slot of that length is empty, as nothing before it matters then; the pieces are scanned in sorted partitions with the
+    last admissions as the only state, and no key is ever gathered. Events without a time are refused.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.where(F.col(ts).isNotNull()).select(key, tie, micros.alias("_t"))
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_t", tie))).alias("_all"))
-    kind = f"array<struct<_t:bigint,{tie}:{dict(events.dtypes)[tie]}>>"
-
-    def step(acc, x):
-        recent = F.filter(acc["last"], lambda r: r > x["_t"] - seconds * 1_000_000)
-        ok = F.size(recent) < limit
-        return F.struct(F.when(ok, F.concat(recent, F.array(x["_t"]))).otherwise(recent).alias("last"), F.when(ok, F.concat(acc["yes"], F.array(x))).otherwise(acc["yes"]).alias("yes"))
-
-    start = F.struct(F.array().cast("array<bigint>").alias("last"), F.array().cast(kind).alias("yes"))
-    yes = lists.select(F.explode_outer(F.aggregate("_all", start, step, lambda acc: acc["yes"])).alias("x")).where("x IS NOT NULL").select(F.col(f"x.{tie}").alias(tie), F.lit(True).alias("_yes"))
-    return events.join(yes, tie, "left").withColumn("admitted", F.coalesce("_yes", F.lit(False))).drop("_yes")
+    micros, width = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    kinds = dict(events.dtypes)
+    rows = events.where(F.col(ts).isNotNull()).select(key, tie, micros.alias("_t")).withColumn("_slot", F.floor(F.col("_t") / width))
+    slots = rows.groupBy(F.col(key).alias("_k"), F.col("_slot").alias("_s")).agg(F.count("*").alias("_n"))
+    by = W.partitionBy("_k").orderBy("_s")
+    slots = slots.withColumn("_new", (F.col("_s") - F.lag("_s", 1, -2).over(by) > 1).cast("int"))
+    slots = slots.withColumn("_piece", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))).select("_k", "_s", "_piece")
+    pieces = rows.join(slots, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slot") == F.col("_s"))).select(key, "_piece", tie, "_t")
+    dealt = spread(pieces, key, "_piece").sortWithinPartitions(key, "_piece", "_t", tie)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, []
+        for pdf in batches:
+            yes = []
+            for k, p, t in zip(pdf[key].tolist(), pdf["_piece"].tolist(), pdf["_t"].tolist()):
+                if (k, p) != at:
+                    at, last = (k, p), []
+                last = [x for x in last if x > t - width]
+                yes.append(len(last) < limit)
+                if yes[-1]:
+                    last.append(t)
+            yield pd.DataFrame({tie: pdf[tie], "_yes": yes})
+
+    found = dealt.mapInPandas(run, f"{tie} {kinds[tie]}, _yes boolean")
+    return events.join(found, tie, "left").withColumn("admitted", F.coalesce("_yes", F.lit(False))).drop("_yes")
 
 
 def stream(spark: SparkSession, folder: str, schema, glob: str | None = None) -> DataFrame:

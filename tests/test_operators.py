@@ -324,6 +324,21 @@ def test_places_and_totals_do_not_depend_on_partitions(spark):
     assert {r.id: r.t for r in t} == {i: 2 * (i + 1) for i in range(500)}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_are_the_intended_ones(spark, data):
+    from attestra.plans import queries as Q
+
+    assert "WindowGroupLimit" in plan_of(Q.bm25_topk(spark, data)) and "WindowGroupLimit" in plan_of(Q.rrf_fuse(spark, data))
+    p = plan_of(Q.abstention_metrics(spark, data))
+    assert "PushedFilters: [IsNotNull(abstained)" in p and "answer" not in p.split("ReadSchema")[1]
+    assert "Python" not in plan_of(Q.retrieval_metrics(spark, data)) and "Python" not in plan_of(Q.validate_questions(spark, data))
+    for name in ("validate_questions", "paired_systems", "evidence_context", "verify_claims"):
+        assert "CartesianProduct" not in plan_of(Q.QUERIES[name](spark, data))
+
+
 def test_hash_sample_is_bounded_and_fixed(spark):
     df = spark.range(20000)
     got = [{r.id for r in ranking.hash_sample(df.repartition(n), F.xxhash64("id"), 1000).collect()} for n in (2, 7)]
