@@ -51,11 +51,14 @@ _AFTER = {k: re.compile(v, re.I) for k, v in CUES_AFTER.items()}
 _STREET, _PLACE = re.compile(rf"(?:{STREET})(?![^\W\d_])", re.I), re.compile(rf" (?:{PLACE_AFTER})(?![^\W\d_])", re.I)
 _WORD = re.compile(r"[A-Za-zÀ-ɏऀ-ॣॱ-ॿஂ-்]+")
 _MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?\s?(?:@|\[at\]|\(at\))\s?[A-Za-z0-9-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[A-Za-z0-9-]+)*", re.I)
-_DIGITS = re.compile(r"(?<![\w-])[+(]?\d+(?:(?:[ \n.\-]|\)[ \n]?|[ \n][+(])\d+)*(?!\w)")
+#: A run of nine digits and more; what stands before it is checked where it is used, as a pattern is searched faster without.
+_DIGITS = re.compile(r"[+(]?\d(?:(?:[ \n.\-]|\)[ \n]?|[ \n][+(])?\d){8,}(?!\w)")
 _ENDS = re.compile(r"^[^\w]+|[^\w\u0900-\u097f\u0b80-\u0bff]+$")
 _GROUP = re.compile(r"\d+")
+_LONG_GROUP = re.compile(r"\d{4,}")
 _IDENT = re.compile(r"(?<![\w-])(?:[A-Za-z]\d{7}|[A-Za-z]{5}\d{4}[A-Za-z])(?![\w-])")
-_POSTAL = re.compile(r"(?<!\d)(?<!\d[ -])\d{3}[ \n]?\d{3}(?![ -]?\d)")
+_POSTAL = re.compile(r"\d{3}[ \n]?\d{3}(?![ -]?\d)")
+_DIGIT_BEFORE = re.compile(r"\d[ -]?\Z")
 _HOUSE = re.compile(rf"(?:(?<!\w)(?P<word>{HOUSE})\s*)?(?<![\w/.-])(?P<number>\d{{1,4}}(?:[A-Za-z]|/\d{{1,3}})?)(?=[,\s])")
 #: A word, or up to four letters and a full stop, and one blank before the place where a family name starts.
 _PAIR = re.compile(_WORD.pattern + r"(?:\s|(?<![A-Za-zÀ-ɏऀ-ॣॱ-ॿஂ-்]{5})\.\s?)\Z")
@@ -85,6 +88,7 @@ class NameScores:
     family: set[str]
     floor: dict[str, float] = field(default_factory=dict)
     memo: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    ends: dict[str, bool] = field(default_factory=dict)
 
     @staticmethod
     def fit(names: list[tuple[str, str]], texts: list[str]) -> NameScores:
@@ -110,7 +114,10 @@ class NameScores:
 
     def may_end(self, word: str) -> bool:
         """Whether a word could be a family name by its end; lets through more than any known name needs."""
-        return len(word) > 3 and self.of(word)[4] >= self.floor["family"] - 0.7
+        if len(self.ends) > 500_000:
+            self.ends.clear()
+        may = self.ends[word] = len(word) > 3 and self.of(word)[4] >= self.floor["family"] - 0.7
+        return may
 
     def of(self, word: str) -> tuple[float, ...]:
         """(given, family, log of the documents of the sample that hold the word, given and family by the end of the word alone)."""
@@ -136,11 +143,15 @@ def candidates(text: str, names: NameScores) -> list[Span]:
     out: list[Span] = []
     if "@" in text or "(at)" in text.lower() or "[at]" in text.lower():
         out += [("email", *m.span()) for m in _MAIL.finditer(text)]
-    out += [("identity", *m.span()) for m in _IDENT.finditer(text)]
+    for m in _LONG_GROUP.finditer(text):
+        if m.end() - m.start() in (4, 7):
+            found = _IDENT.match(text, max(0, m.start() - (5 if m.end() - m.start() == 4 else 1)))
+            if found:
+                out.append(("identity", *found.span()))
     for m in _DIGITS.finditer(text):
-        if m.end() - m.start() < 9:
-            continue
         groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "-_"):
+            groups = groups[1:]  # the first belongs to a word or code
         for i in range(len(groups)):
             digits = 0
             for j in range(i, min(i + 5, len(groups))):
@@ -153,6 +164,8 @@ def candidates(text: str, names: NameScores) -> list[Span]:
                         a -= 1
                     out += [("phone", a, b), ("identity", a, b)] if digits == 12 else [("phone", a, b)]
     for m in _POSTAL.finditer(text):
+        if _DIGIT_BEFORE.search(text, max(0, m.start() - 2), m.start()):
+            continue
         lo = max(0, m.start() - ADDRESS_CHARS)
         if not _STREET.search(text, lo, m.start()):
             continue
@@ -160,7 +173,12 @@ def candidates(text: str, names: NameScores) -> list[Span]:
             out.append(("address", h.start(), m.end()))
             if h["word"]:
                 out.append(("address", h.start("number"), m.end()))
-    for w in {w for w in set(_WORD.findall(text)) if names.may_end(w)}:
+    known, hot = names.ends, []
+    for w in dict.fromkeys(_WORD.findall(text)):
+        may = known.get(w)
+        if may or may is None and names.may_end(w):
+            hot.append(w)
+    for w in hot:
         at = text.find(w)
         while at >= 0:
             m = _PAIR.search(text, max(0, at - WORD_CHARS), at)
@@ -227,6 +245,8 @@ def weak_label(text: str, span: Span, names: NameScores) -> int | None:
             return 0
         if "\n" in s:
             return None
+        if s[0] in "+(":
+            return int(kind == "phone")
         near = {k: max((m.end() for m in _CUE[k].finditer(before)), default=0) for k in ("other", "phone", "identity")}
         told = {k for k in near if near[k]} | {k for k in _AFTER if _AFTER[k].search(after)}
         if "other" in told and not told & {"phone", "identity"}:
