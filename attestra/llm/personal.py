@@ -196,6 +196,12 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
     return before[cut[-1] :] if cut else before, (_BREAK.split(after, maxsplit=1) or [after])[0]
 
 
+def goes_on(text: str, span: Span) -> bool:
+    """Whether a number was complete before its line ended: such a span comes after the one that ends there."""
+    head, line, _ = text[span[1] : span[2]].partition("\n")
+    return span[0] in ("phone", "identity") and bool(line) and sum(c.isdigit() for c in head) >= 9
+
+
 def features(text: str, span: Span, names: NameScores) -> list[float]:
     kind, a, b = span
     s = text[a:b]
@@ -207,7 +213,7 @@ def features(text: str, span: Span, names: NameScores) -> list[float]:
     digits, numeric = "".join(groups), kind in ("phone", "identity")
     x += [len(digits), len(groups), *[len(g) for g in (groups + ["", "", "", ""])[:4]], s.startswith("+"), "(" in s, (" " in seps or "\n" in seps) + 2 * ("-" in seps) + 4 * ("." in seps)]
     x += [int(digits[0]) if digits else -1, numeric and bool(re.search(r"\d[ .\-(]?\Z|\+\Z", left)), numeric and bool(re.match(r"[ .\-]?\d", right)), sum(c.isalpha() for c in s), b - a]
-    x += [digits.startswith("00"), len(digits) >= 7 and "555" in groups, "." in s.rpartition("@")[2] or "dot" in s.lower()]
+    x += [goes_on(text, span), digits.startswith("00"), len(digits) >= 7 and "555" in groups, "." in s.rpartition("@")[2] or "dot" in s.lower()]
     if kind == "person":
         ws = _WORD.findall(s)
         first, last = ws[0], ws[-1]
@@ -244,7 +250,7 @@ def weak_label(text: str, span: Span, names: NameScores) -> int | None:
         if not whole:
             return 0
         if "\n" in s:
-            return None
+            return 0 if goes_on(text, span) else None
         if s[0] in "+(":
             return int(kind == "phone")
         near = {k: max((m.end() for m in _CUE[k].finditer(before)), default=0) for k in ("other", "phone", "identity")}
@@ -292,10 +298,11 @@ class Finder:
         rows = [features(t, s, self.names) for t, ss in zip(texts, found) for s in ss]
         p = self.trees.probability(np.array(rows)) if rows else np.zeros(0)
         out, at = [], 0
-        for ss in found:
+        for t, ss in zip(texts, found):
             mine = p[at : at + len(ss)]
             at += len(ss)
-            order = sorted((i for i in range(len(ss)) if mine[i] >= self.threshold[ss[i][0]]), key=lambda i: (-round(mine[i], 6), ss[i][1] - ss[i][2], ss[i]))
+            sure = [i for i in range(len(ss)) if mine[i] >= self.threshold[ss[i][0]]]
+            order = sorted(sure, key=lambda i: (goes_on(t, ss[i]), -round(mine[i], 6), ss[i][1] - ss[i][2], ss[i]))
             kept: list[tuple[str, int, int, float]] = []
             for i in order:
                 kind, a, b = ss[i]
