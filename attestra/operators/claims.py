@@ -74,14 +74,19 @@ def evidence_sentences(chunks: DataFrame, key: str = "chunk_id", text: str = "te
     parts = F.filter(F.split(low, r"(?<=[.!?।॥])\s+"), lambda s: F.trim(s) != "")
     rows = chunks.where(F.length(F.trim(text)) > 0).select(key, low.alias("_low"), parts.alias("_parts"))
     rows = rows.select(key, F.when(F.size("_parts") <= 1, F.array("_low")).otherwise(F.col("_parts")).alias("_parts"))
-    rows = rows.withColumn("_own", F.transform("_parts", lambda s: F.struct(s.alias("sentence"), X.overlap_words(s).alias("words"), numbers(s).alias("numbers"), negated(s).alias("negated"))))
+    rows = rows.withColumn("_own", F.transform("_parts", lambda s: F.struct(hashes(X.overlap_words(s)).alias("words"), hashes(numbers(s)).alias("numbers"), negated(s).alias("negated"))))
     rows = rows.withColumn("stop_class", F.explode(F.array(*[F.lit(c) for c in (*L.STOP_WORDS, "")])))
-    topics = F.transform("_parts", lambda s: F.array_distinct(X.tokens(s, F.col("stop_class"))).alias("topics"))
+    topics = F.transform("_parts", lambda s: hashes(F.array_distinct(X.tokens(s, F.col("stop_class")))))
     rows = rows.withColumn("_topics", topics)
-    one = lambda s, t: F.struct(s["sentence"].alias("sentence"), s["words"].alias("words"), s["numbers"].alias("numbers"), s["negated"].alias("negated"), t.alias("topics"))
+    one = lambda s, t: F.struct(s["words"].alias("words"), s["numbers"].alias("numbers"), s["negated"].alias("negated"), t.alias("topics"))
     return rows.select(key, "stop_class", F.zip_with("_own", "_topics", one).alias("sentences"))
 
 
+def hashes(words: Column) -> Column:
+    """64-bit hashes of words: pairs carry and intersect these instead of strings."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({L.NUMBER})"), 1))
 
@@ -124,7 +129,7 @@ def verify(claims: DataFrame, evidence: DataFrame, sentences: DataFrame, key: st
     if policy not in ("support", "contradiction"):
         raise ValueError(policy)
     low = F.lower("claim")
-    parts = F.struct(X.overlap_words(low).alias("words"), F.array_distinct(X.tokens(low, F.col("language"))).alias("topics"), numbers(low).alias("numbers"), negated(low).alias("negated"))
+    parts = F.struct(hashes(X.overlap_words(low)).alias("words"), hashes(F.array_distinct(X.tokens(low, F.col("language")))).alias("topics"), hashes(numbers(low)).alias("numbers"), negated(low).alias("negated"))
     made = claims.where(F.col("claim_ord") < MAX_CLAIMS).select(key, "claim_ord", "language", stop_class(F.col("language")).alias("stop_class"), parts.alias("claim_parts"))
     pairs = made.join(evidence.where(F.col("place") < MAX_CHUNKS), key).join(sentences, ["chunk_id", "stop_class"])
     scored = with_scores(pairs).withColumn("v", verdict(F.col("s"), F.col("language")))
