@@ -416,10 +416,18 @@ def policy_decisions(spark, d):
 WITH r AS (SELECT record_id, supported AS s, contradicted AS c, unverifiable AS u, lag({'c': contradicted, 'u': unverifiable, 's': -supported}) OVER (PARTITION BY qid, system_name ORDER BY started_at, record_id) AS p FROM records WHERE supported IS NOT NULL AND contradicted IS NOT NULL AND unverifiable IS NOT NULL AND qid NOT LIKE '%probe')
 SELECT record_id, ({'c': c, 'u': u, 's': -s} < p) AS better, (p < {'c': c, 'u': u, 's': -s}) AS worse FROM r WHERE p IS NOT NULL""")
 def verdict_profiles(spark, d):
-    """Each run of a question by a system against the run before it, compared by verdict profile. The standing probe, a run without question, is left out."""
-    rows = read(spark, d, "records").where("supported IS NOT NULL AND contradicted IS NOT NULL AND unverifiable IS NOT NULL AND qid NOT LIKE '%probe'")
-    rows = rows.withColumn("p", correction.profile(F.col("supported"), F.col("contradicted"), F.col("unverifiable")))
-    rows = rows.withColumn("q", F.lag("p").over(W.partitionBy("qid", "system_name").orderBy("started_at", "record_id"))).where("q IS NOT NULL")
+    """Each run of a question by a system against the run before it, compared by verdict profile.
+
+    A question may hold a third of all runs, so no task sorts all runs of one: the run before is looked for inside the
+    hour, and the first run of an hour gets the last one of the hour before it that has any.
+    """
+    rows = read(spark, d, "records").where("supported IS NOT NULL AND contradicted IS NOT NULL AND unverifiable IS NOT NULL AND qid IS NOT NULL")
+    rows = rows.select("record_id", "qid", "system_name", "started_at", F.date_trunc("hour", F.col("started_at")).alias("slot"), correction.profile(F.col("supported"), F.col("contradicted"), F.col("unverifiable")).alias("p"))
+    inside = rows.withColumn("q", F.lag("p").over(W.partitionBy("qid", "system_name", "slot").orderBy("started_at", "record_id"))).where("q IS NOT NULL").select("record_id", "p", "q")
+    order, run = F.struct("started_at", "record_id"), F.struct("record_id", "p")
+    slots = rows.groupBy("qid", "system_name", "slot").agg(F.min_by(run, order).alias("first"), F.max_by("p", order).alias("last"))
+    slots = slots.withColumn("q", F.lag("last").over(W.partitionBy("qid", "system_name").orderBy(F.col("slot").asc_nulls_last()))).where("q IS NOT NULL")
+    rows = inside.unionByName(slots.select("first.record_id", "first.p", "q"))
     return rows.select("record_id", (F.col("p") < F.col("q")).alias("better"), (F.col("q") < F.col("p")).alias("worse"))
 
 
