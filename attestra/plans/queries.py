@@ -737,11 +737,16 @@ def split_leakage(spark, d):
 WITH q AS (SELECT row_id, {S.group_id('parallel_id', 'qid')} AS g, {S.language_label('language')} AS l, nullif(trim(gold_answer), '') AS gold, should_abstain FROM questions), e AS (SELECT g, min(gold) AS gold FROM q WHERE l = 'en' AND gold IS NOT NULL AND g <> 'ins-000000' GROUP BY g)
 SELECT row_id, CASE WHEN should_abstain THEN '(should abstain)' WHEN q.gold IS NOT NULL THEN q.gold WHEN e.gold IS NOT NULL THEN '(en reference) ' || e.gold END AS reference FROM q LEFT JOIN e USING (g)""")
 def reference_answers(spark, d):
-    """The answer to mark against: the own one, else that of the English row of the group. The catch-all group names no question, so it lends none."""
-    q = read(spark, d, "questions").select("row_id", B.group_id(F.col("parallel_id"), F.col("qid")).alias("g"), B.language_label(F.col("language")).alias("l"), F.nullif(F.trim("gold_answer"), F.lit("")).alias("gold"), "should_abstain")
-    en = q.where("l = 'en' AND gold IS NOT NULL AND g <> 'ins-000000'").groupBy("g").agg(F.min("gold").alias("en_gold"))
-    ref = F.when(F.col("should_abstain"), "(should abstain)").when(F.col("gold").isNotNull(), F.col("gold")).when(F.col("en_gold").isNotNull(), F.concat(F.lit("(en reference) "), F.col("en_gold")))
-    return q.join(en, "g", "left").select("row_id", ref.alias("reference"))
+    """The answer to mark against: the own one, else that of the English row of the group, else that the system should abstain."""
+    q = read(spark, d, "questions").select("row_id", B.group_id(F.col("parallel_id"), F.col("qid")).alias("g"), B.language_label(F.col("language")).alias("l"), F.nullif(F.trim("gold_answer"), F.lit("")).alias("gold"))
+    en = q.where("l = 'en' AND gold IS NOT NULL").groupBy("g").agg(F.min("gold").alias("en_gold"))
+    own = q.where("gold IS NOT NULL").select("row_id", F.col("gold").alias("reference"))
+    # Only rows without an answer of their own meet the groups, dealt out so that no task has all rows of a large one.
+    lent = F.coalesce(F.concat(F.lit("(en reference) "), F.col("en_gold")), F.lit("(should abstain)"))
+    salts = 8
+    need = q.where("gold IS NULL").select("row_id", "g", F.pmod(F.xxhash64("row_id"), F.lit(salts)).alias("salt"))
+    en = en.join(need.select("g").distinct(), "g", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return own.unionByName(need.join(en, ["g", "salt"], "left").select("row_id", lent.alias("reference")))
 
 
 @query("SELECT record_id, qid FROM records r WHERE NOT EXISTS (SELECT 1 FROM annotation_events a WHERE a.qid = r.qid)")

@@ -20,3 +20,13 @@ def test_verdict_profiles_keep_the_probe(spark, tmp_path):
             last[q, s] = mine
     got = [(r.record_id, (r.better, r.worse)) for r in Q.verdict_profiles(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) == 21 and dict(got) == want
+
+
+def test_reference_answers_lend_and_abstain_in_every_group(spark, tmp_path):
+    rows = [
+        (1, "ins-000000", "en-ins-000000", "en", "Yes.", False), (2, "ins-000000", "hi-ins-000000", "hi", None, False), (3, "ins-000000", "ta-ins-000000", "ta", " ", True),
+        (4, "ins-000007", "hi-ins-000007", "hi", None, None), (5, "ins-000007", "ta-ins-000007", "ta", "Own.", True), (6, None, None, "hi", "", False), (7, "ins-000008", "en-ins-000008", "en", None, True),
+    ]
+    spark.createDataFrame(rows, "row_id long, parallel_id string, qid string, language string, gold_answer string, should_abstain boolean").write.parquet(f"{tmp_path}/questions.parquet")
+    got = {r.row_id: r.reference for r in Q.reference_answers(spark, str(tmp_path)).collect()}
+    assert got == {1: "Yes.", 2: "(en reference) Yes.", 3: "(en reference) Yes.", 4: "(should abstain)", 5: "Own.", 6: "(should abstain)", 7: "(should abstain)"}
