@@ -1,13 +1,15 @@
 """Problem 8: personal information in free text, found and replaced by typed placeholders.
 
 Generators propose overlapping spans with high recall; boosted trees judge each by its format and its context; thresholds
-calibrated on held-out rows decide, and of overlapping spans the most probable stays. There are no labelled rows, so the
-trees learn from spans whose context says plainly what they are; name scores come from the given list of name parts, each
-name scored by the half of the list that it is not in, as the list is known to be incomplete.
+calibrated on all documents that grow no tree decide, and of overlapping spans the most probable stays. There are no
+labelled rows, so the trees learn from spans whose context says plainly what they are; name scores come from the words of all
+documents and the given list of name parts, each name scored by the half of the list that it is not in, as the list is known
+to be incomplete.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -17,11 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost
-from .common import fill_cores, hash_sample, table
+from .common import fill_cores, table, written
 
 KINDS = ("person", "email", "phone", "identity", "address")
 SAMPLE_DOCS = 4_000  # bound of the sample that the trees are fitted on
@@ -77,13 +79,47 @@ def _grams(word: str) -> list[str]:
     return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] + [f"{w[-n:]}#" for n in (3, 4, 5)]
 
 
+def _words(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+@dataclass
+class Holders:
+    """The number of documents that hold a word, of all documents: 12 bytes for each word of two documents or more, one document for any other."""
+
+    hashes: np.ndarray  # sorted
+    counts: np.ndarray
+
+    @staticmethod
+    def of_pairs(hashes: np.ndarray, counts: np.ndarray) -> Holders:
+        order = np.argsort(hashes, kind="stable")
+        return Holders(hashes[order].astype(np.int64), counts[order].astype(np.int32))
+
+    def get(self, word: str) -> int:
+        h = _hash(word)
+        i = int(np.searchsorted(self.hashes, h))
+        return int(self.counts[i]) if i < len(self.hashes) and self.hashes[i] == h else 1
+
+
+def name_sets(names: list[tuple[str, str]]) -> dict[str, set[str]]:
+    parts: dict[str, set[str]] = {"given": set(), "family": set()}
+    for n, kind in names:
+        if n and kind in parts:
+            parts[kind].add(n.strip().lower())
+    return parts
+
+
 @dataclass
 class NameScores:
     """How much a word looks like a given or a family name: the mean log odds of its letter n-grams against other words of the corpus."""
 
     fold: dict[str, int]
     odds: dict[tuple[str, int], dict[str, float]]
-    common: dict[str, int]
+    common: Holders
     given: set[str]
     family: set[str]
     floor: dict[str, float] = field(default_factory=dict)
@@ -91,22 +127,17 @@ class NameScores:
     ends: dict[str, bool] = field(default_factory=dict)
 
     @staticmethod
-    def fit(names: list[tuple[str, str]], texts: list[str]) -> NameScores:
-        common = Counter(w.lower() for t in texts for w in set(_WORD.findall(t)))
-        parts: dict[str, set[str]] = {"given": set(), "family": set()}
-        for n, kind in names:
-            if n and kind in parts:
-                parts[kind].add(n.strip().lower())
+    def fit(parts: dict[str, set[str]], common: Holders, other: dict[str, int]) -> NameScores:
+        """other: how many words of the corpus that are no listed name have an n-gram, for those of the names, and at "" the sum over all n-grams."""
         fold = {n: sum(map(ord, n)) % 2 for kind in parts for n in parts[kind]}
-        other = Counter(g for w in common if w not in fold for g in _grams(w))
         odds = {}
-        n_other = sum(other.values()) + 1
+        n_other = other.get("", 0) + 1
         for kind, ns in parts.items():
             for k in (0, 1):
                 mine = Counter(g for n in ns if fold[n] == k for g in _grams(n))
                 total = sum(mine.values()) + 1
-                odds[kind, k] = {g: math.log((mine[g] + 0.05) / total) - math.log((other[g] + 0.5) / n_other) for g in mine}
-        out = NameScores(fold, odds, dict(common), parts["given"], parts["family"])
+                odds[kind, k] = {g: math.log((mine[g] + 0.05) / total) - math.log((other.get(g, 0) + 0.5) / n_other) for g in mine}
+        out = NameScores(fold, odds, common, parts["given"], parts["family"])
         # no known name, scored without itself, ends less like a name than this
         for i, kind in enumerate(("given", "family")):
             out.floor[kind] = min((out.of(n)[3 + i] for n in parts[kind]), default=math.inf)
@@ -120,7 +151,7 @@ class NameScores:
         return may
 
     def of(self, word: str) -> tuple[float, ...]:
-        """(given, family, log of the documents of the sample that hold the word, given and family by the end of the word alone)."""
+        """(given, family, log of the documents that hold the word, given and family by the end of the word alone)."""
         w = word.lower()
         got = self.memo.get(w)
         if got is None:
@@ -129,10 +160,53 @@ class NameScores:
             gs = _grams(w)
             use = (1 - self.fold[w],) if w in self.fold else (0, 1)
             s = [sum(self.odds[kind, k].get(g, -3.0) for k in use for g in part) / (len(use) * len(part)) for part in (gs, gs[-3:]) for kind in ("given", "family")]
-            got = self.memo[w] = (s[0], s[1], math.log1p(self.common.get(w, 0)), s[2], s[3])
+            got = self.memo[w] = (s[0], s[1], math.log1p(self.common.get(w)), s[2], s[3])
         return got
 
 
+def _other_grams(words: Iterator[str], known: set[str], grams: set[str]) -> Counter:
+    out: Counter = Counter()
+    for w in words:
+        if w not in known:
+            gs = _grams(w)
+            out[""] += len(gs)
+            out.update(g for g in gs if g in grams)
+    return out
+
+
+def name_scores(docs: DataFrame, names: list[tuple[str, str]], text: str) -> NameScores:
+    """Scores from the words of all documents: a batch counts its own, Spark adds them up. The driver gets the n-grams of the list and the holders of words."""
+    parts = name_sets(names)
+    known = parts["given"] | parts["family"]
+    grams = {g for n in known for g in _grams(n)}
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["t"]:
+                seen.update(_words(t))
+            if len(seen) > 500_000:
+                yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+                seen.clear()
+        yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for pdf in batches:
+            seen.update(_other_grams(pdf["word"], known, grams))
+        yield pd.DataFrame({"g": list(seen.keys()), "n": list(seen.values())})
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": [_hash(w) for w in pdf["word"]], "n": pdf["n"]})
+
+    counted = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(words, "word string, n long")
+    counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    other = counted.mapInPandas(others, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    held = counted.where("n > 1").mapInPandas(hashed, "h long, n long").select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
+    return NameScores.fit(parts, Holders.of_pairs(held["h"].to_numpy(), held["n"].to_numpy()), {r.g: r.n for r in other.toLocalIterator()})
+
+
 # ---------------------------------------------------------------- candidates
 
 Span = tuple[str, int, int]  # kind, start, end
@@ -202,10 +276,10 @@ def goes_on(text: str, span: Span) -> bool:
     return span[0] in ("phone", "identity") and bool(line) and sum(c.isdigit() for c in head) >= 9
 
 
-def features(text: str, span: Span, names: NameScores) -> list[float]:
+def features(text: str, span: Span, names: NameScores, near: tuple[str, str] | None = None) -> list[float]:
     kind, a, b = span
     s = text[a:b]
-    before, after = context(text, a, b)
+    before, after = near or context(text, a, b)
     x = [float(kind == k) for k in KINDS]
     groups = [g.group() for g in _GROUP.finditer(s)]
     seps = {c for c in s if c in " \n-.()"}
@@ -238,11 +312,11 @@ def features(text: str, span: Span, names: NameScores) -> list[float]:
 # ---------------------------------------------------------------- training
 
 
-def weak_label(text: str, span: Span, names: NameScores) -> int | None:
+def weak_label(text: str, span: Span, names: NameScores, near: tuple[str, str] | None = None) -> int | None:
     """1 or 0 where the span's context or make-up says plainly what it is, None where it does not."""
     kind, a, b = span
     s = text[a:b]
-    before, after = context(text, a, b)
+    before, after = near or context(text, a, b)
     whole = not re.search(r"\d[ .\-]?\Z|\+\Z", text[max(0, a - 2) : a]) and not re.match(r"[ .\-]?\d", text[b : b + 2])
     if kind == "email":
         return int(bool(re.search(r"(?:@|\[at\]|\(at\))\s?[\w-]+\s?(?:\.|\[dot\]|\(dot\))\s?\w{2,}$", s, re.I)))
@@ -286,86 +360,147 @@ def is_initial(span: str, first: str) -> bool:
     return span[len(first) : len(first) + 1] == "." and first not in TITLES and sum(unicodedata.category(c)[0] == "L" for c in first) <= 2 and len(first) <= (1 if first.isascii() else 4)
 
 
+Judged = tuple[str, int, int, float, int | None]  # kind, start, end, probability, weak label
+
+
 @dataclass
 class Finder:
     names: NameScores
     trees: Boosted
     threshold: dict[str, float]
 
-    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
-        """The accepted spans of each text, in order, none overlapping another; all candidates of a batch are judged at once."""
+    def judged(self, texts: list[str], labelled: list[bool]) -> list[list[Judged]]:
+        """All candidates of each text with their probability, and their weak label where it is asked for; those of a batch are judged at once."""
         found = [list(dict.fromkeys(candidates(t, self.names))) for t in texts]
-        rows = [features(t, s, self.names) for t, ss in zip(texts, found) for s in ss]
+        rows, labels = [], []
+        for t, ss, asked in zip(texts, found, labelled):
+            for s in ss:
+                near = context(t, s[1], s[2])
+                rows.append(features(t, s, self.names, near))
+                labels.append(weak_label(t, s, self.names, near) if asked else None)
         p = self.trees.probability(np.array(rows)) if rows else np.zeros(0)
         out, at = [], 0
-        for t, ss in zip(texts, found):
-            mine = p[at : at + len(ss)]
+        for ss in found:
+            out.append([(*s, float(p[at + i]), labels[at + i]) for i, s in enumerate(ss)])
             at += len(ss)
-            sure = [i for i in range(len(ss)) if mine[i] >= self.threshold[ss[i][0]]]
-            order = sorted(sure, key=lambda i: (goes_on(t, ss[i]), -round(mine[i], 6), ss[i][1] - ss[i][2], ss[i]))
-            kept: list[tuple[str, int, int, float]] = []
-            for i in order:
-                kind, a, b = ss[i]
-                if all(b <= x or a >= y for _, x, y, _ in kept):
-                    kept.append((kind, a, b, float(mine[i])))
-            out.append(sorted(kept, key=lambda k: k[1]))
         return out
 
+    def chosen(self, text: str, judged: list[Judged]) -> list[tuple[str, int, int, float]]:
+        """The accepted spans of a text, in order, none overlapping another."""
+        sure = [x[:4] for x in judged if x[3] >= self.threshold[x[0]]]
+        kept: list[tuple[str, int, int, float]] = []
+        for kind, a, b, p in sorted(sure, key=lambda x: (goes_on(text, x[:3]), -round(x[3], 6), x[1] - x[2], x[:3])):
+            if all(b <= x or a >= y for _, x, y, _ in kept):
+                kept.append((kind, a, b, p))
+        return sorted(kept, key=lambda k: k[1])
 
-def fit(texts: list[str], names: list[tuple[str, str]]) -> Finder:
-    """Trees and thresholds from a bounded sample of texts; every third text sets the thresholds, the others grow the trees."""
-    scores = NameScores.fit(names, texts)
+    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+        return [self.chosen(t, x) for t, x in zip(texts, self.judged(texts, [False] * len(texts)))]
+
+
+def grow(texts: list[str], scores: NameScores) -> Finder:
+    """Trees from a bounded sample of texts; the thresholds are still to be set."""
     x: list[list[float]] = []
-    y, part, kinds = [], [], []
-    for i, t in enumerate(texts):
+    y: list[int] = []
+    for t in texts:
         for s in dict.fromkeys(candidates(t, scores)):
             label = weak_label(t, s, scores)
             if label is not None:
                 x.append(features(t, s, scores))
                 y.append(label)
-                part.append(i % 3 == 0)
-                kinds.append(s[0])
     if not x or len(set(y)) < 2:
-        n = len(features("1", ("email", 0, 1), scores))
-        trees = Boosted(-9.0, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 1)
-        return Finder(scores, trees if n else trees, dict.fromkeys(KINDS, 0.5))
-    xs, ys, held, ks = np.array(x), np.array(y, float), np.array(part), np.array(kinds)
-    if held.all() or not held.any():
-        held = np.zeros(len(ys), bool)
-    trees = boost(xs[~held], ys[~held])
-    p = trees.probability(xs)
-    use = held if held.any() else ~held
-    return Finder(scores, trees, {k: calibrated(p[use & (ks == k)], ys[use & (ks == k)]) for k in KINDS})
-
-
-def calibrated(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1 on held-out rows; midway in the gap where several are equal, one half where there are no positives."""
-    if not y.sum():
+        return Finder(scores, Boosted(-9.0, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 1), dict.fromkeys(KINDS, 0.5))
+    return Finder(scores, boost(np.array(x), np.array(y, float)), dict.fromkeys(KINDS, 0.5))
+
+
+def fit(texts: list[str], names: list[tuple[str, str]]) -> Finder:
+    """What train() makes, of texts in memory: every third text sets the thresholds, the others grow the trees."""
+    parts, seen = name_sets(names), Counter(w for t in texts for w in _words(t))
+    known = parts["given"] | parts["family"]
+    held = Holders.of_pairs(np.array([_hash(w) for w in seen], np.int64), np.array([*seen.values()], np.int32))
+    finder = grow([t for i, t in enumerate(texts) if i % 3], NameScores.fit(parts, held, _other_grams(iter(seen), known, {g for n in known for g in _grams(n)})))
+    rest = [t for i, t in enumerate(texts) if not i % 3]
+    rows = [x for xs in finder.judged(rest, [True] * len(rest)) for x in xs if x[4] is not None]
+    for k in KINDS:
+        mine = [x for x in rows if x[0] == k]
+        finder.threshold[k] = calibrated(np.array([x[3] for x in mine]), np.array([x[4] for x in mine]), np.ones(len(mine)))
+    return finder
+
+
+def calibrated(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The threshold with the best F1 on rows that grew no tree, each standing for n; midway in the gap where several are equal, one half where there are no positives."""
+    if not len(y) or not (y * n).sum():
         return 0.5
     order = np.argsort(-p, kind="stable")
-    p, y = p[order], y[order]
-    hit = y.cumsum()
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    p, y, n = p[order], y[order], n[order]
+    hit = (y * n).cumsum()
+    f1 = 2 * hit / (n.cumsum() + (y * n).sum())
     last = np.append(p[1:] < p[:-1], True)
     k = int(np.argmax(np.where(last, f1, -1)))
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
 
 
-def train(docs: DataFrame, name_parts: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Finder:
-    """A finder fitted on about sample_docs documents at most, taken by a hash of the key, and on the list of name parts."""
-    rows = hash_sample(docs.where(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t")), F.xxhash64("k"), sample_docs).toPandas().sort_values(["k", "t"])
+def _grows(docs: DataFrame, text: str, key: str, n: int) -> Column:
+    """Whether a document grows the trees: two thirds of about n documents (of all, if there are fewer), by a hash of the key."""
+    total = docs.where(F.length(text) > 0).count()
+    sampled = F.lit(True) if total <= n else F.xxhash64(key).bitwiseAND(F.lit(2**63 - 1)) < F.lit(int((n / total) * 2**63))
+    return F.coalesce(sampled & (F.length(text) > 0) & (F.pmod(F.xxhash64(key, F.lit(1)), F.lit(3)) != 0), F.lit(False))
+
+
+JUDGED = "array<struct<kind: string, start: int, end: int, probability: double, label: int>>"
+
+
+def judge(docs: DataFrame, finder: Finder, grows: Column, text: str = "text") -> DataFrame:
+    """docs with `judged`: all candidates of a text, with weak labels where it grows no tree."""
+    shared = docs.sparkSession.sparkContext.broadcast(finder)
+
+    @F.pandas_udf(JUDGED)  # marked below: a filter on its result must not run it a second time
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        f = shared.value
+        for s, g in batches:
+            yield pd.Series([[dict(zip(("kind", "start", "end", "probability", "label"), x)) for x in xs] for xs in f.judged(s.fillna("").tolist(), (~g.astype(bool)).tolist())], dtype=object)
+
+    return docs.withColumn("judged", run.asNondeterministic()(F.col(text), grows))
+
+
+def thresholds(judged: DataFrame) -> dict[str, float]:
+    """By kind, from the labelled candidates of all documents. Probabilities are counted in steps of 1/10,000, so the driver gets a table of bounded size."""
+    rows = judged.select(F.explode("judged").alias("x")).where("x.label IS NOT NULL").groupBy(F.col("x.kind").alias("kind"), F.round("x.probability", 4).alias("p"), F.col("x.label").alias("y")).agg(F.count("*").alias("n")).toPandas()
+    rows = rows.sort_values(["kind", "p", "y"])
+    return {k: calibrated(x["p"].to_numpy(), x["y"].to_numpy(), x["n"].to_numpy()) for k in KINDS for x in [rows[rows["kind"] == k]]}
+
+
+def _grown(docs: DataFrame, name_parts: DataFrame, text: str, key: str, sample_docs: int) -> tuple[Finder, Column]:
+    grows = _grows(docs, text, key, sample_docs)
     names = [(r[0], r[1]) for r in name_parts.select("name_part", "part_kind").distinct().orderBy("name_part", "part_kind").toLocalIterator()]
-    return fit(rows["t"].tolist(), names)
+    scores = name_scores(docs, names, text)
+    rows = docs.where(grows).select(F.col(key).alias("k"), F.col(text).alias("t")).toPandas().sort_values(["k", "t"])
+    return grow(rows["t"].tolist(), scores), grows
+
+
+def train(docs: DataFrame, name_parts: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Finder:
+    """A finder: words counted and thresholds set over all documents, trees grown on about sample_docs at most, taken by a hash of the key."""
+    finder, grows = _grown(docs, name_parts, text, key, sample_docs)
+    finder.threshold = thresholds(judge(docs, finder, grows, text))
+    return finder
 
 
 SCHEMA = "spans array<struct<kind: string, start: int, end: int, found_text: string, probability: double>>, redacted string"
 
 
+def _written_out(text: str, spans: list[tuple[str, int, int, float]]) -> tuple[list[tuple], str]:
+    out, at = [], 0
+    for kind, a, b, _ in spans:
+        out += [text[at:a], f"[{kind.upper()}]"]
+        at = b
+    return [(k, a, b, _ENDS.sub("", text[a:b]), p) for k, a, b, p in spans], "".join([*out, text[at:]])
+
+
 def find(docs: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
     """docs with `personal`: the spans found (offsets in code points) and the text with each replaced by its kind in brackets.
 
-    A NULL text has NULL, an empty one no span. Texts are taken whole. The finder, bounded by its sample, goes to the
-    workers once; the texts are read once and not moved.
+    A NULL text has NULL, an empty one no span. Texts are taken whole. The finder goes to the workers once; the texts are
+    read once and not moved.
     """
     shared = docs.sparkSession.sparkContext.broadcast(finder)
 
@@ -373,23 +508,35 @@ def find(docs: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         f = shared.value
         for s in batches:
-            rows = []
             texts = s.fillna("").tolist()
-            for t, spans in zip(texts, f.spans(texts)):
-                out, at = [], 0
-                for kind, a, b, _ in spans:
-                    out += [t[at:a], f"[{kind.upper()}]"]
-                    at = b
-                rows.append(([(k, a, b, _ENDS.sub("", t[a:b]), p) for k, a, b, p in spans], "".join([*out, t[at:]])))
-            yield pd.DataFrame(rows, columns=["spans", "redacted"])
+            yield pd.DataFrame([_written_out(t, spans) for t, spans in zip(texts, f.spans(texts))], columns=["spans", "redacted"])
 
     out = docs.withColumn("_text", F.col(text))
     return out.withColumn("personal", F.when(F.col(text).isNotNull(), run(F.col("_text")))).drop("_text")
 
 
+def choose(judged: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
+    """What find() gives, from candidates that are judged already."""
+    limit = finder.threshold
+    sure = F.filter("judged", lambda x: F.coalesce(*[F.when(x["kind"] == k, x["probability"] >= limit[k]) for k in KINDS]))
+
+    @F.pandas_udf(SCHEMA)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        f = Finder(None, None, limit)
+        for s, xs in batches:
+            rows = [(t, f.chosen(t, [(x["kind"], x["start"], x["end"], x["probability"], None) for x in found])) for t, found in zip(s.fillna("").tolist(), xs)]
+            yield pd.DataFrame([_written_out(*r) for r in rows], columns=["spans", "redacted"])
+
+    out = judged.withColumn("_text", F.col(text)).withColumn("_sure", sure)
+    return out.withColumn("personal", F.when(F.col(text).isNotNull(), run(F.col("_text"), F.col("_sure")))).drop("_text", "_sure", "judged")
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find(fill_cores(docs), train(docs, table(spark, sf_dir, "name_parts")))
+    finder, grows = _grown(docs, table(spark, sf_dir, "name_parts"), "text", "doc_id", SAMPLE_DOCS)
+    judged = written(judge(fill_cores(docs), finder, grows))  # the costly part, needed for the thresholds and for the spans
+    finder.threshold = thresholds(judged)
+    return choose(judged, finder)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
