@@ -7,6 +7,7 @@ labelled rows whose labels may be wrong; the script of a text only picks the cla
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +25,12 @@ BITS = 16
 ORDERS = (1, 2, 3, 4)
 CHUNK = 200_000  # characters scored at once
 MIN_LETTERS = 12  # a shorter segment says too little to make its text mixed
-#: A class that holds less of a script's labelled texts than this is taken for wrong labels.
-LEAST_SHARE = 0.06
+LEAST_TEXTS = 5  # segments; fewer say too little to fit a class
+ROUNDS = 8  # at most so many fits sort out wrong labels
 _CODE = re.compile(r"\S*\d\S*")
 _NOT_LETTERS = re.compile(r"[^\wऀ-෿]+|_")
-#: Sentence ends; "Rs. 5" and initials do not end one.
-_END = re.compile(r"(?<=[?!।॥？！])\s+|(?<=[^\W\d]{3}[.。．])\s+(?=\D)|[ \t]*[\n\r]+\s*|\s+/\s+")
+#: Sentence ends; "Rs. 5" and initials do not end one. Vowel signs and other marks count as letters.
+_END = re.compile(r"(?<=[?!।॥？！])\s+|(?<=(?:[^\W\d]|(?!\d)[ऀ-෿]){3}[.。．])\s+(?=\D)|[ \t]*[\n\r]+\s*|\s+/\s+")
 _SCRIPTS = [("deva", 0x0900, 0x097F), ("taml", 0x0B80, 0x0BFF), ("latn", 0x41, 0x24F)]
 
 
@@ -98,43 +99,71 @@ class Model:
             while end < len(texts) and (size < CHUNK or end == start):
                 size += len(texts[end])
                 end += 1
-            cells, owner = ngram_cells(texts[start:end])
-            n = end - start
-            score = np.stack([np.bincount(owner, weights=self.logp[cells, c], minlength=n) for c in range(len(self.classes))], 1)
-            score = np.maximum(score / len(ORDERS), -1e6)
-            seen = np.bincount(owner, minlength=n) > 0
-            p = np.exp(score - score.max(1, keepdims=True))
-            by = np.stack([p[:, [i for i, (l, _) in enumerate(self.classes) if l == lang]].sum(1) for lang in LANGUAGES], 1)
-            out[start:end][seen] = (by / by.sum(1, keepdims=True))[seen]
+            self._score(out[start:end], *ngram_cells(texts[start:end]))
             start = end
         return out
 
+    def scored(self, parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """posteriors() of n texts whose n-grams are at hand, in parts of 2,000 texts."""
+        out = np.full((n, len(LANGUAGES)), 1 / len(LANGUAGES))
+        for i, part in enumerate(parts):
+            self._score(out[2000 * i : 2000 * (i + 1)], *part)
+        return out
+
+    def _score(self, out: np.ndarray, cells: np.ndarray, owner: np.ndarray) -> None:
+        n = len(out)
+        score = np.stack([np.bincount(owner, weights=self.logp[cells, c], minlength=n) for c in range(len(self.classes))], 1)
+        score = np.maximum(score / len(ORDERS), -1e6)
+        seen = np.bincount(owner, minlength=n) > 0
+        p = np.exp(score - score.max(1, keepdims=True))
+        by = np.stack([p[:, [i for i, (l, _) in enumerate(self.classes) if l == lang]].sum(1) for lang in LANGUAGES], 1)
+        out[seen] = (by / by.sum(1, keepdims=True))[seen]
+
 
 def fit(texts: list[str], labels: list[str]) -> Model:
-    """A model from labelled texts. After a first fit, texts whose label the model contradicts are dropped and it is fitted again."""
-    texts = [letters(t) for t in texts]
+    """A model from labelled texts, by segments, as a text may be mixed. Segments whose label is contradicted by a model of the other half of the texts are left out of the next fits, until none is.
+
+    A class, however small its share of a script, stays as long as such models confirm segments of it; one of wrong labels
+    has the n-grams of the right class, which knows them better.
+    """
+    parted = [(letters(x), l, zlib.crc32(t.encode()) & 1) for t, l in zip(texts, labels) for x in segments(t)]
+    texts, labels = [x[0] for x in parted], [x[1] for x in parted]
     scripts = [script_of(t) for t in texts]
-    model = _counted(texts, labels, scripts)
-    if model.classes:
-        best = model.posteriors(texts).argmax(1)
-        keep = [i for i, b in enumerate(best) if LANGUAGES[b] == labels[i]]
-        model = _counted([texts[i] for i in keep], [labels[i] for i in keep], [scripts[i] for i in keep])
-    return model
-
-
-def _counted(texts: list[str], labels: list[str], scripts: list[str]) -> Model:
-    pairs = pd.Series(list(zip(labels, scripts)), dtype=object)
-    in_script = pd.Series(scripts, dtype=object).value_counts()
-    n = pairs.value_counts()
-    classes = sorted(c for c in n.index if c[1] != "none" and n[c] >= LEAST_SHARE * in_script[c[1]])
-    if not classes:
-        return Model([], np.zeros((1 << BITS, 0)))
-    counts = np.full((1 << BITS, len(classes)), 0.05)
-    for k, c in enumerate(classes):
-        mine = [t for t, p in zip(texts, pairs) if p == c]
-        for i in range(0, len(mine), 2000):
-            counts[:, k] += np.bincount(ngram_cells(mine[i : i + 2000])[0], minlength=1 << BITS)
-    return Model(classes, np.log(counts / counts.sum(0)))
+    names = sorted({c for c in zip(labels, scripts) if c[1] != "none"})
+    at = {c: k for k, c in enumerate(names)}
+    of = np.array([at.get(c, -1) for c in zip(labels, scripts)], np.int64)
+    half = np.array([x[2] for x in parted], np.int64)  # equal texts are in one half
+    parts = [ngram_cells(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]
+    keep = of >= 0
+    for _ in range(ROUNDS):
+        by = [_counts(parts, np.where(keep & (half == h), of, -1), len(names)) for h in (0, 1)]
+        sizes = np.bincount(of[keep], minlength=len(names))
+        new = keep.copy()
+        for h in (0, 1):
+            model = _model(names, by[1 - h], sizes)
+            if model.classes:
+                new &= (half != h) | (model.scored(parts, len(texts)).argmax(1) == [LANGUAGES.index(x) for x in labels])
+        if (new == keep).all():
+            break
+        keep = new
+    return _model(names, _counts(parts, np.where(keep, of, -1), len(names)), np.bincount(of[keep], minlength=len(names)))
+
+
+def _counts(parts: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, n: int) -> np.ndarray:
+    """cell x class: n-grams of the texts of each class (-1: of none)."""
+    out = np.zeros((1 << BITS, n))
+    for i, (cells, owner) in enumerate(parts):
+        mine = of[owner + 2000 * i]
+        for k in range(n):
+            out[:, k] += np.bincount(cells[mine == k], minlength=1 << BITS)
+    return out
+
+
+def _model(names: list[tuple[str, str]], counts: np.ndarray, sizes: np.ndarray) -> Model:
+    """Of the classes that have segments enough and stand in the counts."""
+    use = [k for k in range(len(names)) if sizes[k] >= LEAST_TEXTS and counts[:, k].any()]
+    smooth = counts[:, use] + 0.05
+    return Model([names[k] for k in use], np.log(smooth / smooth.sum(0)))
 
 
 def train(df: DataFrame, text: str, language: str, key: str, sample_rows: int = SAMPLE_ROWS) -> Model:
