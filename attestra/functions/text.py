@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -134,9 +136,69 @@ def share_of(a: Column, b: Column) -> Column:
     return F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.size(b)).otherwise(0.0)
 
 
-def foreign_letters(text: Column, own: str) -> Column:
-    """Letters and marks of scripts other than Latin and the own one."""
-    return F.regexp_count(text, F.lit(rf"(?:(?!\p{{IsLatin}}|\p{{Is{own}}}|\p{{IsCommon}}|\p{{IsInherited}})[\p{{L}}\p{{Mn}}\p{{Mc}}])"))
+def _script(ch: str) -> str | None:
+    """The first word of the Unicode name of a letter or mark, which is its script; None for anything else."""
+    kind = unicodedata.category(ch)
+    return unicodedata.name(ch, " ").split(" ", 1)[0] or None if kind[0] == "L" or kind in ("Mn", "Mc") else None
+
+
+class _Scripts(dict):
+    def __missing__(self, ch: str) -> str | None:
+        self[ch] = out = _script(ch)
+        return out
+
+
+def _foreign(text: str, language: str | None, known: _Scripts) -> dict[str, int]:
+    own = L.OWN_SCRIPT.get(language, "LATIN")
+    if text.isascii():
+        return {}
+    found: Counter = Counter()
+    for ch, n in Counter(text).items():
+        script = known[ch]
+        if script not in (None, "LATIN", "COMBINING", own):
+            found[script] += n
+    if own != "LATIN":
+        kinds = ({known[c] for c in w} for w in re.split(L.WORD_PARTS, text))
+        mixed = sum(own in k and "LATIN" in k for k in kinds)
+        if mixed:
+            found["MIXED_WORD"] = mixed
+    return dict(sorted(found.items()))
+
+
+def foreign_scripts(text: Column, language: Column) -> Column:
+    """Letters and marks by script that a text of a language should not hold, as array<struct<script, n>>; NULL for NULL.
+
+    Latin and the language's own script are allowed; a word that mixes the two counts under MIXED_WORD. Unknown languages
+    allow Latin only. Scripts are known by Unicode names, which no expression gives, hence Arrow.
+    """
+
+    @F.arrow_udf("array<struct<script: string, n: int>>")
+    def count(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        known = _Scripts()
+        rows = [None if t is None else [{"script": k, "n": n} for k, n in _foreign(t, l, known).items()] for t, l in zip(texts.to_pylist(), languages.to_pylist())]
+        return pa.array(rows, pa.list_(pa.struct([("script", pa.string()), ("n", pa.int32())])))
+
+    return count(text, language)
+
+
+def is_script_clean(text: Column, language: Column) -> Column:
+    return F.size(foreign_scripts(text, language)) == 0
+
+
+def needs_review(detected: Column) -> Column:
+    """Whether a detected language is too unsure to be used unseen: below 0.6, or Romanised Hindi or Tamil, or two scripts mixed."""
+    return (detected["confidence"] < 0.6) | ((detected["script"] == "roman") & detected["language"].isin("hi", "ta")) | (detected["script"] == "mixed")
+
+
+def script_profile(text: Column) -> Column:
+    """'hi/native conf=0.98 dev=142 tam=0 lat=3', and '[review]' where needed."""
+    d, c = detect_language(text), script_counts(text)
+    return F.concat(F.format_string("%s/%s conf=%.2f dev=%d tam=%d lat=%d", d["language"], d["script"], d["confidence"], c["devanagari"], c["tamil"], c["latin"]), F.when(needs_review(d), " [review]").otherwise(""))
+
+
+def stub_words(text: Column) -> Column:
+    """Lower case, punctuation as blanks, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\sऀ-ॿ஀-௿]", " "), r"\s+", " "))
 
 
 def is_abstention(text: Column) -> Column:
@@ -167,6 +229,19 @@ def self_consistency(samples: Column) -> Column:
     return F.when(F.size(samples) < 2, 0.0).otherwise(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs))
 
 
+def consistency_signals(answer: Column, samples: Column) -> dict[str, Column]:
+    """The signals of an answer and its further samples: mean similarity, dispersion, number of samples, whether they can be relied on, words of the answer."""
+    all_ = F.concat(F.array(answer), samples)
+    one, words = self_consistency(all_), F.size(F.filter(F.split(answer, r"\s+"), lambda w: w != ""))
+    reliable = (words >= L.SHORT_ANSWER_TOKENS) & (F.size(samples) >= 2)
+    return {"s4_self_consistency": one, "s4_dispersion": 1 - one, "s4_n_samples": F.size(samples), "s4_reliable": reliable.cast("int"), "answer_tokens": words}
+
+
+def degenerate(answer: Column, samples: Column) -> Column:
+    """Whether all samples are the answer itself, so that their agreement says nothing."""
+    return (F.size(samples) > 0) & (F.size(F.array_distinct(F.concat(F.array(answer), samples))) == 1)
+
+
 def fingerprint(*parts: Column) -> Column:
     """Content address of a request."""
     return F.sha2(F.to_json(F.struct(*parts)), 256)
@@ -185,6 +260,13 @@ def retry_seconds(body: Column) -> Column:
     return F.when(text != "", F.nullif(part("h") * 3600 + part("m") * 60 + part("s"), F.lit(0.0))).otherwise(delay)
 
 
+def is_daily_quota(body: Column) -> Column:
+    """Whether a refusal says that the day's allowance is spent; a named period decides, a bare quota counts as the day's."""
+    low = F.lower(body)
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    return has(L.DAILY_MARKERS) | (~has(L.SHORT_PERIOD_MARKERS) & (low.contains("quota") | low.contains("exhausted")))
+
+
 def safe_name(name: Column) -> Column:
     """A file name without folders, of letters, digits, blank and ._- only; NULL if nothing is left."""
     last = F.element_at(F.split(name, r"[/\\\\]"), -1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 
-MAX_CHUNKS, MAX_CLAIMS = 5, 50
+MAX_CHUNKS, MAX_CLAIMS = 5, 50  # what the checker looks at unless it is told otherwise
 
 
 def decompose(answer: Column, language: Column) -> Column:
@@ -118,11 +118,11 @@ def verdict(scores: Column, language: Column) -> Column:
     return F.when(scores["contradiction"] >= c, "CONTRADICTED").when(scores["entailment"] >= e, "SUPPORTED").otherwise("UNVERIFIABLE")
 
 
-def verify(claims: DataFrame, evidence: DataFrame, sentences: DataFrame, key: str, policy: str = "support") -> DataFrame:
+def verify(claims: DataFrame, evidence: DataFrame, sentences: DataFrame, key: str, policy: str = "support", max_chunks: int = MAX_CHUNKS, max_claims: int = MAX_CLAIMS) -> DataFrame:
     """(key, language, claim_ord, claim, verdict, entailment, contradiction, neutral, citations).
 
-    claims: (key, language, claim_ord, claim); evidence: (key, place, chunk_id), of which the first MAX_CHUNKS count;
-    sentences: see evidence_sentences. A claim without evidence, or beyond MAX_CLAIMS, is UNVERIFIABLE with (0, 0, 1).
+    claims: (key, language, claim_ord, claim); evidence: (key, place, chunk_id), of which the first max_chunks count;
+    sentences: see evidence_sentences. A claim without evidence, or beyond max_claims, is UNVERIFIABLE with (0, 0, 1).
     policy 'contradiction': any contradiction wins; 'support': any support wins, then any contradiction. Citations are the
     chunks of the winning verdict in the order of their place. Claims meet their answer's chunks by equi-join.
     """
@@ -130,8 +130,8 @@ def verify(claims: DataFrame, evidence: DataFrame, sentences: DataFrame, key: st
         raise ValueError(policy)
     low = F.lower("claim")
     parts = F.struct(hashes(X.overlap_words(low)).alias("words"), hashes(F.array_distinct(X.tokens(low, F.col("language")))).alias("topics"), hashes(numbers(low)).alias("numbers"), negated(low).alias("negated"))
-    made = claims.where(F.col("claim_ord") < MAX_CLAIMS).select(key, "claim_ord", "language", stop_class(F.col("language")).alias("stop_class"), parts.alias("claim_parts"))
-    pairs = made.join(evidence.where(F.col("place") < MAX_CHUNKS), key).join(sentences, ["chunk_id", "stop_class"])
+    made = claims.where(F.col("claim_ord") < max_claims).select(key, "claim_ord", "language", stop_class(F.col("language")).alias("stop_class"), parts.alias("claim_parts"))
+    pairs = made.join(evidence.where(F.col("place") < max_chunks), key).join(sentences, ["chunk_id", "stop_class"])
     scored = with_scores(pairs).withColumn("v", verdict(F.col("s"), F.col("language")))
     own = F.when(F.col("v") == "SUPPORTED", F.col("s.entailment")).when(F.col("v") == "CONTRADICTED", F.col("s.contradiction")).otherwise(F.col("s.neutral"))
     pick = lambda v: F.max_by("s", F.when(F.col("v") == v, F.struct(own.alias("p"), (-F.col("place")).alias("at"))))
@@ -167,13 +167,14 @@ def normalised_scores(e: Column, c: Column, n: Column) -> Column:
     return F.when(total > 0, make(e / total, c / total, n / total)).otherwise(make(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
 
 
-def batch_labels(reply: Column, n: int) -> Column:
-    """The labels of a numbered reply '1: SUPPORTED' .. as an array; NULL unless each of 1..n stands there exactly once."""
-    lines = F.regexp_extract_all(F.upper(reply), F.lit(r"(?m)^\s*(\d+)\s*[.:)\-]\s*(?:SUPPORTED|CONTRADICTED|UNVERIFIABLE)\b"), 1)
-    labels = F.regexp_extract_all(F.upper(reply), F.lit(r"(?m)^\s*\d+\s*[.:)\-]\s*(SUPPORTED|CONTRADICTED|UNVERIFIABLE)\b"), 1)
-    order = F.transform(lines, lambda x: x.cast("int"))
-    pairs = F.array_sort(F.arrays_zip(order.alias("i"), labels.alias("l")))
-    return F.when((F.size(order) == n) & (F.array_sort(order) == F.sequence(F.lit(1), F.lit(n))), F.transform(pairs, lambda p: p["l"]))
+def batch_labels(reply: Column, n: int, labels: list[str] | None = None) -> Column:
+    """The labels of a numbered reply '1: ENTAILMENT' .. as an array. NULL unless every line is one and each of 1..n stands there exactly once: a reply that cannot be read whole is not used at all."""
+    pattern = L.REPLY_LINE.format(labels="|".join(labels or L.PREMISE_LABELS))
+    text = F.regexp_replace(F.regexp_replace(reply, r"^\s+|\s+$", ""), "^`+|`+$", "")
+    lines = F.filter(F.split(text, r"\r\n|[\n\r\u0085\u2028\u2029]"), lambda x: F.trim(x) != "")
+    pairs = F.array_sort(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, pattern, 1).try_cast("int").alias("i"), F.upper(F.regexp_extract(x, pattern, 2)).alias("l"))))
+    ok = F.forall(lines, lambda x: x.rlike(pattern)) & (F.size(lines) == n) & (F.transform(pairs, lambda p: p["i"]) == F.sequence(F.lit(1), F.lit(n)))
+    return F.when(F.coalesce(ok, F.lit(False)), F.transform(pairs, lambda p: p["l"]))
 
 
 def claim_lines(reply: Column, answer: Column, most: int = 20) -> Column:
@@ -182,7 +183,7 @@ def claim_lines(reply: Column, answer: Column, most: int = 20) -> Column:
     NULL, which asks for the rule-based decomposition instead: no usable line, `most` or more claims, or claims that
     together are far longer than the answer.
     """
-    lines = F.transform(F.split(reply, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
+    lines = F.transform(F.split(reply, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, L.LIST_MARK, "")))
     kept = F.filter(lines, lambda c: (F.length(c) >= 8) & c.rlike(r"[\p{L}\p{N}]"))
     none = F.upper(reply).contains(L.ABSTAIN_MARKERS[1])
     return F.when(none, F.array().cast("array<string>")).when((F.size(kept) == 0) | (F.size(kept) >= most) | inflated(kept, answer), None).otherwise(kept)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..session import written
 from .ranking import running_total
 
 BINS = 10
@@ -64,7 +68,7 @@ def adaptive_error(scored: DataFrame, p: str = "p", y: str = "y", n: int = BINS)
     """
     rows = scored.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     ties = rows.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("c"), F.sum(F.col(y).cast("double")).alias("s"))
-    steps = running_total(ties, "p", "c", "upto").persist()
+    steps = written(running_total(written(ties), "p", "c", "upto"))
     total = steps.agg(F.sum("c")).first()[0] or 0
     ends, at = [], 0
     while total and at < total:
@@ -82,14 +86,23 @@ def adaptive_error(scored: DataFrame, p: str = "p", y: str = "y", n: int = BINS)
 
 
 def temperature_grid(scored: DataFrame, p: str = "p", y: str = "y", steps: int = 200) -> DataFrame:
-    """(t, nll) for t = 0.025 .. 5. Equal (p, y) are counted once before the grid is laid over them."""
-    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
-    pairs = scored.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(q.alias("q"), F.col(y).cast("int").alias("y")).agg(F.count("*").alias("c"))
-    grid = pairs.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("t", F.col("i") * 5 / steps)
-    z = 1 / (1 + F.exp(-F.log(F.col("q") / (1 - F.col("q"))) / F.col("t")))
-    z = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), z))
-    loss = -(F.col("y") * F.log(z) + (1 - F.col("y")) * F.log(1 - z))
-    return grid.groupBy("i", "t").agg((F.sum(loss * F.col("c")) / F.sum("c")).alias("nll"))
+    """(t, nll) for t = 0.025 .. 5. Each task adds up the loss of its rows at all temperatures, so one row per task and temperature is shuffled."""
+    ts = np.arange(1, steps + 1) * 5 / steps
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loss, n = np.zeros(steps), 0
+        for pdf in batches:
+            n += len(pdf)
+            for a in range(0, len(pdf), 2000):
+                q = pdf["q"].to_numpy(float)[a : a + 2000].clip(1e-6, 1 - 1e-6)
+                one = pdf["y"].to_numpy(float)[a : a + 2000, None]
+                z = (1 / (1 + np.exp(-np.log(q / (1 - q))[:, None] / ts))).clip(1e-9, 1 - 1e-9)
+                loss -= (one * np.log(z) + (1 - one) * np.log(1 - z)).sum(0)
+        yield pd.DataFrame({"t": ts, "loss": loss, "n": n})
+
+    rows = scored.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(F.col(p).cast("double").alias("q"), F.col(y).cast("double").alias("y"))
+    sums = rows.mapInPandas(run, "t double, loss double, n long").groupBy("t").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+    return sums.where("n > 0").select("t", (F.col("loss") / F.col("n")).alias("nll"))
 
 
 def best_temperature(grid: DataFrame) -> DataFrame:
@@ -97,6 +110,20 @@ def best_temperature(grid: DataFrame) -> DataFrame:
     return grid.agg(F.min(F.struct(F.round("nll", 9).alias("nll"), F.col("t"))).alias("m")).select("m.t", "m.nll")
 
 
+SIGNALS = (  # the features of a checked answer in their fixed order
+    "s1_top_score", "s1_score_margin", "s1_mean_score", "s1_n_chunks", "s2_supported_ratio", "s2_contradicted_ratio", "s2_unverifiable_ratio", "s2_mean_margin", "s2_min_margin", "s2_n_claims",
+    "s3_mean_logprob", "s3_perplexity", "s4_self_consistency", "s4_dispersion", "s4_n_samples", "s4_reliable", "answer_tokens",
+)
+
+
+def feature_row(given: dict[str, Column]) -> list[Column]:
+    """The features in their fixed order as doubles; one that is not given is NULL, which is not 0."""
+    odd = sorted(set(given) - set(SIGNALS))
+    if odd:
+        raise ValueError(f"unknown features: {odd}")
+    return [given.get(n, F.lit(None)).cast("double").alias(n) for n in SIGNALS]
+
+
 def fit_logistic(rows: DataFrame, features: list[str], label: str, epochs: int = 400, rate: float = 0.1, l2: float = 0.01, limit: int = FIT_ROWS) -> dict:
     """Weights of a logistic model on standardised features by full-batch descent from zero, the bias unpenalised.
 

@@ -56,6 +56,18 @@ def tracker(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(a.alias("attempts"), r.alias("regressions"), F.count_if(F.col("correction_attempts") > 0).alias("runs_corrected"), F.when(a > 0, r / a).otherwise(0.0).alias("regression_rate"))
 
 
+def effects(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., attempts, improved, regressed, unchanged, improvement_rate, regression_rate) of corrections.
+
+    outcomes: (by.., action, accepted, regressed). Accepting and abstaining are no corrections; a regressed one counts as
+    that even if it was accepted.
+    """
+    rows = outcomes.where(~F.coalesce(F.col("action").isin("ACCEPT", "ABSTAIN"), F.lit(False)))
+    worse, better, n = F.coalesce("regressed", F.lit(False)), F.coalesce("accepted", F.lit(False)), F.count("*")
+    improved, regressed = F.count_if(better & ~worse), F.count_if(worse)
+    return rows.groupBy(*by).agg(n.alias("attempts"), improved.alias("improved"), regressed.alias("regressed"), (n - improved - regressed).alias("unchanged"), (improved / n).alias("improvement_rate"), (regressed / n).alias("regression_rate"))
+
+
 def rounds(candidates: DataFrame, key: str, limit: int = ITERATIONS) -> DataFrame:
     """The last accepted candidate of each answer after at most `limit` rounds.
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written
+from .confidence import BINS, bins, expected_error
+from .ranking import nearest_ranks
+
 RESAMPLES, SEED = 2000, 42
+SHARD = 20_000  # distinct values that one task draws from
 
 
 def rate(hits: Column, of: Column) -> Column:
@@ -85,28 +93,84 @@ def gaps(values: DataFrame, by: list[str], group: str, value: str, reference: st
     return values.join(ref, by, "left").withColumn("gap", gap).drop("_ref")
 
 
-def bootstrap_mean(rows: DataFrame, by: list[str], value: str, resamples: int = RESAMPLES, alpha: float = 0.05, seed: int = SEED) -> DataFrame:
-    """(by.., n, mean, low, high, p_not_positive): percentile interval of the mean.
+def resampled(rows: DataFrame, by: list[str], columns: list[Column], resamples: int = RESAMPLES, seed: int = SEED, shard: int = SHARD, expand: Callable[[np.ndarray], np.ndarray] | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((_key, i, s0, s1, ..), (_key, by.., n)): the sums of the columns over each bootstrap resample of a group's rows, and the groups.
+
+    `expand` may turn the matrix of values (row x column) into another one of `width` columns whose sums are wanted instead.
 
-    Rows with equal values are counted first. A resample of n rows is then one multinomial draw over the distinct values,
-    which has the same distribution as drawing rows one by one but whose cost does not grow with n. A group's task
-    sees its distinct values, never its rows.
+    Rows of equal values are counted first. A resample of n rows is one multinomial draw over a group's distinct values, as if
+    rows were drawn one by one. A group of more than `shard` values is cut by a hash into 2^levels pieces; which share of a
+    resample falls to a piece is drawn by halves down a binary tree with a seed for each node, so that all pieces agree
+    without meeting, and the result is the same multinomial draw. No task sees more than a piece.
     """
-    spec = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in by)
+    vs, sums = [f"_v{i}" for i in range(len(columns))], [f"s{i}" for i in range(width or len(columns))]
+    named = rows.select(F.to_json(F.struct(*[F.col(b) for b in by])).alias("_key"), *by, *[c.cast("double").alias(v) for c, v in zip(columns, vs)]).dropna(subset=vs)
+    counted = written(named.groupBy("_key", *by, *vs).agg(F.count("*").alias("_c")))
+    groups = counted.groupBy("_key", *by).agg(F.sum("_c").alias("n"))
+    large = counted.groupBy("_key").agg(F.count("*").alias("_d")).where(F.col("_d") > shard).select("_key", F.ceil(F.log2(F.col("_d") / shard)).cast("int").alias("_levels"))
+    dealt = counted.select("_key", *vs, "_c").join(large, "_key", "left").fillna(0, ["_levels"])
+    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(*vs), F.expr("shiftleft(1L, _levels)")))
+    pieces = dealt.groupBy("_key", "_shard", "_levels").agg(F.sum("_c").alias("_n"))
+    # rows that hang below each node of a group's tree, and below the left child of each node on the way to a piece
+    nodes = pieces.withColumn("_l", F.explode(F.expr("sequence(0, _levels)"))).groupBy("_key", "_l", F.expr("shiftright(_shard, _levels - _l)").alias("_node")).agg(F.sum("_n").alias("_m"))
+    lefts = nodes.where("_node % 2 = 0").select("_key", (F.col("_l") - 1).alias("_l"), F.shiftright("_node", 1).alias("_node"), F.col("_m").alias("_left"))
+    way = pieces.withColumn("_l", F.explode_outer(F.expr("CASE WHEN _levels > 0 THEN sequence(0, _levels - 1) END"))).withColumn("_node", F.expr("shiftright(_shard, _levels - _l)"))
+    way = way.join(nodes, ["_key", "_l", "_node"], "left").join(lefts, ["_key", "_l", "_node"], "left")
+    step = F.struct(F.col("_l").alias("l"), (F.coalesce("_left", F.lit(0)) / F.col("_m")).alias("p"))
+    way = way.groupBy("_key", "_shard", "_levels").agg(F.array_sort(F.collect_list(F.when(F.col("_l").isNotNull(), step))).alias("_way"))
+    way = way.join(groups.select("_key", "n"), "_key").select("_key", "_shard", "n", "_levels", F.transform("_way", lambda x: x["p"]).alias("_way"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_v")
-        v, c = pdf["_v"].to_numpy(float), pdf["_c"].to_numpy(np.int64)
-        n = int(c.sum())
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([rng.multinomial(n, c / n, size=min(200, resamples - i)) @ v / n for i in range(0, resamples, 200)])
-        means.sort()
-        low, high = means[int(alpha / 2 * resamples)], means[min(resamples - 1, int((1 - alpha / 2) * resamples))]
-        tail = min(1.0, 2 * min(((means <= 0).sum() + 1) / (resamples + 1), ((means >= 0).sum() + 1) / (resamples + 1)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "n": [n], "mean": [float((v * c).sum() / n)], "low": [float(low)], "high": [float(high)], "p_value": [float(tail)]})
-
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    return counted.groupBy(*by).applyInPandas(run, f"{spec}, n long, mean double, low double, high double, p_value double")
+        pdf = pdf.sort_values(vs)
+        key, piece, levels, way_ = pdf["_key"].iloc[0], int(pdf["_shard"].iloc[0]), int(pdf["_levels"].iloc[0]), pdf["_way"].iloc[0]
+        start = [seed, zlib.crc32(key.encode())]
+        n = np.full(resamples, int(pdf["n"].iloc[0]), dtype=np.int64)
+        for level, p in enumerate(way_):
+            node = piece >> (levels - level)
+            left = np.random.default_rng([*start, level, node]).binomial(n, p)
+            n = n - left if (piece >> (levels - level - 1)) & 1 else left
+        v, c = pdf[vs].to_numpy(float), pdf["_c"].to_numpy(float)
+        v = v if expand is None else expand(v)
+        rng = np.random.default_rng([*start, levels, piece])
+        size = max(1, 2_000_000 // len(c))
+        drawn = np.concatenate([rng.multinomial(n[i : i + size], c / c.sum()) @ v for i in range(0, resamples, size)])
+        return pd.DataFrame({"_key": key, "i": np.arange(resamples), **{x: drawn[:, k] for k, x in enumerate(sums)}})
+
+    drawn = dealt.drop("_levels").join(way, ["_key", "_shard"]).groupBy("_key", "_shard").applyInPandas(run, f"_key string, i int, {', '.join(f'{x} double' for x in sums)}")
+    return drawn.groupBy("_key", "i").agg(*[F.sum(x).alias(x) for x in sums]), groups
+
+
+def interval(drawn: DataFrame, groups: DataFrame, by: list[str], statistic: Column, resamples: int = RESAMPLES, alpha: float = 0.05) -> DataFrame:
+    """(by.., n, low, high, p_value) of a statistic of each resample: its percentiles, and twice the smaller share of resamples on one side of 0."""
+    each = drawn.join(groups.select("_key", "n"), "_key").select("_key", statistic.alias("x"))
+    got = each.groupBy("_key").agg(F.array_sort(F.collect_list("x")).alias("x"), F.count_if(F.col("x") <= 0).alias("below"), F.count_if(F.col("x") >= 0).alias("above"))
+    low, high = int(alpha / 2 * resamples) + 1, min(resamples - 1, int((1 - alpha / 2) * resamples)) + 1
+    tail = F.least(F.lit(1.0), 2 * F.least((F.col("below") + 1) / (resamples + 1), (F.col("above") + 1) / (resamples + 1)))
+    return groups.join(got, "_key").select(*by, "n", F.element_at("x", low).alias("low"), F.element_at("x", high).alias("high"), tail.alias("p_value"))
+
+
+def bootstrap_mean(rows: DataFrame, by: list[str], value: str, resamples: int = RESAMPLES, alpha: float = 0.05, seed: int = SEED, shard: int = SHARD) -> DataFrame:
+    """(by.., n, mean, low, high, p_value): percentile interval of the mean of a group's rows, NULLs left out."""
+    drawn, groups = resampled(rows, by, [F.col(value)], resamples, seed, shard)
+    names = [f"_g{i}" for i in range(len(by))]
+    means = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    out = interval(drawn, groups, by, F.col("s0") / F.col("n"), resamples, alpha)
+    return out.join(means, [F.col(b).eqNullSafe(F.col(n)) for b, n in zip(by, names)]).select(*by, "n", "mean", "low", "high", "p_value")
+
+
+def calibration_interval(scored: DataFrame, by: list[str], p: str = "p", y: str = "y", n: int = BINS, resamples: int = RESAMPLES, alpha: float = 0.05, seed: int = SEED) -> DataFrame:
+    """(by.., n, ece, low, high): the expected calibration error with the percentile interval of its bootstrap."""
+
+    def gaps_by_bin(v: np.ndarray) -> np.ndarray:
+        gap = v[:, 0] - v[:, 1]
+        return np.stack([np.where(((v[:, 0] > lo) if i else (v[:, 0] >= lo)) & (v[:, 0] <= hi), gap, 0.0) for i, lo, hi in bins(n)], 1)
+
+    drawn, groups = resampled(scored, by, [F.col(p), F.col(y)], resamples, seed, expand=gaps_by_bin, width=n)
+    error = sum((F.abs(F.col(f"s{i}")) for i in range(n)), F.lit(0.0)) / F.col("n")
+    got = interval(drawn, groups, by, error, resamples, alpha).drop("p_value", "n")
+    names = [f"_g{i}" for i in range(len(by))]
+    point = expected_error(scored, by, p, y, n).select(*[F.col(b).alias(x) for b, x in zip(by, names)], "n", "ece")
+    return got.join(point, [F.col(b).eqNullSafe(F.col(x)) for b, x in zip(by, names)]).select(*by, "n", "ece", "low", "high")
 
 
 def paired(rows: DataFrame, key: list[str], system: str, value: str, base: str, order: str) -> DataFrame:
@@ -143,9 +207,41 @@ def grouping_sets(records: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(value: str, share: float) -> Column:
-    """Nearest-rank percentile: the smallest value that at least the share of the rows do not exceed."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
+def correction_effect(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., n, before, after, relative_reduction, improvement_rate, regression_rate, net_improvement, relevance_retention) of corrections.
+
+    pairs: (by.., before, after, regressed, relevance_before, relevance_after) with the hallucination rate before and after;
+    rows without either rate are left out. Relevance that nobody measured, or of 0 before, counts as kept.
+    """
+    rows = pairs.where(F.col("before").isNotNull() & F.col("after").isNotNull())
+    b, a, n = F.avg("before"), F.avg("after"), F.count("*")
+    better, worse = F.count_if(F.col("after") < F.col("before")) / n, F.count_if(F.coalesce("regressed", F.lit(False))) / n
+    kept = F.coalesce(F.when(F.avg("relevance_before") != 0, F.avg("relevance_after") / F.avg("relevance_before")), F.lit(1.0))
+    return rows.groupBy(*by).agg(
+        n.alias("n"), b.alias("before"), a.alias("after"), F.when(b != 0, (b - a) / b).otherwise(0.0).alias("relative_reduction"), better.alias("improvement_rate"), worse.alias("regression_rate"),
+        (better - worse).alias("net_improvement"), kept.alias("relevance_retention"),
+    )
+
+
+def gates(reviews: DataFrame, by: str, least_reviewed: int = 50, least_answered: int = 20) -> DataFrame:
+    """(by, the nine gates, passed) of reviewed answers: counts, both kinds of question, unsupported answers, abstention, calibration, latency.
+
+    reviews: (by, abstained, should_abstain, fully_supported, calibrated, confidence, latency_ms, baseline_latency_ms). A gate
+    whose measure no row gives is not passed. The latency gate is on the nearest-rank 95th percentile of each row's own ratio.
+    """
+    ab, sh, fs = F.col("abstained"), F.col("should_abstain"), F.col("fully_supported")
+    said = F.count_if(~ab)
+    base = reviews.groupBy(by).agg(
+        (F.count("*") >= least_reviewed).alias("enough_reviewed"), (said >= least_answered).alias("enough_answered"), ((F.count_if(sh) > 0) & (F.count_if(~sh) > 0)).alias("both_kinds"),
+        F.coalesce(F.when(said > 0, F.count_if(~ab & ~fs) / said) <= 0.05, F.lit(False)).alias("unsupported_ok"), (rate(F.count_if(ab & ~sh), F.count_if(~sh)) <= 0.20).alias("over_abstention_ok"),
+        (rate(F.count_if(ab & sh), F.count_if(sh)) >= 0.90).alias("recall_ok"), ((said > 0) & (F.count_if(~ab & ~F.coalesce("calibrated", F.lit(False))) == 0)).alias("calibrated_ok"),
+    )
+    errors = expected_error(reviews.where(~ab).withColumn("_y", fs.cast("int")), [by], "confidence", "_y").select(F.col(by).alias("_e"), "ece")
+    ratios = nearest_ranks(reviews.withColumn("_ratio", F.col("latency_ms") / F.col("baseline_latency_ms")), [by], "_ratio", {"_p95": 0.95}).withColumnRenamed(by, "_r")
+    out = base.join(errors, F.col(by).eqNullSafe(F.col("_e")), "left").join(ratios, F.col(by).eqNullSafe(F.col("_r")), "left")
+    out = out.withColumn("ece_ok", F.coalesce(F.col("ece") <= 0.10, F.lit(False))).withColumn("latency_ok", F.coalesce(F.col("_p95") <= 2.0, F.lit(False)))
+    names = ["enough_reviewed", "enough_answered", "both_kinds", "unsupported_ok", "over_abstention_ok", "recall_ok", "calibrated_ok", "ece_ok", "latency_ok"]
+    return out.select(by, *names, F.forall(F.array(*names), lambda x: x).alias("passed"))
 
 
 def marks(mark: Column) -> Column:

@@ -52,13 +52,40 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, place: st
     return ranked.withColumn(place, F.col("_rank") - 1).drop("_rank")
 
 
-def running_total(df: DataFrame, order: str, value: str, total: str, parts: int = 64) -> DataFrame:
-    """df with the sum of `value` over all rows up to each row in the order of a column of distinct numbers.
+def _below(value: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the sorted bounds lie below a value, 0 for NULL: a search by halves."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(value > F.lit(bounds[mid]), _below(value, bounds[mid + 1 :], first + mid + 1)).otherwise(_below(value, bounds[:mid], first))
 
-    Rows are range-partitioned; totals by partition give each one its offset, so that no task sees all rows.
+
+def running_total(df: DataFrame, order: str, value: str, total: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """df with the sum of `value` over all rows (of a group, if `by` is given) up to each row in the order of a column of numbers; equal numbers have one total.
+
+    Rows are dealt to parts by fixed bounds on the number, some quantiles of it, so that a row's part follows from its value
+    alone and is the same whenever it is computed. Sums by group and part give each part its offset; no task sees all rows,
+    nor all of a group that spreads over the range. NULL is the lowest number and NULL values add nothing.
+    """
+    keys = [f"_k{i}" for i in range(len(by or []))]
+    quantiles = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
+    rows = df.withColumns({k: F.col(b) for k, b in zip(keys, by or [])}).withColumn("_part", _below(F.col(order), sorted(set(quantiles))))
+    sums = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_s"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]]
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(*keys, "_part").orderBy(order)), F.lit(0))
+    return rows.join(sums, same).withColumn(total, F.col("_off") + inside).drop("_part", "_p", "_off", *keys, *[f"{k}_" for k in keys])
+
+
+def nearest_ranks(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by.., one column per share): the smallest value that at least the share of a group's rows do not exceed, NULLs aside.
+
+    Values are counted first and their counts summed up part by part, so that no task holds the values of a group.
     """
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_in", F.sum(value).over(W.partitionBy("_part").orderBy(order)))
-    sums = ranged.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_s"))
-    offsets = sums.withColumn("_off", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(total, F.col("_in") + F.col("_off")).drop("_part", "_in", "_p", "_s", "_off")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    steps = running_total(counts, value, "_c", "_upto", by)
+    names = [f"_g{i}" for i in range(len(by))]
+    sizes = counts.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names)]).agg(F.sum("_c").alias("_n"))
+    both = steps.join(sizes, [F.col(b).eqNullSafe(F.col(n)) for b, n in zip(by, names)]) if by else steps.join(F.broadcast(sizes))
+    return both.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.col("_n") * s), F.col(value))).alias(n) for n, s in shares.items()])

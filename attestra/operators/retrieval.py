@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from ..session import written
 from .ranking import spread, top_k
 
 
@@ -37,6 +36,12 @@ def chunk_statistics(post: DataFrame, language: str = "language") -> DataFrame:
     return each.groupBy(language).agg(F.count("*").alias("n_chunks"), F.avg("length").alias("avg_length"))
 
 
+def same_language(chunks: DataFrame, language: str, column: str = "language") -> DataFrame:
+    """chunks, refused when they are read if one of them is not of the index's language; unlabelled ones are."""
+    wrong = F.coalesce(F.col(column) != language, F.lit(True))
+    return chunks.withColumn(column, F.when(wrong, F.raise_error(F.concat(F.lit(f"index of {language} was given "), F.coalesce(column, F.lit("NULL"))))).otherwise(F.col(column)))
+
+
 def bm25_terms(queries: DataFrame, post: DataFrame, query: str = "query_id", language: str = "language", k1: float = L.BM25_K1, b: float = L.BM25_B) -> DataFrame:
     """(query, chunk_id, term, contribution): what each distinct query term adds to a chunk's score; queries meet chunks of their language only.
 
@@ -58,52 +63,70 @@ def bm25_top(queries: DataFrame, post: DataFrame, k: int = 5, query: str = "quer
     return top_k(scores, [query], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float | None = 0.30, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float | None = 0.30, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", block: int = 8192) -> DataFrame:
     """(query, key, score, place): the k nearest vectors by inner product, then those below the threshold dropped.
 
-    Every vector is compared. The queries are taken in blocks of bounded size; a block goes to all tasks, each multiplies
-    it with its own vectors and keeps k per query, and the partial lists are merged by a group limit.
+    Every query is compared with every vector. Both sides are dealt by hash into blocks of about `block` rows and each pair of
+    blocks meets by equi-join in one task, which multiplies them and keeps k per query; the partial lists are merged by a
+    group limit. So a row is copied once for each block of the other side, and nothing passes through the driver. NULL
+    vectors are left out; vectors of different lengths or with numbers that are not finite are an error.
     """
     spark = vectors.sparkSession
-    schema = f"{query} {dict(queries.dtypes)[query]}, {key} {dict(vectors.dtypes)[key]}, score double"
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(query).alias("_q"), F.col(vector).alias("_x"))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("_v"), F.col(vector).alias("_y"))
+    n_q, n_v = q.count(), v.count()
+    q_blocks, v_blocks = max(1, -(-n_q // block)), max(1, -(-n_v // block), min(spark.sparkContext.defaultParallelism, n_v // 256))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = spread(q.select("_q", "_x", F.pmod(F.xxhash64("_q"), F.lit(q_blocks)).cast("int").alias("qb"), numbers(v_blocks).alias("vb")), "qb", "vb")
+    v = spread(v.select("_v", "_y", numbers(q_blocks).alias("qb"), F.pmod(F.xxhash64("_v"), F.lit(v_blocks)).cast("int").alias("vb")), "qb", "vb")
+
+    def matrix(column: pd.Series) -> np.ndarray:
+        rows = column.to_list()
+        if len({len(r) for r in rows}) > 1:
+            raise ValueError("vectors of different lengths")
+        m = np.array(rows, dtype=np.float64)
+        if not np.isfinite(m).all():
+            raise ValueError("vectors must be finite")
+        return m
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            x, y, ids, keys = matrix(left["_x"]), matrix(right["_y"]), left["_q"].to_numpy(), right["_v"].to_numpy()
+            if x.shape[1] != y.shape[1]:
+                raise ValueError("vectors of different lengths")
+            kk = min(k, len(keys))
+            for a in range(0, len(x), 256):
+                s = np.round(x[a : a + 256] @ y.T, 6)
+                least = np.partition(s, len(keys) - kk, axis=1)[:, len(keys) - kk]
+                row, col = np.nonzero(s >= least[:, None])
+                score = s[row, col]
+                order = np.lexsort((keys[col], -score, row))
+                row, col, score = row[order], col[order], score[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < kk
+                out.append(pd.DataFrame({query: ids[a + row[kept]], key: keys[col[kept]], "score": score[kept]}))
+        return pd.concat(out) if out else pd.DataFrame({query: [], key: [], "score": []})
 
-    def search(shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for pdf in batches:
-                pdf = pdf[pdf[vector].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if not len(pdf):
-                    continue
-                m = np.stack(pdf[vector].to_list()).astype(np.float64)
-                s = np.round(q @ m.T, 6)
-                keys = pdf[key].to_numpy()
-                kk = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :kk]
-                yield pd.DataFrame({query: np.repeat(ids, kk), key: keys[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-        return run
-
-    def blocks() -> Iterator[list]:
-        rows: list = []
-        for r in queries.select(query, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-            rows.append(r)
-            if len(rows) == block:
-                yield rows
-                rows = []
-        if rows:
-            yield rows
-
-    out = None
-    for rows in blocks():
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)))
-        part = vectors.select(key, vector).mapInPandas(search(shared), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema + ", place int")
-    best = top_k(out, [query], [F.desc("score"), F.col(key)], k)
+    schema = f"{query} {dict(queries.dtypes)[query]}, {key} {dict(vectors.dtypes)[key]}, score double"
+    met = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(search, schema)
+    best = top_k(met, [query], [F.desc("score"), F.col(key)], k)
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
+def term_vectors(rows: DataFrame, key: str, terms: str, vector: str = "embedding", dims: int = 64) -> DataFrame:
+    """(key, vector): the terms of a row counted in `dims` cells by a signed hash, as a vector of length 1; rows without terms give none.
+
+    Stands in for an embedding model where there is none: any table (key, vector) does as well in dense_top().
+    """
+    digest = F.md5("_t")
+    cell = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % dims
+    sign = F.when(F.substring(digest, 7, 1) < "8", 1).otherwise(-1)
+    cells = rows.select(key, F.explode(terms).alias("_t")).groupBy(key, cell.alias("_cell")).agg(F.sum(sign).alias("_n"))
+    by = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_cell", F.col("_n").cast("double")))).alias("_m"), F.sqrt(F.sum(F.col("_n") * F.col("_n"))).alias("_len"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("long")), F.lit(0.0)) / F.col("_len"))
+    return by.where("_len > 0").select(key, filled.alias(vector))
+
+
 def fuse(rankings: DataFrame, query: str = "query_id", item: str = "chunk_id", k: int = L.RRF_K, lists: str = "list_no", place: str = "place", weight: str | None = None, top: int | None = None) -> DataFrame:
     """(query, item, fused, place), the `top` best or all: reciprocal rank fusion, scaled so that first place in every list gives 1.
 
@@ -120,11 +143,15 @@ def fuse(rankings: DataFrame, query: str = "query_id", item: str = "chunk_id", k
     return scored.withColumn("place", F.row_number().over(W.partitionBy(query).orderBy(*order)) - 1).select(query, item, "fused", "place")
 
 
-def hybrid(lexical: DataFrame, dense: DataFrame, k: int = 5, query: str = "query_id", item: str = "chunk_id") -> DataFrame:
-    """(query, item, lexical, dense, fused, place): two candidate lists fused, the k best kept with the score each list gave (0 where it gave none)."""
-    both = lexical.select(query, item, F.lit(0).alias("list_no"), "place", "score").unionByName(dense.select(query, item, F.lit(1).alias("list_no"), "place", "score")).persist()
-    given = both.groupBy(query, item).agg(F.coalesce(F.max(F.when(F.col("list_no") == 0, F.col("score"))), F.lit(0.0)).alias("lexical"), F.coalesce(F.max(F.when(F.col("list_no") == 1, F.col("score"))), F.lit(0.0)).alias("dense"))
-    return fuse(both, query, item, top=k).join(given, [query, item])
+def hybrid(lexical: DataFrame, dense: DataFrame, k: int = 5, query: str = "query_id", item: str = "chunk_id", weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(query, item, lexical, dense, fused, place): the vector list and the lexical list fused, in this order, the k best kept with the score each list gave (0 where it gave none).
+
+    weights: of the vector and of the lexical list. A list without entries for a query takes its weight out of the scale.
+    """
+    side = lambda df, no: df.select(query, item, F.lit(no).alias("list_no"), "place", "score", F.lit(float(weights[no])).alias("_weight"))
+    both = written(side(dense, 0).unionByName(side(lexical, 1)))
+    given = both.groupBy(query, item).agg(F.coalesce(F.max(F.when(F.col("list_no") == 1, F.col("score"))), F.lit(0.0)).alias("lexical"), F.coalesce(F.max(F.when(F.col("list_no") == 0, F.col("score"))), F.lit(0.0)).alias("dense"))
+    return fuse(both, query, item, weight="_weight", top=k).join(given, [query, item])
 
 
 def rerank(ranked: DataFrame, scores: DataFrame, query: str = "query_id", item: str = "chunk_id") -> DataFrame:

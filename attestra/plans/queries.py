@@ -11,7 +11,8 @@ from ..functions import lexicon as L
 from ..functions import sql as S
 from ..functions import text as X
 from ..operators import chunking, claims, confidence, correction, evaluation, retrieval, review
-from ..operators.ranking import fill_cores, spread, top_k
+from ..operators.ranking import fill_cores, nearest_ranks, spread, top_k
+from ..session import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,10 +44,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.min("text").alias("text"), named.alias("language"))
 
 
+
 CORPUS = f"corpus AS (SELECT chunk_id, min(text) AS text, coalesce(max({S.language_label('language')}), split_part(chunk_id, '/', 1)) AS language FROM chunks WHERE chunk_id IS NOT NULL AND trim(coalesce(text, '')) <> '' GROUP BY chunk_id)"
+
+
 def corpus_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of the corpus, kept for the several reads of a search."""
-    return retrieval.postings(corpus(spark, sf_dir)).persist()
+    """Postings of the corpus, written once for the several reads of a search."""
+    return written(retrieval.postings(corpus(spark, sf_dir)))
 
 
 QUERY_SET = 20  # searches take every row whose id is divisible by this as a query
@@ -116,13 +120,33 @@ def sentence_split(spark, d):
     return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"))
 
 
-@query("""
-SELECT row_id, length(question) - length(regexp_replace(question, '[\\p{Cyrillic}\\p{Greek}]', '', 'g')) AS foreign_letters FROM questions
-WHERE question IS NOT NULL AND regexp_matches(question, '[\\p{Cyrillic}\\p{Greek}]')""")
+def _foreign_sql(table: str, key: str, col: str) -> str:
+    """By Unicode ranges instead of names: what stands for letters and marks of each script in the test tables."""
+    kinds = {"DEVANAGARI": "\u0900-\u0963\u0971-\u097f", "TAMIL": "\u0b80-\u0be5", "CYRILLIC": "\u0400-\u0481\u0483-\u0487\u048a-\u052f", "GREEK": "\u0370-\u0373\u0376\u0377\u037b-\u037d\u037f\u0386\u0388-\u03ff", "FULLWIDTH": "\uff21-\uff3a\uff41-\uff5a"}
+    own = "CASE lang WHEN 'hi' THEN 'DEVANAGARI' WHEN 'ta' THEN 'TAMIL' ELSE 'LATIN' END"
+    counts = " UNION ALL ".join(f"SELECT {key}, own, '{k}' AS script, length({col}) - length(regexp_replace({col}, '[{r}]', '', 'g')) AS n FROM r" for k, r in kinds.items())
+    latin = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    parts = "[\\s\\p{Z}\\x85\\-\u2010\u2011\u2013\u2014/(),.;:!?\u0964\"''\u2018\u2019\u201c\u201d]+"
+    mixed = " UNION ALL ".join(f"SELECT {key}, own, 'MIXED_WORD' AS script, len(list_filter(regexp_split_to_array({col}, '{parts}'), lambda w: regexp_matches(w, '[{kinds[k]}]') AND regexp_matches(w, '[{latin}]'))) AS n FROM r WHERE own = '{k}'" for k in ("DEVANAGARI", "TAMIL"))
+    return f"WITH r AS (SELECT {key}, {col}, {own} AS own FROM (SELECT {key}, {col}, {S.language_label('language')} AS lang FROM {table} WHERE {col} IS NOT NULL)), c AS ({counts} UNION ALL {mixed}) SELECT {key}, script, n FROM c WHERE n > 0 AND script <> own"
+
+
+def _foreign(spark, d, table: str, key: str, col: str) -> DataFrame:
+    rows = texts(spark, d, table, key, col, "language").where(F.col(col).isNotNull())
+    found = X.foreign_scripts(F.col(col), B.language_label(F.col("language")))
+    return rows.select(key, F.explode_outer(found).alias("x")).where("x IS NOT NULL").select(key, "x.script", F.col("x.n").cast("long").alias("n"))
+
+
+@query(_foreign_sql("questions", "row_id", "question"))
 def foreign_scripts(spark, d):
-    """Letters of scripts that none of the three languages uses."""
-    rows = read(spark, d, "questions").where("question IS NOT NULL").select("row_id", F.regexp_count("question", F.lit(r"(?:(?!\p{IsDevanagari}|\p{IsTamil}|\p{IsLatin}|\p{IsCommon}|\p{IsInherited})[\p{L}\p{Mn}\p{Mc}])")).cast("long").alias("foreign_letters"))
-    return rows.where("foreign_letters > 0")
+    """Letters of each question by script that its language does not use, and its words of two scripts."""
+    return _foreign(spark, d, "questions", "row_id", "question")
+
+
+@query(_foreign_sql("records", "record_id", "answer"))
+def foreign_answers(spark, d):
+    """The same of answers, which are to be in the language asked for."""
+    return _foreign(spark, d, "records", "record_id", "answer")
 
 
 @query("SELECT row_id, sha256('{\"q\":\"' || qid || '\",\"v\":' || row_id::VARCHAR || '}') AS fingerprint FROM questions WHERE qid IS NOT NULL")
@@ -274,7 +298,60 @@ SELECT query_id, chunk_id, fused, lexical, dense AS variant, place FROM (SELECT
 def hybrid_topk(spark, d):
     """Two candidate lists of 20, of the question and of its reference answer as a variant, fused to five with both component scores."""
     a, b = _variants(spark, d)
-    return retrieval.hybrid(a, b).select("query_id", "chunk_id", "fused", "lexical", F.col("dense").alias("variant"), F.col("place").cast("long").alias("place"))
+    return retrieval.hybrid(b, a).select("query_id", "chunk_id", "fused", F.col("dense").alias("lexical"), F.col("lexical").alias("variant"), F.col("place").cast("long").alias("place"))
+
+
+def _vectors_sql(table: str, key: str) -> str:
+    cell = "CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 64"
+    return f"""{table}_c AS (SELECT {key} AS id, {cell} AS cell, sum(CASE WHEN substr(md5(t), 7, 1) < '8' THEN 1 ELSE -1 END) AS n FROM (SELECT {key}, unnest({table}_t) AS t FROM {table}_terms) GROUP BY ALL),
+{table}_v AS (SELECT id, list_transform(range(0, 64), lambda i: coalesce(m[i], 0)::DOUBLE / len) AS v FROM (SELECT id, map_from_entries(list((cell, n))) AS m, sqrt(sum(n * n)::DOUBLE) AS len FROM {table}_c GROUP BY id) WHERE len > 0)"""
+
+
+def _hybrid_sql() -> str:
+    lang = f"CASE WHEN {_QLANG} IN ('en', 'hi', 'ta') THEN {_QLANG} ELSE 'en' END"
+    return _bm25_sql().replace("place < 5", "place < 20") + f""", ch_terms AS (SELECT chunk_id, toks AS ch_t FROM tk), qu_terms AS (SELECT row_id AS query_id, {S.tokens('t', 'language')} AS qu_t FROM (SELECT row_id, nfc_normalize(question) AS t, {lang} AS language FROM questions WHERE row_id % {QUERY_SET} = 0 AND question IS NOT NULL)),
+{_vectors_sql('ch', 'chunk_id')}, {_vectors_sql('qu', 'query_id')},
+ds AS (SELECT qu_v.id AS query_id, ch_v.id AS chunk_id, round(list_inner_product(qu_v.v, ch_v.v), 6) AS score FROM qu_v, ch_v), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS place FROM ds QUALIFY place < 20),
+l AS (SELECT query_id, chunk_id, 0 AS list_no, place, score, 2.0::DOUBLE AS w FROM dr UNION ALL SELECT query_id, chunk_id, 1, place, score, 1.0::DOUBLE FROM top),
+m AS (SELECT query_id, sum(w) / 61.0::DOUBLE AS most FROM (SELECT DISTINCT query_id, list_no, w FROM l) GROUP BY query_id),
+f AS (SELECT query_id, chunk_id, round(sum(w / (61 + place)) / any_value(most), 10) AS fused, min({{'a': list_no, 'b': place}}) AS seen, coalesce(max(CASE WHEN list_no = 0 THEN score END), 0) AS dense, coalesce(max(CASE WHEN list_no = 1 THEN score END), 0) AS lexical FROM l JOIN m USING (query_id) GROUP BY ALL)
+SELECT query_id, chunk_id, fused, dense, lexical, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, seen, chunk_id) - 1 AS place FROM f) WHERE place < 5"""
+
+
+@query(_hybrid_sql())
+def hybrid_search(spark, d):
+    """Candidates of 20 by vectors (terms hashed into 64 cells) and of 20 by BM25, fused with the vectors at twice the weight; vectors know no language, BM25 stays in the query's own."""
+    q = question_queries(spark, d)
+    chunks = corpus(spark, d).select("chunk_id", X.tokens(X.nfc(F.col("text")), F.col("language")).alias("terms"))
+    asked = retrieval.term_vectors(q, "query_id", "terms")
+    dense = retrieval.dense_top(asked, written(retrieval.term_vectors(chunks, "chunk_id", "terms")), 20, None, key="chunk_id")
+    out = retrieval.hybrid(retrieval.bm25_top(q, corpus_postings(spark, d), 20), dense, weights=(2.0, 1.0))
+    return out.select("query_id", "chunk_id", "fused", "dense", "lexical", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+WITH l AS (SELECT qid AS query_id, record_id AS list_no, unnest(retrieved_chunk_ids) AS chunk_id, generate_subscripts(retrieved_chunk_ids, 1) - 1 AS place FROM records WHERE qid IS NOT NULL AND error_text IS NULL),
+m AS (SELECT query_id, count(DISTINCT list_no) / 61.0::DOUBLE AS most FROM l GROUP BY query_id),
+f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (61 + place)) / any_value(most), 10) AS fused, min({'a': list_no, 'b': place}) AS seen FROM l JOIN m USING (query_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, seen, chunk_id) - 1 AS old FROM f QUALIFY old < 20),
+g AS (SELECT qid AS query_id, chunk_id, count(*)::DOUBLE AS named FROM (SELECT qid, unnest(gold_chunk_ids) AS chunk_id FROM records WHERE qid IS NOT NULL) GROUP BY ALL)
+SELECT query_id, chunk_id, fused, named AS rerank, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(named, fused) DESC, old) - 1 AS place FROM r LEFT JOIN g USING (query_id, chunk_id)""")
+def reranked(spark, d):
+    """The fused candidates of each question ranked anew by how many of its runs name a chunk as right; chunks that nobody names keep their fused score."""
+    fused = retrieval.fuse(record_rankings(spark, d), top=20)
+    named = read(spark, d, "records").where("qid IS NOT NULL").select(F.col("qid").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id")).groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("rerank"))
+    return retrieval.rerank(fused, named).select("query_id", "chunk_id", "fused", "rerank", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""
+WITH q AS (SELECT row_id, {_QLANG} AS lang, nfc_normalize(question) AS question, gold_answer AS v FROM questions WHERE question IS NOT NULL),
+c AS (SELECT *, regexp_matches(v, '[{chr(0x900)}-{chr(0x97f)}]') AS dev, regexp_matches(v, '[{chr(0xb80)}-{chr(0xbff)}]') AS tam FROM q)
+SELECT row_id, CASE WHEN lang IN ('en', 'hi') THEN lang ELSE 'en' END AS index_name, coalesce(trim(v) <> '' AND CASE WHEN lang = 'hi' THEN dev AND NOT tam WHEN lang = 'ta' THEN tam AND NOT dev ELSE NOT dev AND NOT tam END AND length(v) <= 500, false) AS variant_accepted FROM c""")
+def routed_variants(spark, d):
+    """Where each question goes if only the English and Hindi indexes are there, and whether its reference answer could stand as a variant of it."""
+    rows = texts(spark, d, "questions", "row_id", "language", "question", "gold_answer").where("question IS NOT NULL")
+    lang = B.language_label(F.col("language"))
+    return rows.select("row_id", retrieval.route(lang, F.lit(None).cast("string"), ["en", "hi"]).alias("index_name"), retrieval.accepted_variant(F.col("gold_answer"), lang, F.col("question")).alias("variant_accepted"))
 
 
 @query("""
@@ -413,7 +490,7 @@ def policy_decisions(spark, d):
 
 
 @query("""
-WITH r AS (SELECT record_id, supported AS s, contradicted AS c, unverifiable AS u, lag({'c': contradicted, 'u': unverifiable, 's': -supported}) OVER (PARTITION BY qid, system_name ORDER BY started_at, record_id) AS p FROM records WHERE supported IS NOT NULL AND contradicted IS NOT NULL AND unverifiable IS NOT NULL AND qid NOT LIKE '%probe')
+WITH r AS (SELECT record_id, supported AS s, contradicted AS c, unverifiable AS u, lag({'c': contradicted, 'u': unverifiable, 's': -supported}) OVER (PARTITION BY qid, system_name ORDER BY started_at, record_id) AS p FROM records WHERE supported IS NOT NULL AND contradicted IS NOT NULL AND unverifiable IS NOT NULL AND qid IS NOT NULL)
 SELECT record_id, ({'c': c, 'u': u, 's': -s} < p) AS better, (p < {'c': c, 'u': u, 's': -s}) AS worse FROM r WHERE p IS NOT NULL""")
 def verdict_profiles(spark, d):
     """Each run of a question by a system against the run before it, compared by verdict profile.
@@ -655,27 +732,82 @@ def crosslingual_sets(spark, d):
 @query("SELECT system_name, percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) AS p95 FROM records WHERE latency_ms IS NOT NULL GROUP BY system_name")
 def nearest_rank_latency(spark, d):
     """Exact percentiles; equal values are counted before they meet."""
-    rows = read(spark, d, "records").where("latency_ms IS NOT NULL")
-    return rows.groupBy("system_name").agg(evaluation.nearest_rank("latency_ms", 0.5).alias("p50"), evaluation.nearest_rank("latency_ms", 0.95).alias("p95"))
+    return nearest_ranks(read(spark, d, "records"), ["system_name"], "latency_ms", {"p50": 0.5, "p95": 0.95})
+
+
+_LAST = "arg_max({'ab': coalesce(abstained, false), 'sh': coalesce(should_abstain, false), 'fs': coalesce(hallucination_rate = 0, false), 'p': confidence, 'ms': latency_ms}, {'a': started_at, 'b': record_id})"
 
 
 @query(f"""
-WITH r AS (SELECT {S.language_label('language')} AS language, coalesce(abstained, false) AS ab, coalesce(should_abstain, false) AS sh, coalesce(hallucination_rate = 0, false) AS fs, latency_ms FROM records WHERE error_text IS NULL AND system_name = 'engine_full' AND {S.language_label('language')} IN ('en', 'hi', 'ta')),
-b AS (SELECT {S.language_label('language')} AS language, avg(latency_ms) AS base FROM records WHERE error_text IS NULL AND system_name = 'vanilla' GROUP BY ALL),
-g AS (SELECT language, count(*) AS reviewed, count(*) FILTER (NOT ab) AS answered, coalesce(count(*) FILTER (NOT ab AND NOT fs)::DOUBLE / nullif(count(*) FILTER (NOT ab), 0), 1) AS unsupported, coalesce(count(*) FILTER (ab AND NOT sh)::DOUBLE / nullif(count(*) FILTER (NOT sh), 0), 0) AS over_ab, coalesce(count(*) FILTER (ab AND sh)::DOUBLE / nullif(count(*) FILTER (sh), 0), 0) AS recall, percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) AS p95 FROM r GROUP BY language)
-SELECT language, reviewed >= 50 AS enough_reviewed, answered >= 20 AS enough_answered, unsupported <= 0.05 AS unsupported_ok, over_ab <= 0.20 AS over_abstention_ok, recall >= 0.90 AS recall_ok, p95 / base <= 2.0 AS latency_ok FROM g JOIN b USING (language)""")
+WITH r AS (SELECT system_name, qid, {S.language_label('language')} AS language, {_LAST} AS x FROM records WHERE error_text IS NULL AND qid IS NOT NULL AND latency_ms IS NOT NULL AND {S.language_label('language')} IN ('en', 'hi', 'ta') GROUP BY ALL),
+f AS (SELECT r.language, r.x.ab AS ab, r.x.sh AS sh, r.x.fs AS fs, r.x.p AS p, coalesce(r.x.p BETWEEN 0 AND 1, false) AS cal, r.x.ms / b.x.ms AS ratio FROM r JOIN r b USING (qid, language) WHERE r.system_name = 'engine_full' AND b.system_name = 'vanilla' AND b.x.ms > 0),
+e AS (SELECT language, sum(abs(gap)) / sum(n) AS ece FROM (SELECT language, ceil(round(p * 10, 9)) AS bin, sum(p - fs::INT) AS gap, count(*) AS n FROM (SELECT language, greatest(p, 1e-12) AS p, fs FROM f WHERE NOT ab AND p IS NOT NULL) GROUP BY ALL) GROUP BY language),
+g AS (SELECT language, count(*) >= 50 AS enough_reviewed, count(*) FILTER (NOT ab) >= 20 AS enough_answered, bool_or(sh) AND bool_or(NOT sh) AS both_kinds, coalesce(count(*) FILTER (NOT ab AND NOT fs)::DOUBLE / nullif(count(*) FILTER (NOT ab), 0) <= 0.05, false) AS unsupported_ok,
+coalesce(count(*) FILTER (ab AND NOT sh)::DOUBLE / nullif(count(*) FILTER (NOT sh), 0), 0) <= 0.20 AS over_abstention_ok, coalesce(count(*) FILTER (ab AND sh)::DOUBLE / nullif(count(*) FILTER (sh), 0), 0) >= 0.90 AS recall_ok, count(*) FILTER (NOT ab) > 0 AND count(*) FILTER (NOT ab AND NOT cal) = 0 AS calibrated_ok, percentile_disc(0.95) WITHIN GROUP (ORDER BY ratio) <= 2.0 AS latency_ok FROM f GROUP BY language)
+SELECT language, enough_reviewed, enough_answered, both_kinds, unsupported_ok, over_abstention_ok, recall_ok, calibrated_ok, coalesce(ece <= 0.10, false) AS ece_ok, coalesce(latency_ok, false) AS latency_ok,
+enough_reviewed AND enough_answered AND both_kinds AND unsupported_ok AND over_abstention_ok AND recall_ok AND calibrated_ok AND coalesce(ece <= 0.10, false) AND coalesce(latency_ok, false) AS passed FROM g LEFT JOIN e USING (language)""")
 def pilot_gates(spark, d):
-    """Acceptance gates of the full system by language."""
-    rows = read(spark, d, "records").where("error_text IS NULL").withColumn("language", B.language_label(F.col("language"))).where("language IN ('en', 'hi', 'ta')")
-    base = rows.where("system_name = 'vanilla'").groupBy("language").agg(F.avg("latency_ms").alias("base"))
-    full = rows.where("system_name = 'engine_full'").selectExpr("language", "coalesce(abstained, false) ab", "coalesce(should_abstain, false) sh", "coalesce(hallucination_rate = 0, false) fs", "latency_ms")
-    n = lambda cond: F.count_if(F.expr(cond))
-    unsupported = F.when(n("NOT ab") > 0, n("NOT ab AND NOT fs") / n("NOT ab")).otherwise(1.0)
-    g = full.groupBy("language").agg(
-        (F.count("*") >= 50).alias("enough_reviewed"), (n("NOT ab") >= 20).alias("enough_answered"), (unsupported <= 0.05).alias("unsupported_ok"), (evaluation.rate(n("ab AND NOT sh"), n("NOT sh")) <= 0.20).alias("over_abstention_ok"),
-        (evaluation.rate(n("ab AND sh"), n("sh")) >= 0.90).alias("recall_ok"), evaluation.nearest_rank("latency_ms", 0.95).alias("p95"),
-    )
-    return g.join(base, "language").withColumn("latency_ok", F.col("p95") / F.col("base") <= 2.0).drop("p95", "base")
+    """The acceptance gates of the full system by language, over the last run of each question that the plain system answered too; a confidence in [0, 1] counts as calibrated."""
+    rows = read(spark, d, "records").where("error_text IS NULL AND qid IS NOT NULL AND latency_ms IS NOT NULL").withColumn("language", B.language_label(F.col("language"))).where("language IN ('en', 'hi', 'ta')")
+    last = F.struct(F.coalesce("abstained", F.lit(False)).alias("abstained"), F.coalesce("should_abstain", F.lit(False)).alias("should_abstain"), F.coalesce(F.col("hallucination_rate") == 0, F.lit(False)).alias("fully_supported"), "confidence", "latency_ms")
+    runs = rows.where("system_name IN ('engine_full', 'vanilla')").groupBy("system_name", "qid", "language").agg(F.max_by(last, F.struct("started_at", "record_id")).alias("x"))
+    base = runs.where("system_name = 'vanilla' AND x.latency_ms > 0").select("qid", "language", F.col("x.latency_ms").alias("baseline_latency_ms"))
+    full = runs.where("system_name = 'engine_full'").select("qid", "language", "x.*").join(base, ["qid", "language"])
+    return evaluation.gates(full.withColumn("calibrated", F.coalesce(F.col("confidence").between(0, 1), F.lit(False))), "language")
+
+
+_PAIRS = f"r AS (SELECT system_name, {S.group_id('parallel_id', 'qid')} AS gid, {S.language_label('language')} AS language, arg_max({{'v': hallucination_rate, 'c': confidence, 'g': regressed}}, {{'a': started_at, 'b': record_id}}) AS x FROM records WHERE error_text IS NULL AND hallucination_rate IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"""
+WITH {_PAIRS}, p AS (SELECT a.system_name, b.x.v AS before, a.x.v AS after, coalesce(a.x.g, false) AS worse, b.x.c AS cb, a.x.c AS ca FROM r a JOIN r b ON a.gid = b.gid AND a.language = b.language WHERE b.system_name = 'vanilla' AND a.system_name <> 'vanilla')
+SELECT system_name, count(*) AS n, round(avg(before), 6) AS before, round(avg(after), 6) AS after, round(CASE WHEN avg(before) <> 0 THEN (avg(before) - avg(after)) / avg(before) ELSE 0 END, 6) AS relative_reduction, round(avg((after < before)::INT), 6) AS improvement_rate, round(avg(worse::INT), 6) AS regression_rate,
+round(avg((after < before)::INT) - avg(worse::INT), 6) AS net_improvement, round(coalesce(CASE WHEN avg(cb) <> 0 THEN avg(ca) / avg(cb) END, 1), 6) AS relevance_retention FROM p GROUP BY system_name""")
+def correction_effect(spark, d):
+    """What each system changes against the plain one on the same question and language, with confidence as the measure that is to be kept."""
+    rows = read(spark, d, "records").where("error_text IS NULL AND hallucination_rate IS NOT NULL").select("system_name", B.group_id(F.col("parallel_id"), F.col("qid")).alias("gid"), B.language_label(F.col("language")).alias("language"), "hallucination_rate", "confidence", "regressed", "started_at", "record_id")
+    last = rows.groupBy("system_name", "gid", "language").agg(F.max_by(F.struct("hallucination_rate", "confidence", "regressed"), F.struct("started_at", "record_id")).alias("x"))
+    base = last.where("system_name = 'vanilla'").select("gid", "language", F.col("x.hallucination_rate").alias("before"), F.col("x.confidence").alias("relevance_before"))
+    pairs = last.where("system_name <> 'vanilla'").select("system_name", "gid", "language", F.col("x.hallucination_rate").alias("after"), F.col("x.confidence").alias("relevance_after"), F.col("x.regressed").alias("regressed")).join(base, ["gid", "language"])
+    out = evaluation.correction_effect(pairs, ["system_name"])
+    return out.select("system_name", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+@query("""
+WITH o AS (SELECT system_name, unnest(actions) AS action, coalesce(regressed, false) AS worse, coalesce(hallucination_rate = 0, false) AS better FROM records), c AS (SELECT * FROM o WHERE action NOT IN ('ACCEPT', 'ABSTAIN') OR action IS NULL)
+SELECT system_name, count(*) AS attempts, count(*) FILTER (better AND NOT worse) AS improved, count(*) FILTER (worse) AS regressed, count(*) FILTER (NOT better AND NOT worse) AS unchanged, round(count(*) FILTER (better AND NOT worse)::DOUBLE / count(*), 6) AS improvement_rate, round(count(*) FILTER (worse)::DOUBLE / count(*), 6) AS regression_rate FROM c GROUP BY system_name""")
+def correction_outcomes(spark, d):
+    """Corrections by what became of them: an action of a run without any doubtful claim left counts as accepted."""
+    rows = read(spark, d, "records").select("system_name", F.explode("actions").alias("action"), F.coalesce(F.col("hallucination_rate") == 0, F.lit(False)).alias("accepted"), "regressed")
+    out = correction.effects(rows, ["system_name"])
+    return out.select("system_name", "attempts", "improved", "regressed", "unchanged", F.round("improvement_rate", 6).alias("improvement_rate"), F.round("regression_rate", 6).alias("regression_rate"))
+
+
+@query("""
+WITH r AS (SELECT qid, system_name, row_number() OVER (PARTITION BY qid, system_name ORDER BY started_at, record_id) - 1 AS round, supported AS s, contradicted AS c, unverifiable AS u FROM records WHERE supported IS NOT NULL AND contradicted IS NOT NULL AND unverifiable IS NOT NULL AND qid IS NOT NULL QUALIFY round < 3),
+a AS (SELECT qid, system_name, 0 AS kept, s, c, u, 1 AS n FROM r WHERE round = 0),
+b AS (SELECT a.qid, a.system_name, a.n + (r.s IS NOT NULL)::INT AS n, CASE WHEN r.s + r.c + r.u > 0 AND {'c': r.c, 'u': r.u, 's': -r.s} < {'c': a.c, 'u': a.u, 's': -a.s} AND r.s >= a.s THEN {'k': 1, 's': r.s, 'c': r.c, 'u': r.u} ELSE {'k': a.kept, 's': a.s, 'c': a.c, 'u': a.u} END AS x FROM a LEFT JOIN r ON r.qid = a.qid AND r.system_name = a.system_name AND r.round = 1),
+e AS (SELECT b.qid, b.system_name, b.n + (r.s IS NOT NULL)::INT AS n, CASE WHEN r.s + r.c + r.u > 0 AND {'c': r.c, 'u': r.u, 's': -r.s} < {'c': x.c, 'u': x.u, 's': -x.s} AND r.s >= x.s THEN {'k': 2, 's': r.s, 'c': r.c, 'u': r.u} ELSE x END AS y FROM b LEFT JOIN r ON r.qid = b.qid AND r.system_name = b.system_name AND r.round = 2)
+SELECT qid, system_name, y.k::BIGINT AS kept_round, y.s AS supported, y.c AS contradicted, y.u AS unverifiable, n::BIGINT AS n_rounds FROM e""")
+def correction_rounds(spark, d):
+    """The first three runs of a question by a system taken as rounds of correction: which one is kept."""
+    rows = read(spark, d, "records").where("supported IS NOT NULL AND contradicted IS NOT NULL AND unverifiable IS NOT NULL AND qid IS NOT NULL").select("qid", "system_name", "started_at", "record_id", "supported", "contradicted", "unverifiable")
+    first = top_k(rows, ["qid", "system_name"], [F.col("started_at"), F.col("record_id")], 3, "round").withColumn("run", F.struct("qid", "system_name"))
+    out = correction.rounds(first, "run")
+    return out.select("run.qid", "run.system_name", F.col("kept_round").cast("long").alias("kept_round"), "supported", "contradicted", "unverifiable", F.col("n_rounds").cast("long").alias("n_rounds"))
+
+
+@query()
+def calibration_interval(spark, d):
+    """Calibration error of each system with its bootstrap interval."""
+    return evaluation.calibration_interval(scored(spark, d), ["system_name"])
+
+
+@query()
+def experiment_intervals(spark, d):
+    """Hallucination rate of answered runs by system and language with its interval."""
+    rows = read(spark, d, "records").where("error_text IS NULL AND NOT coalesce(abstained, false)").select("system_name", B.language_label(F.col("language")).alias("language"), "hallucination_rate")
+    return evaluation.bootstrap_mean(rows, ["system_name", "language"], "hallucination_rate")
 
 
 # ---------------------------------------------------------------- question sets
@@ -734,8 +866,8 @@ def split_leakage(spark, d):
 
 
 @query(f"""
-WITH q AS (SELECT row_id, {S.group_id('parallel_id', 'qid')} AS g, {S.language_label('language')} AS l, nullif(trim(gold_answer), '') AS gold, should_abstain FROM questions), e AS (SELECT g, min(gold) AS gold FROM q WHERE l = 'en' AND gold IS NOT NULL AND g <> 'ins-000000' GROUP BY g)
-SELECT row_id, CASE WHEN should_abstain THEN '(should abstain)' WHEN q.gold IS NOT NULL THEN q.gold WHEN e.gold IS NOT NULL THEN '(en reference) ' || e.gold END AS reference FROM q LEFT JOIN e USING (g)""")
+WITH q AS (SELECT row_id, {S.group_id('parallel_id', 'qid')} AS g, {S.language_label('language')} AS l, nullif(trim(gold_answer), '') AS gold, should_abstain FROM questions), e AS (SELECT g, min(gold) AS gold FROM q WHERE l = 'en' AND gold IS NOT NULL GROUP BY g)
+SELECT row_id, CASE WHEN q.gold IS NOT NULL THEN q.gold WHEN e.gold IS NOT NULL THEN '(en reference) ' || e.gold ELSE '(should abstain)' END AS reference FROM q LEFT JOIN e USING (g)""")
 def reference_answers(spark, d):
     """The answer to mark against: the own one, else that of the English row of the group, else that the system should abstain."""
     q = read(spark, d, "questions").select("row_id", B.group_id(F.col("parallel_id"), F.col("qid")).alias("g"), B.language_label(F.col("language")).alias("l"), F.nullif(F.trim("gold_answer"), F.lit("")).alias("gold"))
@@ -895,3 +1027,68 @@ def fuse_variants(spark, d):
     asked = F.array_compact(F.array(F.lit(0), F.when(F.trim("gold_answer") != "", 1)))
     out = retrieval.fuse_variants(both, rows.select(F.col("row_id").alias("query_id"), F.explode(asked).alias("variant")))
     return out.select("query_id", "chunk_id", "fused", "score", F.col("place").cast("long").alias("place"))
+
+
+_N_PAIR = 2
+
+
+@query("""
+WITH r AS (SELECT item_id, list(upper(trim(label)) ORDER BY seq) AS ls FROM annotation_events WHERE event_type = 'annotation' AND item_id IS NOT NULL AND label IS NOT NULL GROUP BY item_id)
+SELECT item_id, len(ls) = 2 AND len(list_filter(ls, lambda x: x NOT IN ('SUPPORTED', 'CONTRADICTED', 'UNVERIFIABLE'))) = 0 AS readable, CASE WHEN len(ls) = 2 AND len(list_filter(ls, lambda x: x NOT IN ('SUPPORTED', 'CONTRADICTED', 'UNVERIFIABLE'))) = 0 THEN array_to_string(ls, ',') END AS labels FROM r""")
+def batch_replies(spark, d):
+    """The labels of an item as one numbered reply to two questions: read whole or not at all."""
+    rows = read(spark, d, "annotation_events").where("event_type = 'annotation' AND item_id IS NOT NULL AND label IS NOT NULL")
+    said = rows.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), F.trim(x["label"]))).alias("lines"))
+    got = said.select("item_id", claims.batch_labels(F.array_join("lines", "\n"), _N_PAIR, review.VERDICTS).alias("l"))
+    return got.select("item_id", F.col("l").isNotNull().alias("readable"), F.array_join("l", ",").alias("labels"))
+
+
+@query("""
+WITH i AS (SELECT item_id, arg_min(evidence, seq) AS evidence FROM annotation_events WHERE event_type = 'item' AND item_id IS NOT NULL GROUP BY item_id),
+a AS (SELECT item_id, arg_max(label, seq) AS reply, arg_max(CASE WHEN confidence IS NOT NULL THEN confidence ELSE 0 END, CASE WHEN label IS NOT NULL THEN seq END) AS sure FROM annotation_events WHERE event_type = 'annotation' AND source = 'llm' GROUP BY item_id),
+x AS (SELECT item_id, coalesce(len(evidence), 0) = 0 AS bare, list_distinct(regexp_extract_all(upper(coalesce(reply, '')), '\\b(SUPPORTED|CONTRADICTED|UNVERIFIABLE)\\b')) AS named, sure FROM i LEFT JOIN a USING (item_id))
+SELECT item_id, CASE WHEN bare OR len(named) <> 1 THEN 'UNVERIFIABLE' ELSE named[1] END AS label, CASE WHEN bare THEN 1 WHEN len(named) <> 1 THEN 0 ELSE coalesce(sure, 0) END::DOUBLE AS confidence FROM x""")
+def proposed_labels(spark, d):
+    """The label that a judge's last reply proposes for each item."""
+    ev = read(spark, d, "annotation_events")
+    items = ev.where("event_type = 'item' AND item_id IS NOT NULL").groupBy("item_id").agg(F.min_by("evidence", "seq").alias("evidence"))
+    said = ev.where("event_type = 'annotation' AND source = 'llm' AND label IS NOT NULL").groupBy("item_id").agg(F.max_by(F.struct(F.col("label").alias("reply"), F.coalesce("confidence", F.lit(0.0)).alias("reply_confidence")), "seq").alias("r"))
+    return review.proposed_labels(items.join(said, "item_id", "left").select("item_id", "evidence", "r.reply", "r.reply_confidence"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '^[ \t\n\v\f\r]*(?:[-*•]|[0-9]+[.)])[ \t\n\v\f\r]*', ''))), lambda c: length(c) >= 8 AND regexp_matches(c, '[\\p{L}\\p{N}]')) AS k FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, k, contains(upper(text), 'NO_CLAIMS') AS none, list_sum(list_transform(k, lambda c: length(c))) > greatest(60, 2 * length(text)) AS big FROM l)
+SELECT doc_id, CASE WHEN none THEN 0 WHEN len(k) = 0 OR len(k) >= 20 OR coalesce(big, false) THEN NULL ELSE len(k) END::BIGINT AS n_claims, CASE WHEN none THEN md5('') WHEN len(k) = 0 OR len(k) >= 20 OR coalesce(big, false) THEN NULL ELSE md5(array_to_string(k, chr(10))) END AS claims_md5 FROM m""")
+def claim_lines(spark, d):
+    """Documents read as a decomposer's replies, one claim a line; NULL where the reply asks for the rule-based way."""
+    rows = texts(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", claims.claim_lines(F.col("text"), F.col("text")).alias("c"))
+    return rows.select("doc_id", F.when(F.col("c").isNotNull(), F.size("c")).cast("long").alias("n_claims"), F.md5(F.array_join("c", "\n")).alias("claims_md5"))
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, value, ts, count(*) OVER w AS n, sum(value) OVER w AS v, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS p FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW))
+SELECT event_id, n <= 28 AS minute_ok, round(v, 6) <= 950 AS amount_ok, p <= 950 AS day_ok FROM e""")
+def provider_limits(spark, d):
+    """Each event type taken as a provider with 30 requests and an amount of 1,000 a minute and 1,000 requests a day, less five per cent."""
+    return limits.within_limits(read(spark, d, "events"), 30, 1000, 1000, "event_type", "value").select("event_id", "minute_ok", "amount_ok", "day_ok")
+
+
+@query()
+def shared_budget(spark, d):
+    """At most two requests of a visitor in ten minutes and 300 of all visitors in a day."""
+    return limits.admitted_with_budget(read(spark, d, "events"), 2, 600, 300).select("event_id", "user_id", "admitted")
+
+
+@query()
+def feature_rows(spark, d):
+    """The 17 signals of every answer in their fixed order: what was retrieved, the verdicts, no log-probabilities, and the reference answers as further samples. NULL is absent, which is not 0."""
+    rows = read(spark, d, "records").where("answer IS NOT NULL").select("record_id", "qid", "answer", F.size("retrieved_chunk_ids").alias("k"))
+    gold = read(spark, d, "questions").where("trim(gold_answer) <> ''").groupBy("qid").agg(F.array(F.min("gold_answer"), F.max("gold_answer")).alias("samples"))
+    rows = rows.join(claims.detection(verdicts(spark, d), "record_id"), "record_id", "left").join(gold, "qid", "left")
+    k = F.greatest("k", F.lit(0))
+    places = F.transform(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), lambda i: (L.RRF_K + 1) / (L.RRF_K + i))
+    s1 = {"s1_top_score": F.when(k > 0, 1.0).otherwise(0.0), "s1_score_margin": F.when(k > 1, 1 - places[1]).otherwise(0.0), "s1_mean_score": F.when(k > 0, F.aggregate(places, F.lit(0.0), lambda a, b: a + b) / k).otherwise(0.0), "s1_n_chunks": k}
+    s2 = {f"s2_{n}": F.coalesce(n, F.lit(0.0)) for n in ("supported_ratio", "contradicted_ratio", "unverifiable_ratio", "mean_margin", "min_margin")} | {"s2_n_claims": F.coalesce("n_claims", F.lit(0))}
+    s4 = X.consistency_signals(F.col("answer"), F.coalesce("samples", F.array().cast("array<string>")))
+    return rows.select("record_id", *[F.round(c, 6).alias(n) for c, n in zip(confidence.feature_row(s1 | s2 | s4), confidence.SIGNALS)])

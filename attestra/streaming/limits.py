@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.ranking import spread
+from ..session import written
 
 
 def timed(events: DataFrame, ts: str = "ts") -> DataFrame:
@@ -18,26 +19,64 @@ def timed(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
-    """(user, session_start, session_end, n): a session ends when nothing follows within the gap. Works on batches and, behind a watermark, on streams."""
-    by = events.where(F.col(ts).isNotNull()).groupBy(user, F.session_window(ts, gap).alias("s")).agg(F.count("*").alias("n"))
-    return by.select(user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+    """(user, session_start, session_end, n): a session ends when nothing follows within the gap. Works on batches and, behind a watermark, on streams.
 
+    A batch is first cut into the sessions inside each hour, then those of a user are joined where less than the gap lies
+    between them; so no task sorts all events of a user, only his few sessions by hour.
+    """
+    rows = events.where(F.col(ts).isNotNull())
+    if events.isStreaming:
+        by = rows.groupBy(user, F.session_window(ts, gap).alias("s")).agg(F.count("*").alias("n"))
+        return by.select(user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+    pause = F.expr(f"INTERVAL {gap}")
 
-def sliding_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", seconds: int = 60, value: str | None = None) -> DataFrame:
-    """events with the number (and the sum of a value) of the key's events in the last seconds, the event itself included."""
-    w = W.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    out = events.withColumn("in_window", F.count("*").over(w))
-    return out.withColumn("sum_in_window", F.sum(value).over(w)) if value else out
+    def joined(spans: DataFrame, *keys: str) -> DataFrame:
+        order = W.partitionBy(*keys).orderBy("_a", "_z")
+        new = F.coalesce(F.col("_a") >= F.lag("_z").over(order) + pause, F.lit(True)).cast("int")
+        numbered = spans.withColumn("_new", new).withColumn("_no", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        return numbered.groupBy(*keys, "_no").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.sum("_n").alias("_n")).drop("_no")
+
+    hours = joined(rows.select(user, F.date_trunc("hour", F.col(ts)).alias("_hour"), F.col(ts).alias("_a"), F.col(ts).alias("_z"), F.lit(1).alias("_n")), user, "_hour")
+    return joined(hours.drop("_hour"), user).select(user, F.col("_a").alias("session_start"), (F.col("_z") + pause).alias("session_end"), F.col("_n").alias("n"))
 
 
-def daily_places(events: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """events with their place in the UTC day, counted from 1: the hours of a day are counted first, so that no task sorts a whole day."""
+def sliding_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", seconds: int = 60, value: str | None = None) -> DataFrame:
+    """events with the number (and the sum of a value) of the key's events in the last seconds, the event itself included.
+
+    Time is cut into slots of that length. An event is counted in its own slot and, without its other columns, in the next
+    one, so a task sorts two slots of a key and never all of its events. Events without a time count each other.
+    """
+    width = seconds * 1_000_000
+    rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_slot", F.floor(F.col("_t") / width))
+    thin = [key, "_t", *([value] if value else [])]
+    before = rows.where("_t IS NOT NULL").select(*dict.fromkeys(thin), (F.col("_slot") + 1).alias("_slot"), F.lit(True).alias("_before"))
+    both = rows.withColumn("_before", F.lit(False)).unionByName(before, allowMissingColumns=True)
+    w = W.partitionBy(key, "_slot").orderBy("_t").rangeBetween(-width, 0)
+    out = both.withColumn("in_window", F.count("*").over(w))
+    out = out.withColumn("sum_in_window", F.sum(value).over(w)) if value else out
+    return out.where("NOT _before").drop("_t", "_slot", "_before")
+
+
+def within_limits(events: DataFrame, per_minute: int, amount_per_minute: float, per_day: int, key: str, value: str, ts: str = "ts", tie: str = "event_id", margin: float = 0.95) -> DataFrame:
+    """events with `minute_ok`, `amount_ok` and `day_ok`: whether a key's requests and their amount of the last minute, and its requests of the UTC day, stay within the limits less a margin."""
+    least = lambda n: int(n * margin)
+    rows = sliding_counts(events, key, ts, 60, value)
+    rows = daily_places(rows, ts, tie, key)
+    return rows.select(*events.columns, (F.col("in_window") <= least(per_minute)).alias("minute_ok"), (F.col("sum_in_window") <= F.lit(float(least(amount_per_minute)))).alias("amount_ok"), (F.col("place") <= least(per_day)).alias("day_ok"))
+
+
+def daily_places(events: DataFrame, ts: str = "ts", tie: str = "event_id", key: str | None = None) -> DataFrame:
+    """events with their place in the UTC day (of a key, if one is given), counted from 1: the minutes of a day are counted first, so that no task sorts a whole day."""
+    keys = [key] if key else []
     rows = events.withColumn("day", F.to_date(ts)).withColumn("_slot", F.date_trunc("minute", F.col(ts)))
-    counts = rows.groupBy(F.col("day").alias("_day"), F.col("_slot").alias("_s")).agg(F.count("*").alias("_n"))
-    before = W.partitionBy("_day").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("_day", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    place = F.row_number().over(W.partitionBy("day", "_slot").orderBy(ts, tie))
-    return rows.join(counts, (F.col("day") == F.col("_day")) & (F.col("_slot") == F.col("_s"))).withColumn("place", F.col("_off") + place).drop("_slot", "_day", "_s", "_off")
+    counts = rows.groupBy(*[F.col(k).alias("_key") for k in keys], F.col("day").alias("_day"), F.col("_slot").alias("_s")).agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_day", *["_key" for _ in keys]).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*["_key" for _ in keys], "_day", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(W.partitionBy(*keys, "day", "_slot").orderBy(ts, tie))
+    same = (F.col("day") == F.col("_day")) & (F.col("_slot") == F.col("_s"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_key"))
+    return rows.join(counts, same).withColumn("place", F.col("_off") + place).drop("_slot", "_day", "_s", "_off", "_key")
 
 
 def request_metrics(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
@@ -79,6 +118,28 @@ def admitted(events: DataFrame, limit: int, seconds: int, key: str = "user_id",
     return events.join(found, tie, "left").withColumn("admitted", F.coalesce("_yes", F.lit(False))).drop("_yes")
 
 
+def admitted_with_budget(events: DataFrame, limit: int, seconds: int, per_day: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """events with `admitted` as in admitted(), where all keys share a budget of `per_day` admissions in a UTC day; a refused request uses neither up.
+
+    Once the budget of a day is spent, the rest of the day is refused. Where that is depends on the key windows alone, and
+    those on the days before only through their last seconds: the admissions are found without the budget, each day is cut
+    at its last one that the budget covers, and what the cuts change is found again until no cut moves. Each round settles
+    at least one more day that runs out, and a day is one small row; usually the second round changes nothing.
+    """
+    rows = written(events.withColumn("_day", F.to_date(ts)))
+    cuts = None
+    while True:
+        cut = F.struct(F.col(ts).alias("t"), F.col(tie).alias("e"))
+        within = rows if cuts is None else rows.join(F.broadcast(cuts), "_day", "left").where(F.col("_last").isNull() | (cut <= F.col("_last"))).drop("_last")
+        passed = written(admitted(within, limit, seconds, key, ts, tie))
+        placed = daily_places(passed.where("admitted").select(F.col(ts), F.col(tie)), ts, tie)
+        new = written(placed.where(F.col("place") == per_day).select(F.col("day").alias("_day"), cut.alias("_last")))
+        if cuts is not None and new.exceptAll(cuts).isEmpty() and cuts.exceptAll(new).isEmpty():
+            break
+        cuts = new
+    return events.join(passed.where("admitted").select(tie, F.lit(True).alias("_yes")), tie, "left").withColumn("admitted", F.coalesce("_yes", F.lit(False))).drop("_yes")
+
+
 def stream(spark: SparkSession, folder: str, schema, glob: str | None = None) -> DataFrame:
     """A stream over the Parquet files of a folder."""
     reader = spark.readStream.schema(schema)
