@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.labels import answerability_label, group_id, label, language_label, split_label
 from ..operators.ranking import fill_cores
 from ..operators.ranking import hash_place as rank_in_group
-from ..operators.ranking import hash_sample
+from ..operators.ranking import hash_sample, spread
+from ..session import shared_dir, written
 
-__all__ = ["answerability_label", "fill_cores", "group_id", "hash_sample", "label", "language_label", "rank_in_group", "shared_dir", "split_label", "table", "written"]
+__all__ = ["answerability_label", "fill_cores", "group_id", "hash_sample", "label", "language_label", "rank_in_group", "shared_dir", "split_label", "spread", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file:///tmp/attestra-{os.getpid()}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: cuts the lineage, survives the loss of an executor, is computed once."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,6 @@ from .common import fill_cores, table, written
 #: Vocabulary file of a byte-level BPE as ranks, and the pattern it is used with; both are parameters.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_KINDS = 100  # kinds of container; each item is packed once for each
 SHARD_ITEMS = 30_000  # items packed together by one task
 MEMO = 500_000
 _LOADED: dict[str, tuple] = {}
@@ -63,9 +62,8 @@ def sized(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = TO
 
 def items(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> DataFrame:
     """(container_kind, capacity, key, part_no, n_parts, size): one row per item; only a document above the capacity is split, into full parts and a rest."""
-    kinds = containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(MAX_KINDS + 1).collect()
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} kinds of container")
+    # the kinds are a plan of a few rows, written into the plan of the query as literals
+    kinds = containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().collect()
     none = F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
     each_kind = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sorted(kinds)]) if kinds else none
     each = sizes.select(key, "tokens", F.explode(each_kind).alias("k")).select(key, "tokens", "k.*")
@@ -74,44 +72,107 @@ def items(sizes: DataFrame, containers: DataFrame, key: str = "doc_id") -> DataF
     return parts.select("container_kind", "capacity", key, "part_no", "n_parts", F.when(F.col("part_no") < F.col("n_parts"), F.col("capacity")).otherwise(F.col("tokens") - (F.col("n_parts") - 1) * F.col("capacity")).alias("size"))
 
 
-def pack(sizes: list[int], capacity: int) -> list[int]:
-    """The container number of each item.
+class Pool:
+    """Items by size: the sizes that still have items, in rising order, and the items of each."""
 
-    Martello-Toth dominance reduction first: with items in falling size, the largest item j is fixed alone if nothing
-    fits beside it; with the largest partner i if that fills the container, if no two others fit together beside j, or if
-    i is at least as large as any two that do. Such a set dominates every other set that holds j. Where none applies, the
-    reduction goes on with the next item and j is left to best fit, which takes the items in falling size.
-    """
-    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
-    where = [-1] * len(sizes)
-    counts: dict[int, list[int]] = {}
-    for k in reversed(order):
-        counts.setdefault(sizes[k], []).append(k)
-    free = sorted(counts)  # sizes that still have items
-    n_bins = 0
-
-    def take(size: int) -> int:
-        k = counts[size].pop()
-        if not counts[size]:
-            free.pop(bisect_left(free, size))
+    def __init__(self, sizes: list[int]) -> None:
+        self.items: dict[int, list[int]] = {}
+        for k in range(len(sizes) - 1, -1, -1):
+            self.items.setdefault(sizes[k], []).append(k)
+        self.sizes = sorted(self.items)
+
+    def take(self, size: int) -> int:
+        k = self.items[size].pop()
+        if not self.items[size]:
+            self.sizes.pop(bisect_left(self.sizes, size))
         return k
 
-    rest: list[int] = []
-    while free:
-        j = take(free[-1])
-        room = capacity - sizes[j]
-        at = bisect_left(free, room + 1)
-        if not at:
-            where[j] = n_bins
-            n_bins += 1
-            continue
-        best = free[at - 1]
-        if best == room or best >= _largest_pair(free, counts, at, room):
-            where[j] = where[take(best)] = n_bins
-            n_bins += 1
+    def put(self, size: int, k: int) -> None:
+        if not self.items[size]:
+            insort(self.sizes, size)
+        self.items[size].append(k)
+
+    def smallest(self, n: int, above: int = -1) -> list[int]:
+        """The n smallest sizes above a bound, repeated as often as they have items; fewer if there are no more."""
+        out: list[int] = []
+        for s in self.sizes[bisect_left(self.sizes, above + 1) :]:
+            out += [s] * min(n - len(out), len(self.items[s]))
+            if len(out) == n:
+                break
+        return out
+
+    def largest(self, room: int) -> int:
+        """The largest size that fits into room, 0 if none does."""
+        at = bisect_left(self.sizes, room + 1)
+        return self.sizes[at - 1] if at else 0
+
+    def pair(self, room: int) -> int:
+        """The largest sum of two items that fit into room together, 0 if none do."""
+        lo, hi, best = 0, bisect_left(self.sizes, room + 1) - 1, 0
+        while lo <= hi and best < room:
+            s = self.sizes[lo] + self.sizes[hi]
+            if s > room:
+                hi -= 1
+            elif lo == hi:
+                return max(best, s if len(self.items[self.sizes[lo]]) > 1 else 0)
+            else:
+                best, lo = max(best, s), lo + 1
+        return best
+
+
+def dominating(pool: Pool, room: int) -> list[int] | None:
+    """The sizes beside an item that leaves `room` free which dominate every other choice from the pool; None if no such choice is proved.
+
+    One choice dominates another if the items of the other can be parted among its own so that no part is larger than the
+    item it stands for; then some best packing uses it. Proved are: nothing where nothing fits; the largest item that fits
+    where it fills the room or no two fit; where at most two fit, the largest item if it is no smaller than any two that do,
+    or the largest item with one beside it, if no better pair fits and no pair of two items larger than the second fits.
+    """
+    best = pool.largest(room)
+    if not best:
+        return []
+    if best == room or sum(pool.smallest(2)) > room or len(pool.smallest(2)) < 2:
+        return [best]
+    three = pool.smallest(3)
+    if len(three) == 3 and sum(three) <= room:
+        return None
+    pair = pool.pair(room)
+    if best >= pair:
+        return [best]
+    k = pool.take(best)
+    second = pool.largest(room - best)
+    pool.put(best, k)
+    larger = pool.smallest(2, second)
+    if second and best + second == pair and (len(larger) < 2 or sum(larger) > room):
+        return [best, second]
+    return None
+
+
+def reduced(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """(containers fixed by dominance, the other items in falling size): items are looked at in falling size, partners are all items not fixed yet."""
+    pool = Pool(sizes)
+    fixed: list[list[int]] = []
+    size = pool.sizes[-1] if pool.sizes else 0
+    while size:
+        j = pool.take(size)
+        found = dominating(pool, capacity - size)
+        if found is None:
+            pool.put(size, j)
         else:
-            rest.append(j)
-    # best fit of the remainder: rest holds the items that the reduction passed over, largest first
+            fixed.append([j, *(pool.take(s) for s in found)])
+        if found is None or not pool.items[size]:
+            size = pool.largest(size - 1)
+    return fixed, [k for s in reversed(pool.sizes) for k in reversed(pool.items[s])]
+
+
+def pack(sizes: list[int], capacity: int) -> list[int]:
+    """The container number of each item: dominance reduction first, then best fit of what it leaves, in falling size."""
+    fixed, rest = reduced(sizes, capacity)
+    where = [-1] * len(sizes)
+    for b, members in enumerate(fixed):
+        for k in members:
+            where[k] = b
+    n_bins = len(fixed)
     gaps: list[tuple[int, int]] = []
     for j in rest:
         at = bisect_left(gaps, (sizes[j], -1))
@@ -126,24 +187,7 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     return where
 
 
-def _largest_pair(free: list[int], counts: dict[int, list[int]], at: int, room: int) -> int:
-    """The largest sum of two items that fit into room together, 0 if none do. Stops at the first sum that fills the room."""
-    lo, hi, best = 0, at - 1, 0
-    while lo <= hi:
-        s = free[lo] + free[hi]
-        if s > room:
-            hi -= 1
-        elif lo == hi:
-            return max(best, s if len(counts[free[lo]]) > 1 else 0)
-        else:
-            best = max(best, s)
-            if best == room:
-                return best
-            lo += 1
-    return best
-
-
-def packed(all_items: DataFrame, n_items: int, key: str = "doc_id", shard_items: int = SHARD_ITEMS) -> DataFrame:
+def packed(all_items: DataFrame, n_items: int, n_kinds: int = 1, key: str = "doc_id", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """all_items with `container`: items are dealt by hash to shards of about shard_items, each packed by one task.
 
     A shard wastes at most what its last containers leave open. A task sees ids and sizes only, never texts.
@@ -158,7 +202,9 @@ def packed(all_items: DataFrame, n_items: int, key: str = "doc_id", shard_items:
         return pdf.assign(container=[f"{kind}/{shard}/{b}" for b in where])
 
     rows = all_items.withColumn("shard", F.pmod(F.xxhash64(key, "part_no"), F.lit(shards)).cast("int"))
-    return rows.groupBy("container_kind", "shard").applyInPandas(run, schema)
+    # as many parts as there are shards to pack, so that no task packs several
+    dealt = rows.repartition(shards * max(1, n_kinds), "container_kind", "shard")
+    return dealt.groupBy("container_kind", "shard").applyInPandas(run, schema)
 
 
 def pack_documents(df: DataFrame, containers: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
@@ -171,7 +217,7 @@ def pack_documents(df: DataFrame, containers: DataFrame, key: str = "doc_id", te
     # the number of items of the kind that has most: that of the smallest capacity
     smallest = containers.where("capacity_tokens > 0").agg(F.min("capacity_tokens")).first()[0]
     n = sizes.agg(F.sum(F.ceil(F.col("tokens") / F.lit(smallest or 1)))).first()[0] or 0
-    return packed(parts, int(n), key)
+    return packed(parts, int(n), containers.where("capacity_tokens > 0").select("container_kind").distinct().count(), key)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

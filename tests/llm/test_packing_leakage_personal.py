@@ -54,11 +54,34 @@ def optimum(sizes, capacity):
     return best
 
 
-@pytest.mark.parametrize("seed", range(15))
+@pytest.mark.parametrize("seed", range(150))
 def test_reduction_costs_no_container(seed):
+    """What dominance fixes is part of a best packing: the rest, packed exactly, needs as many containers as are left."""
     rng = random.Random(seed)
-    sizes = sorted((rng.randint(15, 70) for _ in range(9)), reverse=True)
-    assert len(set(packing.pack(sizes, 100))) <= optimum(sizes, 100) + 1
+    low, high = rng.choice([(15, 70), (25, 60), (30, 50), (5, 95), (20, 45)])
+    sizes = [rng.randint(low, high) for _ in range(9)]
+    fixed, rest = packing.reduced(sizes, 100)
+    assert sorted(k for b in [*fixed, rest] for k in b) == list(range(9)) and all(sum(sizes[k] for k in b) <= 100 for b in fixed)
+    assert len(fixed) + optimum(sorted((sizes[k] for k in rest), reverse=True), 100) == optimum(sorted(sizes, reverse=True), 100)
+    assert len(set(packing.pack(sizes, 100))) <= optimum(sorted(sizes, reverse=True), 100) + 1
+
+
+def test_three_small_items_may_beat_the_largest_that_fits():
+    assert len(set(packing.pack([10, 7, 3, 3, 3, 3, 3, 3, 3], 19))) == 3  # best fit; the reduction itself fixes nothing here
+    fixed, rest = packing.reduced([10, 7, 3, 3, 3, 3, 3, 3, 3], 19)
+    assert len(fixed) + optimum([[10, 7, 3, 3, 3, 3, 3, 3, 3][k] for k in rest], 19) == 2
+
+
+def test_reduction_fixes_pairs_and_triples():
+    assert packing.reduced([60, 40, 55, 44], 100)[0] == [[0, 1], [2, 3]]
+    assert sorted(len(b) for b in packing.reduced([50, 30, 20, 26, 60], 100)[0])[-1] == 3
+
+
+def test_many_kinds_of_container(spark):
+    sizes = spark.createDataFrame([(i, 1 + i % 7) for i in range(20)], "doc_id long, tokens long")
+    boxes = spark.createDataFrame([(f"k{i}", i + 1) for i in range(120)], "container_kind string, capacity_tokens long")
+    got = packing.items(sizes, boxes)
+    assert got.select("container_kind").distinct().count() == 120 and got.groupBy("container_kind").sum("size").select("sum(size)").distinct().count() == 1
 
 
 def test_documents_split_only_when_too_large(spark):
