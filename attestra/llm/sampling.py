@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import answerability_label, label, language_label, rank_in_group, table
+from .common import answerability_label, label, language_label, rank_in_group, spread, table
 
 FIELD_LABELS = {"answerability": answerability_label, "question_type": label, "language": language_label}
 SEP, WITHIN = "#", ","
+STARTS = 20  # random starts that are tried while floors are missed
 
 
 def plans(targets: DataFrame) -> DataFrame:
@@ -35,45 +36,78 @@ def signatures(questions: DataFrame, targets: DataFrame) -> DataFrame:
     return planned.groupBy("plan_id", "qid").agg(*borne).select("plan_id", "qid", F.concat_ws(SEP, *FIELD_LABELS).alias("signature"))
 
 
-def swap_repair(available: np.ndarray, member: np.ndarray, want: np.ndarray, floor: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """How many records to draw of each signature.
+LARGE = 10**9  # from here on numpy draws no hypergeometric numbers
 
-    available: records by signature; member: signature x category, 0/1; want, floor: target count and minimum by category.
-    Starts from a random draw that satisfies the floors where the supply allows it and exchanges signature counts,
-    always by the pair that lowers the sum of |drawn - want| most, until no exchange lowers it. No exchange takes a
-    category below its floor.
-    """
-    rng = np.random.default_rng(seed)
-    size = int(min(size, available.sum()))
+
+def _random_draw(rng: np.random.Generator, available: np.ndarray, size: int) -> np.ndarray:
+    """`size` records drawn at random, by signature: hypergeometric, or beyond LARGE records multinomial, cut at what there is and drawn again for the rest."""
+    if available.sum() < LARGE:
+        return rng.multivariate_hypergeometric(available, size, method="marginals")
+    taken = np.zeros_like(available)
+    while (left := size - int(taken.sum())) > 0:
+        room = available - taken
+        taken = np.minimum(taken + rng.multinomial(left, room / room.sum()), available)
+    return taken
+
+
+def _start(rng: np.random.Generator, available: np.ndarray, member: np.ndarray, floor: np.ndarray, size: int) -> np.ndarray:
+    """A random start that holds the floors as far as taking the signature that helps most floors each time can; the rest is drawn at random."""
     taken = np.zeros_like(available)
-    supply = available @ member
-    floor = np.minimum(floor, supply)
-    for c in np.argsort(supply, kind="stable"):
-        while (short := int(floor[c] - taken @ member[:, c])) > 0 and taken.sum() < size:
-            open_ = (available - taken) * member[:, c]
-            if not open_.sum():
-                break
-            taken += rng.multivariate_hypergeometric(open_, min(short, size - int(taken.sum())), method="marginals")
-    taken += rng.multivariate_hypergeometric(available - taken, size - int(taken.sum()), method="marginals")
-    change = member[None, :, :] - member[:, None, :]  # [out, in, category]
+    while (left := size - int(taken.sum())) > 0:
+        short = np.maximum(floor - taken @ member, 0)
+        helps = (member @ (short > 0)) * (taken < available)
+        if not helps.any():
+            break
+        j = rng.choice(np.flatnonzero(helps == helps.max()))
+        taken[j] += min(left, int(available[j] - taken[j]), int(short[(member[j] > 0) & (short > 0)].min()))
+    return taken + _random_draw(rng, available - taken, size - int(taken.sum()))
+
+
+def _repair(taken: np.ndarray, available: np.ndarray, member: np.ndarray, want: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Exchanges of one signature for another, always the one that lowers the cost most, until none does. A record that a floor lacks costs more than all deviations of an exchange."""
+    heavy = 2 * member.shape[1] + 1
+    cost = lambda have: heavy * np.maximum(floor - have, 0) + np.abs(have - want)
     while True:
         have = taken @ member
-        gap = have - want
-        step = np.abs(gap[None, None, :] + change).sum(2) - np.abs(gap).sum()
-        low = (change < 0) & (have <= floor)[None, None, :]
-        step[(taken == 0)[:, None] | (taken >= available)[None, :] | low.any(2)] = 0
+        plus, minus = cost(have + 1) - cost(have), cost(have - 1) - cost(have)
+        step = (member @ minus)[:, None] + (member @ plus)[None, :] - (member * (plus + minus)) @ member.T
+        step[(taken == 0)[:, None] | (taken >= available)[None, :]] = 0
         out, into = np.unravel_index(np.argmin(step), step.shape)
         if step[out, into] > -1e-9:
             return taken
-        d = change[out, into]
-        room = [taken[out], available[into] - taken[into]]
-        room += [int(abs(gap[c])) for c in np.flatnonzero(d) if gap[c] * d[c] < 0 and abs(gap[c]) >= 1]
-        room += [int(have[c] - floor[c]) for c in np.flatnonzero(d < 0)]
-        k = max(1, int(min(room)))
+        # as many at once as leave every category on its side of its target and floor
+        d = member[into] - member[out]
+        ahead = np.stack([want - have, floor - have]) * d
+        ahead = ahead[:, d != 0]
+        k = max(1, int(min(taken[out], available[into] - taken[into], *(int(x) for x in ahead[ahead >= 1]))))
+        taken = taken.copy()
         taken[out] -= k
         taken[into] += k
 
 
+def swap_repair(available: np.ndarray, member: np.ndarray, want: np.ndarray, floor: np.ndarray, size: int, seed: int, starts: int = STARTS) -> np.ndarray:
+    """How many records to draw of each signature.
+
+    available: records by signature; member: signature x category, 0/1; want, floor: target count and minimum by category.
+    From a random start that holds the floors where it can, signature counts are exchanged, always by the pair that lowers
+    first what the floors lack and then the sum of |drawn - want| most, until no exchange lowers it. Where a floor that the
+    supply allows is still missed, other starts are tried, up to `starts`; the best is kept.
+    """
+    rng = np.random.default_rng(seed)
+    size = int(min(size, available.sum()))
+    floor = np.minimum(floor, available @ member)
+    best, least = None, None
+    for _ in range(starts):
+        taken = _repair(_start(rng, available, member, floor, size), available, member, want, floor)
+        have = taken @ member
+        missed = (int(np.maximum(floor - have, 0).sum()), float(np.abs(have - want).sum()))
+        if least is None or missed < least:
+            best, least = taken, missed
+        if not least[0]:
+            break
+    return best
+
+
 def _solve(key: tuple, counts: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
     if not len(counts) or not len(plan):
         return pd.DataFrame({"plan_id": np.zeros(0, np.int64), "signature": np.zeros(0, object), "available": np.zeros(0, np.int64), "taken": np.zeros(0, np.int64)})
@@ -93,7 +127,8 @@ def allocation(sigs: DataFrame, targets: DataFrame) -> DataFrame:
     """(plan_id, signature, available, taken). What a plan's task sees is one row per signature, bounded by the plan's categories."""
     counts = sigs.groupBy("plan_id", "signature").agg(F.count("*").alias("n"))
     plan = plans(targets).select(F.col("plan_id").alias("plan"), "sample_size", "field_name", "category_key", F.col("target_share").cast("double").alias("target_share"), "min_rows")
-    return counts.groupBy("plan_id").cogroup(plan.groupBy("plan")).applyInPandas(_solve, "plan_id long, signature string, available long, taken long")
+    # dealt by plan before the tasks start, so that AQE does not put all plans into one
+    return spread(counts, "plan_id").groupBy("plan_id").cogroup(spread(plan, "plan").groupBy("plan")).applyInPandas(_solve, "plan_id long, signature string, available long, taken long")
 
 
 def draw(questions: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
@@ -107,8 +142,10 @@ def draw(questions: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def report(questions: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per row of sample_targets: supply, number drawn, and whether target and minimum can be met.
+    """One row per row of sample_targets: supply, number drawn, whether target and minimum can be met by the supply alone, and whether the draw meets them.
 
+    The draw meets a target if it is off by less than one record. A minimum that can be met alone may be missed in the draw
+    only where the plan's minima together ask for more than its size allows, or no start and exchange found the way.
     Empty questions give a supply of 0 everywhere; an empty plan gives no row. NULL target_share or min_rows ask for nothing.
     """
     plan = plans(targets)
@@ -121,6 +158,7 @@ def report(questions: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select(
         "plan_id", "field_name", "category", "target_share", wanted.alias("target_rows"), "min_rows", "supply", "drawn",
         (F.col("supply") + 1e-6 >= wanted).alias("target_can_be_met"), (F.col("supply") >= F.coalesce("min_rows", F.lit(0))).alias("minimum_can_be_met"),
+        (F.abs(F.col("drawn") - wanted) < 1).alias("target_met"), (F.col("drawn") >= F.coalesce("min_rows", F.lit(0))).alias("minimum_met"),
     )
 
 

@@ -52,6 +52,17 @@ def test_draw_follows_the_allocation_and_is_distinct(spark):
     assert {r.supply for r in S.report(q.where("false"), t).collect()} == {0}
 
 
+def draws(available, size):
+    """Every way to take `size` records."""
+    if len(available) == 1:
+        if size <= available[0]:
+            yield (size,)
+        return
+    for n in range(min(size, available[0]) + 1):
+        for rest in draws(available[1:], size - n):
+            yield (n, *rest)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_no_swap_improves_and_floors_hold(seed):
     rng = np.random.default_rng(seed)
@@ -67,10 +78,44 @@ def test_no_swap_improves_and_floors_hold(seed):
     for a, b in itertools.permutations(range(9), 2):
         if taken[a] and taken[b] < available[b]:
             new = have - member[a] + member[b]
-            worse = ((member[b] - member[a] < 0) & (have <= reach)).any()
+            worse = np.maximum(reach - new, 0).sum() > np.maximum(reach - have, 0).sum()
             assert worse or np.abs(new - want).sum() >= gap - 1e-9
 
 
+@pytest.mark.parametrize("seed", range(120))
+def test_floors_are_met_where_any_draw_meets_them(seed):
+    rng = np.random.default_rng(seed)
+    member, available = rng.integers(0, 2, (5, 4)), rng.integers(0, 5, 5)
+    want, floor, size = rng.integers(0, 6, 4).astype(float), rng.integers(0, 5, 4), int(min(rng.integers(2, 8), available.sum()))
+    all_ = np.array(list(draws(available.tolist(), size))).reshape(-1, 5)
+    have = all_ @ member
+    reach = np.minimum(floor, available @ member)
+    missed, gap = np.maximum(reach - have, 0).sum(1), np.abs(have - want).sum(1)
+    mine = S.swap_repair(available, member, want, floor, size, seed) @ member
+    assert np.maximum(reach - mine, 0).sum() == missed.min()
+    assert np.abs(mine - want).sum() <= gap[missed == missed.min()].min() + 2  # one exchange from the best at most
+
+
+def test_floors_of_a_plan_that_greedy_filling_misses():
+    member = np.array([[1, 1, 1], [1, 0, 1], [0, 0, 0], [0, 1, 0]])
+    for seed in range(20):
+        assert (S.swap_repair(np.array([1, 2, 2, 2]), member, np.zeros(3), np.array([1, 1, 2]), 2, seed) @ member >= [1, 1, 2]).all()
+
+
+def test_more_records_than_hypergeometric_numbers_allow():
+    available = np.array([3 * 10**9, 2 * 10**9, 5])
+    taken = S.swap_repair(available, np.eye(3, dtype=np.int64), np.array([500.0, 480.0, 20.0]), np.array([0, 0, 5]), 1000, 1)
+    assert taken.sum() == 1000 and taken[2] == 5 and abs(taken[0] - 500) <= 15
+
+
+def test_report_tells_what_the_draw_meets(spark):
+    plan = [(1, "v1", 4, "answerability", c, x, m) for c, x, m in (("A", 0.5, 3), ("B", 0.5, 3))]
+    rows = [(i, f"q{i}", None, "en", "A" if i % 2 else "B", None, "v1", None, 0, "") for i in range(20)]
+    got = {r.category: r for r in S.report(spark.createDataFrame(rows, Q), spark.createDataFrame(plan, T)).collect()}
+    assert all(r.minimum_can_be_met and r.target_can_be_met for r in got.values()) and not any(r.minimum_met for r in got.values())
+    assert sum(r.drawn for r in got.values()) == 4
+
+
 def test_groups_stay_whole_and_shares_hold(spark):
     rng = random.Random(3)
     rows = []
