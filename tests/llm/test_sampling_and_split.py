@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -148,10 +149,49 @@ def test_torn_groups_equal_a_plain_scan(spark):
     assert {r.group_key for r in G.torn(spark.createDataFrame(rows, Q)).collect()} == {k for k, s in by.items() if len(s - {None}) > 1}
 
 
-def test_flow_meets_quotas_that_can_be_met():
-    b = pd.DataFrame([("x", "p", 10, 20, 2.0), ("y", "p", 5, 5, 1.0), ("z", "r", 1, 25, 25.0)], columns=["bundle", "profile", "n", "rows", "mean_rows"])
-    out = G.allot(b, pd.DataFrame({"split_name": ["a", "b"], "target_share": [0.5, 0.5]}))
-    rows = {"a": 0, "b": 0}
-    for r in out.itertuples():
-        rows[r.split_name] += (r.past_place - r.first_place) * int(b.set_index("bundle").loc[r.bundle, "mean_rows"])
-    assert sorted(rows.values()) == [25, 25]
+def test_flow_costs_least():
+    """Against every way to share out the rows of two parts among two splits."""
+    rng = random.Random(5)
+    for _ in range(40):
+        rows = [rng.randint(0, 9), rng.randint(0, 9)]
+        first = rng.randint(0, sum(rows))
+        quota, shares = [first, sum(rows) - first], [[x, 1 - x] for x in (rng.random(), rng.random())]
+        own = [G.whole(s, n) for s, n in zip(shares, rows)]
+        cost = lambda a, b: sum(max(0, x[k] - o[k]) for x, o in zip((a, b), own) for k in (0, 1)) + 8 * sum(max(0, a[k] + b[k] - quota[k]) for k in (0, 1))
+        best = min(cost((i, rows[0] - i), (j, rows[1] - j)) for i in range(rows[0] + 1) for j in range(rows[1] + 1))
+        got = G.flows([("p", rows[0], shares[0]), ("q", rows[1], shares[1])], ["a", "b"], quota)
+        mine = [(got[p, "a"], got[p, "b"]) for p in "pq"]
+        assert [sum(m) for m in mine] == rows and cost(*mine) == best
+
+
+def test_flow_ends_soon_with_very_many_parts():
+    began, rows = time.time(), [i % 97 + 1 for i in range(100_000)]
+    got = G.flows([(str(i), n, [0.8, 0.1, 0.1]) for i, n in enumerate(rows)], ["a", "b", "c"], G.whole([0.8, 0.1, 0.1], sum(rows)))
+    sums = [sum(n for (_, s), n in got.items() if s == x) for x in "abc"]
+    assert time.time() - began < 60 and sums == G.whole([0.8, 0.1, 0.1], sum(rows))
+
+
+def test_a_part_is_dealt_along_its_quotas():
+    rng = random.Random(2)
+    bundles = pd.DataFrame([(f"b{i}", rng.randint(1, 9), rng.randint(8, 15)) for i in range(3000)], columns=["bundle", "n", "n_rows"])
+    total = int((bundles.n * bundles.n_rows).sum())
+    quota = G.whole([0.8, 0.1, 0.1], total)
+    out = G.deal(bundles, pd.DataFrame({"split_name": ["a", "b", "c"], "quota": quota}))
+    out["m"] = out.past_place - out.first_place
+    assert out.groupby("bundle").m.sum().to_dict() == bundles.set_index("bundle").n.to_dict()
+    size = bundles.set_index("bundle").n_rows
+    rows = {s: int((x.m * size.loc[x.bundle].to_numpy()).sum()) for s, x in out[out.split_name.notna()].groupby("split_name")}
+    assert all(q - 15 < rows[s] <= q for s, q in zip("abc", quota)) and out[out.split_name.isna()].m.sum() <= 2
+
+
+def test_shares_hold_by_language_beside_a_hot_group(spark):
+    """One group has a third of all rows and one language to itself; what the others get makes up for it."""
+    rng = random.Random(4)
+    keys = [f"en-ins-{0 if i % 3 == 0 else rng.randrange(1, 1500):06d}" for i in range(12_000)]
+    q = spark.createDataFrame([(i, k, k[3:], "hi" if k.endswith("000000") else rng.choice(["en", "ta"]), None, None, None, None, 0, "") for i, k in enumerate(keys)], Q)
+    plan = spark.createDataFrame([("train", 0.8), ("dev", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    done = G.assign_components(G.components(q), plan).toPandas()
+    assert len(done) == len(set(keys)) and done.assigned_split.notna().all()
+    by = done.groupby("assigned_split")[["n_rows", "n_en", "n_ta"]].sum()
+    for s, share in (("train", 0.8), ("dev", 0.1), ("test", 0.1)):
+        assert abs(by.n_rows[s] - share * 12_000) <= 12
