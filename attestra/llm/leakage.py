@@ -2,9 +2,10 @@
 
 A prefix-filtered set join of word shingles. TESTDATA.md counts a stretch of twelve words with one word in eight changed,
 which always leaves five words in a row untouched, so shingles of five words find every case; their overlap need not be
-0.8. One pass over the corpus gathers, by document, the stretches that hold several shingles of one item, and in how many
-documents each shingle stands. Shingles are then ordered by rarity; only the rarest of each window of an item, as many as a
-match must hit, propose pairs; length and position bounds thin them out and an exact word alignment confirms them.
+0.8. One pass over the corpus gathers, by document, the stretches that hold shingles of the items, told by a bitmap of
+fixed size, and in how many documents each of these shingles stands. The shingles of each window of an item are then
+ordered by rarity; only the rarest, as many as a match must hit, meet the stretches by equi-join and propose pairs; length
+and position bounds thin them out and an exact word alignment confirms them.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .canon import Folding, words
-from .common import fill_cores, table, written
+from .canon import words
+from .common import fill_cores, spread, table, written
 
 K = 5  # words of a shingle
 LEAST_WORDS, ONE_IN = 12, 8
-#: Items whose shingles are held by every worker at once; more items are taken in several blocks, each a pass.
-BLOCK_SHINGLES = 1_000_000
-_FINE = Folding(words=True)
+BITS = 26  # the bitmap of the items' shingles has 2^BITS places, 8 MB, however many items there are
+MEMO = 500_000
+_HASHED: dict[str, int] = {}
 
 
 def tokens(text: str) -> tuple[list[str], list[int]]:
@@ -42,82 +43,101 @@ def tokens(text: str) -> tuple[list[str], list[int]]:
     return found, owner
 
 
-def shingle_hash(ws: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\0".join(ws)) - (1 << 63)
+def _word_hash(word: str) -> int:
+    h = _HASHED[word] = xxhash.xxh64_intdigest(word)
+    return h
 
 
-def item_shingles(found: list[str]) -> list[int]:
-    return [shingle_hash(found[i : i + K]) for i in range(len(found) - K + 1)]
+def shingles(found: list[str]) -> np.ndarray:
+    """A 64-bit hash of every K words in a row, from the hashes of the words, which each worker remembers."""
+    if len(found) < K:
+        return np.zeros(0, np.int64)
+    if len(_HASHED) > MEMO:
+        _HASHED.clear()
+    get = _HASHED.get
+    h = np.array([get(w) or _word_hash(w) for w in found], dtype=np.uint64)
+    n = len(h) - K + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(K):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
-def needed(found: list[str], owner: list[int], rank: dict[int, int]) -> set[int]:
+def needed(owner: list[int], marks: list[int], n: list[int]) -> list[int]:
     """Positions of the shingles of an item that a match must hit: of each window of 12 words (one edit), 16 (two), 24 (three) and so on the S - T + 1 rarest.
 
-    S is the window's number of shingles and T how many of them the allowed edits leave.
+    n: documents that hold each shingle. S is the window's number of shingles and T how many of them the allowed edits leave.
     """
-    marks = item_shingles(found)
     out: set[int] = set()
     first = [owner.index(w) for w in sorted(set(owner))]
     n_words = len(first)
     for size in [LEAST_WORDS, *range(2 * ONE_IN, n_words + 1, ONE_IN)]:
         edits = size // ONE_IN
         for w in range(n_words - size + 1):
-            a, b = first[w], (first[w + size] if w + size < n_words else len(found)) - K + 1
-            at = sorted(range(a, b), key=lambda i: (rank.get(marks[i], 0), i))
+            a, b = first[w], (first[w + size] if w + size < n_words else len(owner)) - K + 1
+            at = sorted(range(a, b), key=lambda i: (n[i], marks[i], i))
             least = size - K * edits - K + 1
             out.update(at[: max(0, len(at) - least + 1)])
+    return sorted(out)
+
+
+def item_table(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """(item, words, owner, marks) of the items that have twelve words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parted = [tokens(t) for t in b.column(1).to_pylist()]
+            cols = [b.column(0), pa.array([f for f, _ in parted], pa.list_(pa.string())), pa.array([o for _, o in parted], pa.list_(pa.int64())), pa.array([shingles(f) for f, _ in parted], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["item", "words", "owner", "marks"])
+
+    rows = items.where(F.length(item_text) > 0).select(F.col(item_key).cast("long"), item_text).distinct()
+    return rows.mapInArrow(run, "item long, words array<string>, owner array<long>, marks array<long>").where(F.size("words") >= LEAST_WORDS)
+
+
+def _places(marks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    u = marks.view(np.uint64)
+    return (u & np.uint64((1 << n) - 1)).astype(np.int64), (u >> np.uint64(64 - n)).astype(np.int64)
+
+
+def bitmap(listed: DataFrame, n: int = BITS) -> np.ndarray:
+    """Two of 2^n places for each shingle of the items, as 64-bit words. What comes to the driver is at most 2^n / 64 rows."""
+    mark = F.explode("marks")
+    at = listed.select(mark.alias("m")).select(F.explode(F.array(F.col("m").bitwiseAND(F.lit((1 << n) - 1)), F.shiftrightunsigned("m", 64 - n))).alias("p"))
+    cells = at.groupBy(F.shiftright("p", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (n - 6), dtype=np.uint64)
+    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def gathered(docs: DataFrame, items: list[tuple[int, str]], key: str, text: str) -> DataFrame:
-    """One pass over the corpus: rows (key, first, words, owner, at, marks) for stretches with at least two shingles of one item within an item's length, and rows (mark, n) with document counts by batch."""
-    shingles: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    longest = 0
-    vocabulary: set[str] = set()
-    for i, (_, t) in enumerate(items):
-        found, _ = tokens(t)
-        longest = max(longest, len(found))
-        vocabulary.update(found)
-        for p, m in enumerate(item_shingles(found)):
-            shingles[m].append((i, p))
-    reach = longest + longest // ONE_IN + 2
-    shared = docs.sparkSession.sparkContext.broadcast((dict(shingles), frozenset(vocabulary), reach))
-
-    def hits(found: list[str], marks: dict, vocabulary: frozenset) -> list[tuple[int, int]]:
-        known = np.fromiter((w in vocabulary for w in found), dtype=bool, count=len(found))
-        if known.sum() < K:
-            return []
-        whole = np.convolve(known, np.ones(K, dtype=np.int64), "valid") == K
-        out = []
-        for p in np.flatnonzero(whole).tolist():
-            m = shingle_hash(found[p : p + K])
-            if m in marks:
-                out.append((p, m))
-        return out
+def gathered(docs: DataFrame, bits: np.ndarray, reach: int, key: str, text: str) -> DataFrame:
+    """One pass over the corpus: rows (key, first, words, owner, at, marks) for stretches with at least two shingles that may be an item's within the reach of an item's length, and rows (mark, n) with document counts by batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, vocabulary, reach = shared.value
+        bits = shared.value
+        width = len(bits).bit_length() + 5
         for b in batches:
             rows, seen = [], defaultdict(int)
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, owner = tokens(t)
-                got = hits(found, marks, vocabulary)
-                for m in {m for _, m in got}:
+                marks = shingles(found)
+                known = np.ones(len(marks), dtype=bool)
+                for p in _places(marks, width):
+                    known &= (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+                at = np.flatnonzero(known)
+                if not len(at):
+                    continue
+                for m in set(marks[at].tolist()):
                     seen[m] += 1
-                last: dict[int, int] = {}
-                spans: list[list[int]] = []
-                for p, m in got:
-                    for i, _ in marks[m]:
-                        if i in last and p - last[i] <= reach:
-                            a, e = max(0, last[i] - reach), min(len(found), p + K + reach)
-                            if spans and a <= spans[-1][1]:
-                                spans[-1][1] = max(spans[-1][1], e)
-                            else:
-                                spans.append([a, e])
-                        last[i] = p
-                for a, e in spans:
-                    inside = [(p - a, m) for p, m in got if a <= p <= e - K]
-                    rows.append((d, a, found[a:e], owner[a:e], [p for p, _ in inside], [m for _, m in inside], None, None))
+                # runs of hits no further apart than the reach; neighbours whose surroundings meet are one stretch
+                cuts = np.flatnonzero(np.diff(at) > 2 * reach + K) + 1
+                for hit in np.split(at, cuts):
+                    if len(hit) < 2 or (np.diff(hit) > reach).all():
+                        continue
+                    a, e = max(0, int(hit[0]) - reach), min(len(found), int(hit[-1]) + K + reach)
+                    rows.append((d, a, found[a:e], owner[a:e], (hit - a).tolist(), marks[hit].tolist(), None, None))
             rows += [(None, None, None, None, None, None, m, n) for m, n in seen.items()]
             cols = list(zip(*rows)) if rows else [()] * 8
             types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
@@ -177,69 +197,44 @@ def _between(owner: list[int], a: int, b: int) -> int:
     return owner[b - 1] - owner[a] + 1 if b > a else 0
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", bits: int = BITS) -> DataFrame:
     """(key, item_key, words): each document with each item that leaked into it, and the length of the longest leaked stretch.
 
-    NULL and empty texts, and items of fewer than twelve words, give no row. Items are read in blocks of BLOCK_SHINGLES
-    shingles, so that what every worker holds is bounded; documents are never gathered or broadcast.
+    NULL and empty texts, and items of fewer than twelve words, give no row. Items and documents are tables that meet by
+    equi-join; the driver sees the bitmap of fixed size and the length of the longest item.
     """
-    spark, docs = docs.sparkSession, fill_cores(docs.select(key, text))
-    blocks: list[list[tuple[int, str]]] = [[]]
-    room = BLOCK_SHINGLES
-    for i, t in items.where(F.length(item_text) > 0).select(F.col(item_key).cast("long"), item_text).distinct().toLocalIterator():
-        if room < len(t) // 2:
-            blocks.append([])
-            room = BLOCK_SHINGLES
-        room -= len(t) // 2
-        blocks[-1].append((i, t))
-    out = None
-    for block in blocks:
-        part = _block_leaks(spark, docs, block, key, text)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("key", "item").agg(F.max("words").alias("words")).select(F.col("key").alias(key), F.col("item").alias(item_key), "words")
-
-
-def _block_leaks(spark: SparkSession, docs: DataFrame, block: list[tuple[int, str]], key: str, text: str) -> DataFrame:
-    seen = written(gathered(docs, block, key, text))
-    # one count per shingle of the block's items
-    counts = seen.where("mark IS NOT NULL").groupBy("mark").agg(F.sum("n").alias("n")).toPandas()
-    rank = {m: k for k, m in enumerate(counts.sort_values(["n", "mark"])["mark"].tolist())}
-    known = {i: tokens(t) for i, t in block}
-    prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, (found, owner) in known.items():
-        marks = item_shingles(found)
-        for p in needed(found, owner, rank):
-            prefix[marks[p]].append((i, p))
-    shared = spark.sparkContext.broadcast((dict(prefix), known))
-
-    @F.pandas_udf("array<struct<item: long, words: long>>")
-    def verified(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        prefix, known = shared.value
-        for found, owner, at, marks in batches:
-            out = []
-            for f, o, ps, ms in zip(found, owner, at, marks):
-                offsets: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for p, m in zip(ps, ms):
-                    for i, q in prefix.get(m, ()):
-                        offsets[i].append((p, q))
-                f, o, rows = list(f), list(o), []
-                for i, pairs in offsets.items():
-                    item, io = known[i]
-                    slack = len(item) // ONE_IN + 1
-                    # position bound: a part of the stretch before the first and after the last hit no longer than the item's own
-                    lo = min(p - q for p, q in pairs) - slack
-                    hi = max(p - q for p, q in pairs) + len(item) + slack
-                    lo, hi = max(0, lo), min(len(f), hi)
-                    if len(item) < LEAST_WORDS or hi - lo < LEAST_WORDS - LEAST_WORDS // ONE_IN:
-                        continue
-                    n = contains(item, io, f[lo:hi], o[lo:hi])
-                    if n:
-                        rows.append((i, n))
-                out.append(rows)
-            yield pd.Series(out)
-
-    stretches = seen.where("key IS NOT NULL").repartition(F.col("key"), F.col("first"))
-    return stretches.select("key", F.explode(verified("words", "owner", "at", "marks")).alias("x")).select("key", "x.item", "x.words")
+    listed = written(item_table(items, item_key, item_text))
+    longest = listed.agg(F.max(F.size("words"))).first()[0] or 0
+    seen = written(gathered(fill_cores(docs.select(key, text)), bitmap(listed, bits), longest + longest // ONE_IN + 2, key, text))
+
+    @F.pandas_udf("array<int>")
+    def must_hit(owners: pd.Series, marks: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([needed(list(o), list(m), list(n)) for o, m, n in zip(owners, marks, ns)])
+
+    counts = seen.where("mark IS NOT NULL").groupBy("mark").agg(F.sum("n").alias("n"))
+    each = listed.select("item", F.posexplode("marks").alias("pos", "mark")).join(counts, "mark", "left")
+    ns = each.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("ns"))
+    prefix = listed.join(ns, "item").select("item", "marks", F.explode(must_hit("owner", "marks", "ns")).alias("pos")).select("item", F.col("pos").cast("long").alias("pos"), F.element_at("marks", F.col("pos") + 1).alias("mark"))
+
+    stretches = seen.where("key IS NOT NULL")
+    hits = stretches.select("key", "first", F.explode(F.arrays_zip("at", "marks")).alias("x")).select("key", "first", F.col("x.at").alias("at"), F.col("x.marks").alias("mark"))
+    offset = F.col("at") - F.col("pos")
+    pairs = hits.join(prefix, "mark").groupBy("key", "first", "item").agg(F.min(offset).alias("lo"), F.max(offset).alias("hi"))
+    # position bound: a stretch reaches no further before the first and after the last hit than the item itself does
+    known = listed.select("item", F.col("words").alias("item_words"), F.col("owner").alias("item_owner"))
+    both = spread(pairs, "key", "first").join(stretches.select("key", "first", "words", "owner"), ["key", "first"]).join(known, "item")
+    slack = F.floor(F.size("item_words") / ONE_IN) + 1
+    a = F.greatest(F.lit(0).cast("long"), F.col("lo") - slack)
+    e = F.least(F.size("words").cast("long"), F.col("hi") + F.size("item_words") + slack)
+    both = both.withColumn("a", a.cast("int")).withColumn("size", (e - a).cast("int")).where(F.col("size") >= LEAST_WORDS - LEAST_WORDS // ONE_IN)
+    part = lambda c: F.slice(c, F.col("a") + 1, F.col("size"))
+
+    @F.pandas_udf("int")
+    def verified(iw: pd.Series, io: pd.Series, fw: pd.Series, fo: pd.Series) -> pd.Series:
+        return pd.Series([contains(list(a), list(b), list(c), list(d)) for a, b, c, d in zip(iw, io, fw, fo)], dtype="int32")
+
+    found = both.select("key", "item", verified.asNondeterministic()("item_words", "item_owner", part("words"), part("owner")).alias("words")).where("words > 0")
+    return found.groupBy("key", "item").agg(F.max("words").alias("words")).select(F.col("key").alias(key), F.col("item").alias(item_key), "words")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

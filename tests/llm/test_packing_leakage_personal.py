@@ -152,12 +152,19 @@ def test_leaks_equal_a_plain_scan(spark):
     assert leakage.leaks(df.where("false"), items).count() == 0 and leakage.leaks(df, items.where("false")).count() == 0
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    df = spark.createDataFrame([(i, t) for i, t in ITEMS], "doc_id long, text string")
+def test_a_full_bitmap_changes_nothing(spark):
+    """A bitmap far too small for the items lets almost every shingle through; the joins still find the same."""
+    df = spark.createDataFrame([(i, "some page " + t) for i, t in ITEMS] + [(90, "nothing of it here at all " * 20)], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     one = sorted(map(tuple, leakage.leaks(df, items).collect()))
-    monkeypatch.setattr(leakage, "BLOCK_SHINGLES", 300)
-    assert sorted(map(tuple, leakage.leaks(df, items).collect())) == one and len(one) == 8
+    assert sorted(map(tuple, leakage.leaks(df, items, bits=8).collect())) == one and len(one) == 8
+
+
+def test_one_item_in_a_third_of_all_documents(spark):
+    df = spark.createDataFrame([(i, (ITEMS[0][1] if i % 3 == 0 else "other words") + f" page {i}") for i in range(600)], "doc_id long, text string")
+    items = spark.createDataFrame([*ITEMS, (20, ITEMS[0][1])], "item_id long, text string")
+    got = leakage.leaks(df, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i in range(0, 600, 3) for k in (0, 20)} and len(got) == 400
 
 
 # ---- personal
