@@ -15,12 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Cyrillic and Greek letters that are drawn like a Latin letter.
+# Cyrillic, Greek, Armenian, Cherokee and phonetic letters that are drawn like a Latin letter.
 LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v",
+    "ο": "o", "ν": "v", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ɡ": "g", "ɑ": "a",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
 
 # Ranges of characters with the Default_Ignorable_Code_Point property.
@@ -29,6 +30,13 @@ IGNORABLE = [
     (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 ]
 
+#: The same by folded letters: a letter whose capital or small form is a look-alike stands for that one's small letter. A Greek nu is drawn like v or, as a capital, like N: beside Latin letters its case tells, in a word without them it is v.
+FOLDED = {**{k.casefold(): v.casefold() for k, v in LOOK_ALIKE.items() if k.casefold() != k}, **{k.casefold(): v for k, v in LOOK_ALIKE.items() if k.casefold() == k}}
+_MASKS = re.compile("[" + "".join(sorted({*LOOK_ALIKE, *FOLDED, *(k.upper() for k in FOLDED if len(k.upper()) == 1)})) + "]")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
+_MASKING = re.compile("[\u0370-\u058f\u13a0-\u13ff\uab70-\uabbf]")
+_WORD_RUN = re.compile(r"\S+")
+
 #: Compatibility forms a reader tells apart from the plain character.
 SEEN_APART = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<font>")
 JOINERS = "\u200c\u200d"
@@ -45,7 +53,7 @@ def ignorable(cp: int) -> bool:
 class Folding(dict):
     """A translate() table that is filled as characters occur.
 
-    looks: keep what a reader can tell apart (superscripts, circled digits).
+    looks: keep what a reader can tell apart (superscripts, circled digits), and show look-alike letters as what they look like.
     words: punctuation and symbols become blanks and decimal digits of any script become ASCII.
     """
 
@@ -62,7 +70,9 @@ class Folding(dict):
         elif self.looks and unicodedata.decomposition(ch).startswith(SEEN_APART):
             out = ch
         else:
-            out = "".join(LOOK_ALIKE.get(x, x) for x in unicodedata.normalize("NFKC", ch))
+            out = unicodedata.normalize("NFKC", ch)
+            if self.looks:
+                out = "".join(LOOK_ALIKE.get(x, x) for x in out)
             if self.words:
                 out = "".join(self.word(x) for x in out)
         self[cp] = out
@@ -77,9 +87,26 @@ class Folding(dict):
 _FULL, _LOOKS, _WORDS = Folding(), Folding(looks=True), Folding(words=True)
 
 
+def unmasked(text: str) -> str:
+    """A text with its look-alike letters read as Latin ones, and folded, where they stand in for them: in words that hold Latin letters too, and in all words of a text whose letters of those scripts are look-alikes only. Words of a text that is written in such a script stay what they are."""
+    if text.isascii() or not _MASKS.search(text):
+        return text
+    native = any(c not in FOLDED for c in _MASKING.findall(text.casefold()))
+
+    def read(m: re.Match) -> str:
+        word = m[0]
+        if not _MASKS.search(word):
+            return word
+        if not _LATIN.search(word):
+            return word if native else "".join(FOLDED.get(c, c) for c in word.casefold())
+        return "".join(FOLDED.get(c, c) for c in "".join(LOOK_ALIKE.get(c, c) for c in word).casefold())
+
+    return _WORD_RUN.sub(read, text)
+
+
 def canonical(text: str) -> str:
-    """The comparison form: folded, composed, case-folded, single blanks."""
-    return " ".join(unicodedata.normalize("NFKC", text.translate(_FULL).casefold()).split())
+    """The comparison form: composed, without ignorables, case-folded, single blanks, look-alike letters read as Latin where they stand in for it."""
+    return " ".join(unicodedata.normalize("NFKC", unmasked(text.translate(_FULL)).casefold()).split())
 
 
 def visible(text: str) -> str:
@@ -96,7 +123,9 @@ def visible(text: str) -> str:
 
 def words(text: str) -> list[str]:
     """Case-folded words of a text; punctuation, kinds of blank, width, ignorables and look-alikes make no difference."""
-    return unicodedata.normalize("NFKC", text.casefold().translate(_WORDS) if text.isascii() else text.translate(_WORDS).casefold()).split()
+    if text.isascii():
+        return text.casefold().translate(_WORDS).split()
+    return unicodedata.normalize("NFKC", unmasked(text.translate(_WORDS)).casefold()).split()
 
 
 def over_distinct(column: pa.ChunkedArray | pa.Array, fn) -> tuple[list, pa.Array]:

@@ -25,12 +25,12 @@ def canonical_forms(df: DataFrame, key: str = "row_id", fields: tuple[str, ...]
 def same_look_pairs(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(key_a < key_b, field_name): pairs of rows whose field looks the same and is not the same string.
 
-    Rows are bucketed by the canonical form; the exact check compares what a reader sees. Buckets with one spelling are
+    Rows are bucketed by what a reader sees, the consistent form without the folding of case. Buckets with one spelling are
     dropped by a map-side-combined min/max before any pair is formed; rows of a bucket meet by equi-join only where the
     spelling differs. Exact repetitions of one spelling make no pair, an empty table gives no row.
     """
     forms = canonical_forms(df, key, fields).select(
-        key, "field_name", F.md5(F.concat_ws("\u0001", "canonical", "visible_form")).alias("look"), F.md5("raw_text").alias("spelling")
+        key, "field_name", F.md5("visible_form").alias("look"), F.md5("raw_text").alias("spelling")
     )
     forms = written(forms)  # read four times below
     several = forms.groupBy("field_name", "look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("field_name", "look")
@@ -44,6 +44,15 @@ def same_look_pairs(df: DataFrame, key: str = "row_id", fields: tuple[str, ...]
     return pairs.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"), "field_name")
 
 
+def same_look_classes(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(key, field_name, look, n_links): every text that another row shows in other characters, its class, and the number of such rows. Nothing is expanded into pairs."""
+    forms = written(canonical_forms(df, key, fields).select(key, "field_name", F.md5("visible_form").alias("look"), F.md5("raw_text").alias("spelling")))
+    each = forms.groupBy("field_name", "look", "spelling").agg(F.count("*").alias("_same"))
+    several = each.groupBy("field_name", "look").agg(F.sum("_same").alias("_all"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    links = each.join(several, ["field_name", "look"]).select("field_name", "look", "spelling", (F.col("_all") - F.col("_same")).alias("n_links"))
+    return forms.join(links, ["field_name", "look", "spelling"]).select(key, "field_name", "look", "n_links")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(table(spark, sf_dir, "questions"))
 
@@ -53,5 +62,9 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_forms(table(spark, sf_dir, "questions")).select("row_id", "field_name", "canonical")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical}
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_look_classes(table(spark, sf_dir, "questions"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_canonical": p2_canonical}
 SQL: dict[str, str] = {}

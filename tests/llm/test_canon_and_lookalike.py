@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from attestra.llm import canon
+from attestra.llm import canon, lookalike
 from attestra.llm.lookalike import canonical_forms, same_look_pairs
 
 SCHEMA = "row_id long, question string, gold_answer string, canonical string"
@@ -53,3 +53,31 @@ def test_pairs_equal_brute_force(spark):
         got = [tuple(r) for r in same_look_pairs(df.repartition(n)).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(rows)
     assert same_look_pairs(df.where("false")).count() == 0 and canonical_forms(df.where("false")).count() == 0
+
+
+@given(st.text(alphabet="abcXYZ АБВабвнтмкеос ΑΒΓαβγορικ ո ԁ", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_case_makes_no_difference_in_any_script(t):
+    assert canon.canonical(t.upper()) == canon.canonical(t) == canon.canonical(t.lower())
+    assert canon.words(t.upper()) == canon.words(t)
+
+
+@pytest.mark.parametrize("a,b", [("ТЕКСТ", "текст"), ("МОСКВА", "Москва"), ("ΝΕΑ", "νεα"), ("рау the bill", "pay the bill"), ("FIΝE", "fine"), ("the саt", "THE CAT"), ("ՈԱԹ", "ոաթ"), ("ɡold", "gold")])
+def test_equal_looking_texts_have_one_form(a, b):
+    assert canon.canonical(a) == canon.canonical(b)
+
+
+def test_text_in_another_script_stays_in_it():
+    assert canon.canonical("Да, Москва") == "да, москва" and canon.words("Нет, я в Москве") == ["нет", "я", "в", "москве"] and canon.canonical("see «Мир и сон» in рaris") == "see «мир и сон» in paris"
+
+
+def test_classes_count_what_pairs_list(spark):
+    rows = [(1, "pay"), (2, "рay"), (3, "pay"), (4, "Pay"), (5, None), (6, ""), (7, "p\u200bay")] + [(10 + i, "hot words") for i in range(50)] + [(90, "hot\u00a0words")]
+    df = spark.createDataFrame(rows, "row_id long, question string").selectExpr("*", "CAST(NULL AS STRING) gold_answer", "1 look")
+    pairs = lookalike.same_look_pairs(df).collect()
+    want = {}
+    for r in pairs:
+        for k in (r.row_id_a, r.row_id_b):
+            want[k] = want.get(k, 0) + 1
+    got = lookalike.same_look_classes(df).collect()
+    assert {r.row_id: r.n_links for r in got} == want and len(got) == len(want) and want[90] == 50
