@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestra.llm import langid
 from attestra.llm import split_overlap as S
@@ -56,6 +57,12 @@ def test_pairs_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "row_id long, question string, split string, source string").selectExpr("*", "'x' AS words", "1 AS key")
     got = {tuple(r) for r in S.overlap_pairs(df.repartition(5)).collect()}
     side = lambda s: None if s is None else "t" if s == "train" else "e"
+    holders = {}
+    for r in rows:
+        if r[1] and r[2]:
+            numbers, ws = S.parts(r[1])
+            for w in ws:
+                holders.setdefault(w, set()).add(numbers)
     want = set()
     for x in rows:
         for y in rows:
@@ -63,18 +70,21 @@ def test_pairs_equal_brute_force(spark):
                 (na, wa), (nb, wb) = S.parts(x[1]), S.parts(y[1])
                 if wa and na == nb:
                     ok, a, b = S.compare(wa, wb)
-                    names = lambda ws: any(w.endswith(("nagar", "puram", "पुरम")) for w in ws)
-                    if ok and not (names(a) and names(b)):
+                    names = lambda ws: any(len(holders[w]) <= 1 for w in ws)
+                    if ok > 0 and not (names(a) and names(b)):
                         want.add((x[0], y[0]))
     assert got == want and (903, 904) in got
     assert S.overlap_pairs(df.where("false")).count() == 0
-    assert sum(r.n_pairs for r in S.overlap_report(df).collect()) == len(got)
+    report = S.overlap_report(df).collect()
+    assert sum(r.n_pairs for r in report) == len(got)
+    held = {r[0] for r in rows if side(r[2]) == "e"}
+    assert sum(r.n_eval_rows for r in report) == len({k for p in got for k in p if k in held})
 
 
 def test_candidates_lose_almost_nothing(spark):
     df = spark.createDataFrame(rows_(8), "row_id long, question string, split string, source string")
     rows = written(S.prepared(df))
-    cls = rows.groupBy("copy").agg({"numbers": "first", "words": "first"}).toDF("copy", "numbers", "words")
+    cls = rows.groupBy("copy").agg(F.first("numbers").alias("numbers"), F.first("words").alias("words"), F.first("core").alias("core"), F.first("short").alias("short"))
     bands = {}
     for r in S.with_bands(cls).collect():
         bands.setdefault(r.copy, set()).add(r.band)
@@ -83,6 +93,36 @@ def test_candidates_lose_almost_nothing(spark):
     assert pairs and sum(bool(bands[a] & bands[b]) for a, b in pairs) >= 0.98 * len(pairs)
 
 
+def test_short_questions_meet_exactly(spark):
+    """Questions of few words, two of them replaced, dropped or added, some with a courtesy phrase: every pair of brute force is found."""
+    rng = random.Random(3)
+    vocabulary = ["claim", "pay", "cover", "rent", "visa", "leave", "bonus", "card", "limit", "late", "form", "fee", "loan", "tax", "desk", "wage"]
+    rows = []
+    for i in range(60):
+        ws = rng.sample(vocabulary, rng.randint(3, 8))
+        other = list(ws)
+        for _ in range(2):
+            other[rng.randrange(len(other))] = rng.choice(vocabulary)
+        rng.shuffle(other)
+        rows += [(len(rows), " ".join(ws), "train", "s"), (len(rows) + 1, rng.choice(["", "please tell us quickly ", "hello there all "]) + " ".join(other) + rng.choice(["", " thank you so much"]), "dev", "s")]
+    df = spark.createDataFrame(rows, "row_id long, question string, split string, source string")
+    got = {tuple(r) for r in S.overlap_pairs(df).collect()}
+    rare = lambda ws: bool(ws)  # noqa: E731  (none has numbers, so all are one question and all words are its own)
+    want = set()
+    for x in rows[::2]:
+        for y in rows[1::2]:
+            ok, a, b = S.compare(S.parts(x[1])[1], S.parts(y[1])[1])
+            if (ok > 0 or sorted(S.parts(x[1])[1]) == sorted(S.parts(y[1])[1])) and not (rare(a) and rare(b)):
+                want.add((min(x[0], y[0]), max(x[0], y[0])))
+    assert got == want and len(want) > 20
+
+
+def test_only_courtesy_is_forgiven_at_an_end():
+    same = lambda a, b: S.compare(a.split(), b.split())[0] > 0
+    assert not same("is a waiver of premium covered", "is a waiver of premium covered under the old plan")
+    assert same("is a waiver of premium covered", "hello team is a waiver of premium covered thank you very much")
+
+
 @pytest.mark.parametrize("a,b,near", [("approved", "apprved", True), ("abc", "acb", True), ("abc", "abcd", True), ("abc", "axc", True), ("kaminagar", "rudunagar", False), ("ab", "ab", True)])
 def test_close(a, b, near):
     assert S.close(a, b) is near
