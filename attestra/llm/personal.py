@@ -13,6 +13,7 @@ import hashlib
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,14 +37,14 @@ CUES = {
     "identity": "identity|id proof|passport|tax number|card shows|proof of identity|read out|licence|license|पहचान|पासपोर्ट|அடையாள|கடவுச்சீட்டு",
     "address": "address|lives at|moved|papers to|send|घर का पता|पता|कागज़|முகவரி|ஆவணங்களை",
 }
-# Phrases after a number that say what it is.
+# Words after a number that say what it is.
 CUES_AFTER = {
-    "phone": "rings|after six|or wait|on weekdays|as number|पर फ़ोन|पर कॉल|இல் அழை",
-    "identity": "as proof|was attached|could not be matched|below the photo|is blurred|संलग्न|இணைக்கப்பட்டது",
-    "other": "was settled|was merged|is closed|is installed|पूरा हुआ|जोड़ा गया|बंद है|நிறைவு|இணைந்தது|முடிந்தது",
+    "phone": "rings|weekdays|phone|mobile|call|पर फ़ोन|पर कॉल|இல் அழை",
+    "identity": "proof|passport|identity|संलग्न|पहचान|இணைக்கப்பட்டது|அடையாள",
+    "other": "settled|merged|closed|installed|cancelled|refunded|paid|पूरा हुआ|जोड़ा गया|बंद है|நிறைவு|இணைந்தது|முடிந்தது",
 }
 # Words of a street, of a house, and words that make a name before them a place or product.
-STREET = "street|lane|road|avenue|cross|marg|nagar|मार्ग|गली|सड़क|रोड|தெரு|சாலை|வீதி|சந்து"
+STREET = "street|lane|road|avenue|cross|marg|nagar|drive|boulevard|highway|square|sector|block|colony|layout|मार्ग|गली|सड़क|रोड|தெரு|சாலை|வீதி|சந்து"
 HOUSE = r"H\.\s?No\.|No\.|Flat|House|Door|Plot|Apartment|मकान|फ़्लैट|फ्लैट|घर|எண்|கதவு|வீடு"
 PLACE_AFTER = r"lane|street|road|avenue|gold|silver|cross|मार्ग|गली|தெரு|சாலை"
 TITLES = {"mr", "mrs", "ms", "dr", "shri", "smt", "sri", "prof", "श्री", "श्रीमती", "डॉ", "திரு", "திருமதி", "டாக்டர்"}  # fixed values
@@ -57,17 +58,22 @@ _MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+-]*[A-Za-z0-9])?\s?(?:@|\[at\]|\
 _DIGITS = re.compile(r"[+(]?\d(?:(?:[ \n.\-]|\)[ \n]?|[ \n][+(])?\d){8,}(?!\w)")
 _ENDS = re.compile(r"^[^\w]+|[^\w\u0900-\u097f\u0b80-\u0bff]+$")
 _GROUP = re.compile(r"\d+")
+_LONG_NUMBER = re.compile(r"\d{5,}")
 _LONG_GROUP = re.compile(r"\d{4,}")
-_IDENT = re.compile(r"(?<![\w-])(?:[A-Za-z]\d{7}|[A-Za-z]{5}\d{4}[A-Za-z])(?![\w-])")
+_IDENT = re.compile(r"(?<![\w-])(?:[A-Za-z]\d{7,8}|[A-Za-z]{2}\d{6,7}[A-Za-z]?|[A-Za-z]{5}\d{4}[A-Za-z])(?![\w-])")
+_LETTERS_BEFORE = re.compile(r"[A-Za-z]{1,5}\Z")
 _POSTAL = re.compile(r"\d{3}[ \n]?\d{3}(?![ -]?\d)")
 _DIGIT_BEFORE = re.compile(r"\d[ -]?\Z")
 _HOUSE = re.compile(rf"(?:(?<!\w)(?P<word>{HOUSE})\s*)?(?<![\w/.-])(?P<number>\d{{1,4}}(?:[A-Za-z]|/\d{{1,3}})?)(?=[,\s])")
 #: A word, or up to four letters and a full stop, and one blank before the place where a family name starts.
 _PAIR = re.compile(_WORD.pattern + r"(?:\s|(?<![A-Za-zÀ-ɏऀ-ॣॱ-ॿஂ-்]{5})\.\s?)\Z")
-WORD_CHARS = 48
-ADDRESS_CHARS = 130
+NEAR = 48  # characters before a family name that are searched first
+SHORT_NAME = 3  # letters; words as short are family names only where they are written or known as names
+LEAST_SHARE = 1e-4  # of all documents; words of fewer count as of so many
 _STOP = re.compile(r"[.!?।]\s|\n\s*\n")
 _LINE_OF_NUMBER = re.compile(r"\d\n")
+#: The end of a sentence before a number: a stop after a word that is no abbreviation of a house or street.
+_BREAK_NUMBER = re.compile(r"[^\W\d]{3}[.!?।]\s+(?=\d)")
 _BREAK = re.compile(r"[.!?।](?<!No\.)\s+(?=[^\s\d])|\n\s*\n")
 
 
@@ -89,21 +95,30 @@ def _hash(word: str) -> int:
 
 @dataclass
 class Holders:
-    """The number of documents that hold a word, of all documents: 12 bytes for each word of two documents or more, one document for any other."""
+    """The share of all documents that hold a word.
+
+    Only words of LEAST_SHARE of the documents are listed, 12 bytes each: as a document has some hundred different words,
+    there are at most some hundred times 1 / LEAST_SHARE of them, however large the corpus is. Any other word counts as one
+    of that share, or of one document where there are fewer documents than that.
+    """
 
     hashes: np.ndarray  # sorted
     counts: np.ndarray
+    total: int  # documents
 
     @staticmethod
-    def of_pairs(hashes: np.ndarray, counts: np.ndarray) -> Holders:
+    def of_pairs(hashes: np.ndarray, counts: np.ndarray, total: int) -> Holders:
         order = np.argsort(hashes, kind="stable")
-        return Holders(hashes[order].astype(np.int64), counts[order].astype(np.int32))
+        return Holders(hashes[order].astype(np.int64), counts[order].astype(np.int32), total)
 
     def get(self, word: str) -> int:
         h = _hash(word)
         i = int(np.searchsorted(self.hashes, h))
         return int(self.counts[i]) if i < len(self.hashes) and self.hashes[i] == h else 1
 
+    def log_share(self, word: str) -> float:
+        return math.log(max(self.get(word) / max(1, self.total), LEAST_SHARE))
+
 
 def name_sets(names: list[tuple[str, str]]) -> dict[str, set[str]]:
     parts: dict[str, set[str]] = {"given": set(), "family": set()}
@@ -147,11 +162,16 @@ class NameScores:
         """Whether a word could be a family name by its end; lets through more than any known name needs."""
         if len(self.ends) > 500_000:
             self.ends.clear()
-        may = self.ends[word] = len(word) > 3 and self.of(word)[4] >= self.floor["family"] - 0.7
+        may = self.of(word)[4] >= self.floor["family"] - 0.7
+        if len(word) <= SHORT_NAME:
+            # too short for its end to say much: a listed name, or a word with a capital that few documents hold
+            low = word.lower()
+            may = low in self.family or (len(word) > 1 and word[0].isupper() and word[1:].islower() and self.common.log_share(low) <= math.log(0.02))
+        self.ends[word] = may
         return may
 
     def of(self, word: str) -> tuple[float, ...]:
-        """(given, family, log of the documents that hold the word, given and family by the end of the word alone)."""
+        """(given, family, log of the share of documents that hold the word, given and family by the end of the word alone)."""
         w = word.lower()
         got = self.memo.get(w)
         if got is None:
@@ -160,7 +180,7 @@ class NameScores:
             gs = _grams(w)
             use = (1 - self.fold[w],) if w in self.fold else (0, 1)
             s = [sum(self.odds[kind, k].get(g, -3.0) for k in use for g in part) / (len(use) * len(part)) for part in (gs, gs[-3:]) for kind in ("given", "family")]
-            got = self.memo[w] = (s[0], s[1], math.log1p(self.common.get(w)), s[2], s[3])
+            got = self.memo[w] = (s[0], s[1], self.common.log_share(w), s[2], s[3])
         return got
 
 
@@ -200,11 +220,12 @@ def name_scores(docs: DataFrame, names: list[tuple[str, str]], text: str) -> Nam
         for pdf in batches:
             yield pd.DataFrame({"h": [_hash(w) for w in pdf["word"]], "n": pdf["n"]})
 
+    total = docs.where(F.length(text) > 0).count()
     counted = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(words, "word string, n long")
     counted = written(counted.groupBy("word").agg(F.sum("n").alias("n")))
     other = counted.mapInPandas(others, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    held = counted.where("n > 1").mapInPandas(hashed, "h long, n long").select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
-    return NameScores.fit(parts, Holders.of_pairs(held["h"].to_numpy(), held["n"].to_numpy()), {r.g: r.n for r in other.toLocalIterator()})
+    held = counted.where((F.col("n") > 1) & (F.col("n") >= LEAST_SHARE * total)).mapInPandas(hashed, "h long, n long").select("h", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
+    return NameScores.fit(parts, Holders.of_pairs(held["h"].to_numpy(), held["n"].to_numpy(), total), {r.g: r.n for r in other.toLocalIterator()})
 
 
 # ---------------------------------------------------------------- candidates
@@ -215,11 +236,13 @@ Span = tuple[str, int, int]  # kind, start, end
 def candidates(text: str, names: NameScores) -> list[Span]:
     """Spans that may be personal, many of them overlapping; each kind has its own generator."""
     out: list[Span] = []
+    ends: list[int] | None = None  # of sentences and paragraphs, which no address crosses
     if "@" in text or "(at)" in text.lower() or "[at]" in text.lower():
         out += [("email", *m.span()) for m in _MAIL.finditer(text)]
     for m in _LONG_GROUP.finditer(text):
-        if m.end() - m.start() in (4, 7):
-            found = _IDENT.match(text, max(0, m.start() - (5 if m.end() - m.start() == 4 else 1)))
+        if 4 <= m.end() - m.start() <= 8:
+            lead = _LETTERS_BEFORE.search(text, max(0, m.start() - 5), m.start())
+            found = lead and _IDENT.match(text, lead.start())
             if found:
                 out.append(("identity", *found.span()))
     for m in _DIGITS.finditer(text):
@@ -228,19 +251,21 @@ def candidates(text: str, names: NameScores) -> list[Span]:
             groups = groups[1:]  # the first belongs to a word or code
         for i in range(len(groups)):
             digits = 0
-            for j in range(i, min(i + 5, len(groups))):
+            for j in range(i, len(groups)):
                 digits += groups[j][1] - groups[j][0]
-                if digits > 14:
+                if digits > 15 or j > i and "+" in text[groups[j - 1][1] : groups[j][0]]:
                     break
                 if digits >= 9:
                     a, b = groups[i][0], groups[j][1]
                     if a and text[a - 1] in "+(":
                         a -= 1
-                    out += [("phone", a, b), ("identity", a, b)] if digits == 12 else [("phone", a, b)]
+                    out += [("phone", a, b), ("identity", a, b)] if digits in (9, 12) else [("phone", a, b)]
     for m in _POSTAL.finditer(text):
         if _DIGIT_BEFORE.search(text, max(0, m.start() - 2), m.start()):
             continue
-        lo = max(0, m.start() - ADDRESS_CHARS)
+        ends = ends if ends is not None else sorted(x.end() for pattern in (_BREAK, _BREAK_NUMBER) for x in pattern.finditer(text))
+        at = bisect_right(ends, m.start())
+        lo = ends[at - 1] if at else 0
         if not _STREET.search(text, lo, m.start()):
             continue
         for h in _HOUSE.finditer(text, lo, m.start()):
@@ -255,13 +280,27 @@ def candidates(text: str, names: NameScores) -> list[Span]:
     for w in hot:
         at = text.find(w)
         while at >= 0:
-            m = _PAIR.search(text, max(0, at - WORD_CHARS), at)
+            m = _PAIR.search(text, max(0, at - NEAR), at)
+            if m and m.start() == at - NEAR:  # the word before may reach further back
+                m = _PAIR.search(text, _pair_start(text, at), at)
+            if m and len(w) <= SHORT_NAME and text[m.start() : at].rstrip().endswith(".") and len(_WORD.match(text, m.start())[0]) > 1:
+                m = None  # a short word after a full stop begins a sentence, unless an initial stands before it
             if m and not _WORD.match(text, at + len(w)):
                 out.append(("person", m.start(), at + len(w)))
             at = text.find(w, at + 1)
     return out
 
 
+def _pair_start(text: str, at: int) -> int:
+    """Where the word before a place starts, of any length."""
+    i = at - 1
+    while i > 0 and (text[i - 1].isspace() or text[i - 1] == ".") and at - i < 3:
+        i -= 1
+    while i > 0 and _WORD.match(text[i - 1]):
+        i -= 1
+    return max(0, i - 1)
+
+
 def context(text: str, start: int, end: int) -> tuple[str, str]:
     """What stands before and after a span, within its sentence or the line before it."""
     before, after = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
@@ -287,7 +326,7 @@ def features(text: str, span: Span, names: NameScores, near: tuple[str, str] | N
     digits, numeric = "".join(groups), kind in ("phone", "identity")
     x += [len(digits), len(groups), *[len(g) for g in (groups + ["", "", "", ""])[:4]], s.startswith("+"), "(" in s, (" " in seps or "\n" in seps) + 2 * ("-" in seps) + 4 * ("." in seps)]
     x += [int(digits[0]) if digits else -1, numeric and bool(re.search(r"\d[ .\-(]?\Z|\+\Z", left)), numeric and bool(re.match(r"[ .\-]?\d", right)), sum(c.isalpha() for c in s), b - a]
-    x += [goes_on(text, span), digits.startswith("00"), len(digits) >= 7 and "555" in groups, "." in s.rpartition("@")[2] or "dot" in s.lower()]
+    x += [goes_on(text, span), digits.startswith("00"), "." in s.rpartition("@")[2] or "dot" in s.lower()]
     if kind == "person":
         ws = _WORD.findall(s)
         first, last = ws[0], ws[-1]
@@ -299,9 +338,9 @@ def features(text: str, span: Span, names: NameScores, near: tuple[str, str] | N
         x += [0.0] * 12
     if kind == "address":
         inside = s[: -len(groups[-1])] if groups else s
-        x += [len(_STREET.findall(s)), bool(re.match(HOUSE, s)), bool(re.search(rf"(?:{HOUSE})\s*\Z", text[max(0, a - 8) : a])), len(_STOP.findall(re.sub(r"H\.\s?No\.|No\.", "", s))), s.count(","), len([g for g in groups if len(g) > 2]), bool(re.match(r"\d+(st|nd|rd|th)", s)), len(re.findall(r"(?<![\w/])\d+(?![\w/])", inside))]
+        x += [len(_STREET.findall(s)), bool(re.match(HOUSE, s)), bool(re.search(rf"(?:{HOUSE})\s*\Z", text[max(0, a - 8) : a])), len(_STOP.findall(re.sub(r"H\.\s?No\.|No\.", "", s))), s.count(","), len([g for g in groups if len(g) > 2]), bool(re.match(r"\d+(st|nd|rd|th)", s)), len(re.findall(r"(?<![\w/])\d+(?![\w/])", inside)), bool(_CUE["address"].search(s))]
     else:
-        x += [0.0] * 8
+        x += [0.0] * 9
     for k in ("other", "phone", "identity", "address"):
         at = [m.end() for m in _CUE[k].finditer(before)]
         x += [len(before) - at[-1] if at else 99]
@@ -328,7 +367,8 @@ def weak_label(text: str, span: Span, names: NameScores, near: tuple[str, str] |
         if s[0] in "+(":
             return int(kind == "phone")
         near = {k: max((m.end() for m in _CUE[k].finditer(before)), default=0) for k in ("other", "phone", "identity")}
-        told = {k for k in near if near[k]} | {k for k in _AFTER if _AFTER[k].search(after)}
+        beside = {k for k in near if near[k] and len(before) - near[k] <= 3}  # "ID proof: " right before a number says more than any word after it
+        told = beside if len(beside) == 1 else {k for k in near if near[k]} | {k for k in _AFTER if _AFTER[k].search(after)}
         if "other" in told and not told & {"phone", "identity"}:
             return 0
         if len(told) != 1:
@@ -339,7 +379,7 @@ def weak_label(text: str, span: Span, names: NameScores, near: tuple[str, str] |
         return int(mine == kind)
     if kind == "address":
         inner = re.sub(r"H\.\s?No\.|No\.", "", s)
-        if _STOP.search(inner) or re.search(rf"(?:{HOUSE})\s*\Z", text[max(0, a - 8) : a]) or not _STREET.search(s):
+        if _STOP.search(inner) or re.search(rf"(?:{HOUSE})\s*\Z", text[max(0, a - 8) : a]) or not _STREET.search(s) or _LONG_NUMBER.search(s[:-7]) or _CUE["address"].search(s):
             return 0
         starts = [h.start() for h in _HOUSE.finditer(text, a, b - 6)]
         earlier = [h for h in _HOUSE.finditer(text, max(0, a - 14), a) if not _STOP.search(text[h.start() : a].replace("No.", ""))]
@@ -368,6 +408,12 @@ class Finder:
     names: NameScores
     trees: Boosted
     threshold: dict[str, float]
+    curve: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def chance(self, kind: str, p: float) -> float:
+        """The calibrated probability behind a score of the trees; the score itself where nothing calibrates its kind."""
+        scores, chances = self.curve.get(kind, ((), ()))
+        return float(chances[max(0, int(np.searchsorted(scores, p, side="right")) - 1)]) if len(scores) else p
 
     def judged(self, texts: list[str], labelled: list[bool]) -> list[list[Judged]]:
         """All candidates of each text with their probability, and their weak label where it is asked for; those of a batch are judged at once."""
@@ -417,16 +463,31 @@ def fit(texts: list[str], names: list[tuple[str, str]]) -> Finder:
     """What train() makes, of texts in memory: every third text sets the thresholds, the others grow the trees."""
     parts, seen = name_sets(names), Counter(w for t in texts for w in _words(t))
     known = parts["given"] | parts["family"]
-    held = Holders.of_pairs(np.array([_hash(w) for w in seen], np.int64), np.array([*seen.values()], np.int32))
+    held = Holders.of_pairs(np.array([_hash(w) for w in seen], np.int64), np.array([*seen.values()], np.int32), len(texts))
     finder = grow([t for i, t in enumerate(texts) if i % 3], NameScores.fit(parts, held, _other_grams(iter(seen), known, {g for n in known for g in _grams(n)})))
     rest = [t for i, t in enumerate(texts) if not i % 3]
     rows = [x for xs in finder.judged(rest, [True] * len(rest)) for x in xs if x[4] is not None]
     for k in KINDS:
         mine = [x for x in rows if x[0] == k]
-        finder.threshold[k] = calibrated(np.array([x[3] for x in mine]), np.array([x[4] for x in mine]), np.ones(len(mine)))
+        p, y = np.array([x[3] for x in mine]), np.array([x[4] for x in mine])
+        finder.threshold[k] = calibrated(p, y, np.ones(len(mine)))
+        if mine:
+            finder.curve[k] = isotonic(p, y, np.ones(len(mine)))
     return finder
 
 
+def isotonic(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, chances): the share of true rows as a rising step function of the score, by pooling neighbours that fall."""
+    order = np.argsort(p, kind="stable")
+    blocks: list[list[float]] = []
+    for s, hit, m in zip(p[order], (y * n)[order], n[order]):
+        blocks.append([s, float(hit), float(m)])
+        while len(blocks) > 1 and (blocks[-2][0] == blocks[-1][0] or blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]):
+            last = blocks.pop()
+            blocks[-1] = [last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+    return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
+
+
 def calibrated(p: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     """The threshold with the best F1 on rows that grew no tree, each standing for n; midway in the gap where several are equal, one half where there are no positives."""
     if not len(y) or not (y * n).sum():
@@ -463,11 +524,12 @@ def judge(docs: DataFrame, finder: Finder, grows: Column, text: str = "text") ->
     return docs.withColumn("judged", run.asNondeterministic()(F.col(text), grows))
 
 
-def thresholds(judged: DataFrame) -> dict[str, float]:
-    """By kind, from the labelled candidates of all documents. Probabilities are counted in steps of 1/10,000, so the driver gets a table of bounded size."""
+def calibration(judged: DataFrame) -> tuple[dict[str, float], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """(thresholds, curves) by kind, from the labelled candidates of all documents. Scores are counted in steps of 1/10,000, so the driver gets a table of bounded size."""
     rows = judged.select(F.explode("judged").alias("x")).where("x.label IS NOT NULL").groupBy(F.col("x.kind").alias("kind"), F.round("x.probability", 4).alias("p"), F.col("x.label").alias("y")).agg(F.count("*").alias("n")).toPandas()
     rows = rows.sort_values(["kind", "p", "y"])
-    return {k: calibrated(x["p"].to_numpy(), x["y"].to_numpy(), x["n"].to_numpy()) for k in KINDS for x in [rows[rows["kind"] == k]]}
+    each = {k: [rows[rows["kind"] == k][c].to_numpy(float) for c in ("p", "y", "n")] for k in KINDS}
+    return {k: calibrated(*x) for k, x in each.items()}, {k: isotonic(*x) for k, x in each.items() if len(x[0])}
 
 
 def _grown(docs: DataFrame, name_parts: DataFrame, text: str, key: str, sample_docs: int) -> tuple[Finder, Column]:
@@ -481,19 +543,19 @@ def _grown(docs: DataFrame, name_parts: DataFrame, text: str, key: str, sample_d
 def train(docs: DataFrame, name_parts: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Finder:
     """A finder: words counted and thresholds set over all documents, trees grown on about sample_docs at most, taken by a hash of the key."""
     finder, grows = _grown(docs, name_parts, text, key, sample_docs)
-    finder.threshold = thresholds(judge(docs, finder, grows, text))
+    finder.threshold, finder.curve = calibration(judge(docs, finder, grows, text))
     return finder
 
 
 SCHEMA = "spans array<struct<kind: string, start: int, end: int, found_text: string, probability: double>>, redacted string"
 
 
-def _written_out(text: str, spans: list[tuple[str, int, int, float]]) -> tuple[list[tuple], str]:
+def _written_out(text: str, spans: list[tuple[str, int, int, float]], finder: Finder) -> tuple[list[tuple], str]:
     out, at = [], 0
     for kind, a, b, _ in spans:
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
-    return [(k, a, b, _ENDS.sub("", text[a:b]), p) for k, a, b, p in spans], "".join([*out, text[at:]])
+    return [(k, a, b, _ENDS.sub("", text[a:b]), finder.chance(k, p)) for k, a, b, p in spans], "".join([*out, text[at:]])
 
 
 def find(docs: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
@@ -509,7 +571,7 @@ def find(docs: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
         f = shared.value
         for s in batches:
             texts = s.fillna("").tolist()
-            yield pd.DataFrame([_written_out(t, spans) for t, spans in zip(texts, f.spans(texts))], columns=["spans", "redacted"])
+            yield pd.DataFrame([_written_out(t, spans, f) for t, spans in zip(texts, f.spans(texts))], columns=["spans", "redacted"])
 
     out = docs.withColumn("_text", F.col(text))
     return out.withColumn("personal", F.when(F.col(text).isNotNull(), run(F.col("_text")))).drop("_text")
@@ -517,15 +579,15 @@ def find(docs: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
 
 def choose(judged: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
     """What find() gives, from candidates that are judged already."""
-    limit = finder.threshold
+    limit, curve = finder.threshold, finder.curve
     sure = F.filter("judged", lambda x: F.coalesce(*[F.when(x["kind"] == k, x["probability"] >= limit[k]) for k in KINDS]))
 
     @F.pandas_udf(SCHEMA)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        f = Finder(None, None, limit)
+        f = Finder(None, None, limit, curve)
         for s, xs in batches:
             rows = [(t, f.chosen(t, [(x["kind"], x["start"], x["end"], x["probability"], None) for x in found])) for t, found in zip(s.fillna("").tolist(), xs)]
-            yield pd.DataFrame([_written_out(*r) for r in rows], columns=["spans", "redacted"])
+            yield pd.DataFrame([_written_out(*r, f) for r in rows], columns=["spans", "redacted"])
 
     out = judged.withColumn("_text", F.col(text)).withColumn("_sure", sure)
     return out.withColumn("personal", F.when(F.col(text).isNotNull(), run(F.col("_text"), F.col("_sure")))).drop("_text", "_sure", "judged")
@@ -535,7 +597,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     finder, grows = _grown(docs, table(spark, sf_dir, "name_parts"), "text", "doc_id", SAMPLE_DOCS)
     judged = written(judge(fill_cores(docs), finder, grows))  # the costly part, needed for the thresholds and for the spans
-    finder.threshold = thresholds(judged)
+    finder.threshold, finder.curve = calibration(judged)
     return choose(judged, finder)
 
 

@@ -193,6 +193,18 @@ def test_cases(finder, text, want):
     assert {(k, personal._ENDS.sub("", text[a:b])) for k, a, b, _ in spans} == want
 
 
+def test_generators_have_no_caps(finder):
+    """Short family names, numbers of many groups, forms of other countries and long addresses are all proposed."""
+    got = lambda t: {(k, t[a:b]) for k, a, b in personal.candidates(t, finder.names)}
+    for name in ("Anil Rao", "Priya Sen", "Vikram Das", "N. Roy"):
+        assert ("person", name) in got(f"Please ask {name} about it.")
+    assert ("phone", "+91 98 76 54 32 10") in got("Her number is +91 98 76 54 32 10 now.")
+    assert ("identity", "123-45-6789") in got("The card says 123-45-6789 on it.") and ("identity", "AB1234567") in got("It is AB1234567 there.")
+    long = "12, " + "the very long name of a house beside the old mill, " * 4 + "Kamala Street, Yalavekot 560 012"
+    assert ("address", long) in got(f"He lives at {long} since May.")
+    assert ("person", "A" + "b" * 90 + " Nidumisk") in got("Ask A" + "b" * 90 + " Nidumisk about it.")
+
+
 def test_redaction_changes_nothing_else(spark, finder):
     rows = [(i, t) for i, (t, _) in enumerate(CASES)] + [(90, None), (91, ""), (92, "plain words only " * 4000)]
     got = {r.doc_id: r.personal for r in personal.find(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS redacted"), finder).collect()}
