@@ -30,13 +30,13 @@ def hash_sample(df: DataFrame, order: Column, n: int) -> DataFrame:
     return df.where(order.bitwiseAND(F.lit(2**63 - 1)) < F.lit(span))
 
 
-def hash_place(df: DataFrame, keys: list[str], order: Column, place: str, tie: list[str], buckets: int = 1024) -> DataFrame:
+def hash_place(df: DataFrame, keys: list[str], order: Column, place: str, tie: list[str]) -> DataFrame:
     """df with the place of each row in its group, from 0, in the order of a hash (BIGINT), ties by the columns `tie`.
 
-    Rows are counted by (group, hash bucket), the counts summed to an offset per bucket, and only the rows of one bucket
+    Rows are counted by (group, leading ten bits of the hash), the counts summed to an offset per bucket, and only the rows of one bucket
     sorted together. NULL keys form a group.
     """
-    df = df.withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftright("_order", 20), F.lit(buckets)))
+    df = df.withColumn("_order", order).withColumn("_bucket", F.shiftright("_order", 54))
     names = [f"_k{i}" for i in range(len(keys))]
     counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
     before = W.partitionBy(*names).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

@@ -42,7 +42,9 @@ def needs_human(events: DataFrame) -> DataFrame:
 
 def stratified(items: DataFrame, key: str, strata: list[str], share: float = 0.3, least: int = 5, seed: int = 42) -> DataFrame:
     """(key, strata..): of each stratum min(n, max(least, share of n half to even)) rows, in the order of a seeded hash. A hot stratum is ranked by parts."""
-    placed = hash_place(items, strata, F.xxhash64(F.lit(seed), key), "place", [key])
+    sixty = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}#"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    order = (sixty - F.lit(2**59)) * 16  # over the whole range of a BIGINT
+    placed = hash_place(items, strata, order, "place", [key])
     n = items.groupBy(*[F.col(s).alias(f"_{s}") for s in strata]).agg(F.count("*").alias("_n"))
     both = placed.join(n, [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata])
     return both.where(F.col("place") < F.greatest(F.lit(least), F.rint(share * F.col("_n")))).select(key, *strata)

@@ -189,6 +189,14 @@ def chunk_stats(spark, d):
     return out.groupBy("language").agg(F.count("*").alias("chunks"), F.avg("est_tokens").alias("mean_tokens"), F.max("est_tokens").alias("most_tokens"), F.count_if(F.col("est_tokens") < 25).alias("small"))
 
 
+@query(f"""
+WITH {CORPUS}, e AS (SELECT language, {S.estimate_tokens('text', 'language')} AS est FROM corpus) SELECT language, count(*) AS chunks, round(avg(est), 6) AS mean_tokens, max(est) AS most_tokens, count(*) FILTER (est < 25) AS small FROM e GROUP BY language""")
+def corpus_stats(spark, d):
+    """Sizes of the given chunks by language."""
+    rows = corpus(spark, d).select("language", X.estimate_tokens(F.col("text"), F.col("language")).alias("est"))
+    return rows.groupBy("language").agg(F.count("*").alias("chunks"), F.round(F.avg("est"), 6).alias("mean_tokens"), F.max("est").alias("most_tokens"), F.count_if(F.col("est") < 25).alias("small"))
+
+
 _POST = f"""{CORPUS}, tk AS (SELECT chunk_id, language, {S.tokens('nfc_normalize(text)', 'language')} AS toks FROM corpus),
 post AS (SELECT language, chunk_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT language, chunk_id, len(toks) AS length, unnest(toks) AS term FROM tk) GROUP BY ALL),
 cs AS (SELECT language, count(*) AS n, avg(length) AS avg_length FROM (SELECT DISTINCT language, chunk_id, length FROM post) GROUP BY language),
@@ -637,7 +645,9 @@ def needs_human(spark, d):
     return review.needs_human(read(spark, d, "annotation_events"))
 
 
-@query()
+@query(f"""
+WITH {_LATEST}, i AS (SELECT item_id, max({S.language_label('language')}) AS language FROM annotation_events WHERE event_type = 'item' AND item_id IS NOT NULL GROUP BY item_id), s AS (SELECT item_id, language, coalesce(adjudicated, human, llm) AS label FROM i LEFT JOIN l USING (item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY language, label ORDER BY ('0x' || substr(md5('42#' || item_id), 1, 15))::BIGINT, item_id) - 1 AS place, count(*) OVER (PARTITION BY language, label) AS n FROM s) SELECT item_id, language, label FROM r WHERE place < greatest(5, round_even(0.3::DOUBLE * n, 0))""")
 def stratified_sample(spark, d):
     """Items for human review: three tenths of each language and label, five at least."""
     ev = read(spark, d, "annotation_events")
@@ -701,6 +711,13 @@ def holm_bonferroni(spark, d):
     return out.select("system_name", "language", "p", F.col("rank").cast("long").alias("rank"), "significant")
 
 
+@query()
+def holm_paired(spark, d):
+    """The differences of paired_bootstrap corrected for their number."""
+    out = evaluation.holm(paired_bootstrap(spark, d).select("system_name", "mean", "p_value"), "p_value")
+    return out.select("system_name", "mean", "p_value", F.col("rank").cast("long").alias("rank"), "significant")
+
+
 @query(f"""
 WITH v AS (SELECT system_name, {S.language_label('language')} AS language, avg(hallucination_rate) AS rate FROM records WHERE hallucination_rate IS NOT NULL AND {S.language_label('language')} IN ('en', 'hi', 'ta') GROUP BY ALL)
 SELECT a.system_name, a.language, round(a.rate, 6) AS rate, round(CASE WHEN coalesce(b.rate, 0) = 0 THEN 0 ELSE -(a.rate - b.rate) / abs(b.rate) END, 6) AS gap FROM v a LEFT JOIN v b ON a.system_name = b.system_name AND b.language = 'en'""")
@@ -902,7 +919,13 @@ def review_packet(spark, d):
 
 # ---------------------------------------------------------------- evidence views
 
-@query()
+@query(f"""
+WITH RECURSIVE {_claims_sql()}, n AS (SELECT a.record_id, claim_ord, lower(answer) AS low, lower(regexp_replace(trim(claim), '[.।!?]+$', '')) AS n FROM ans a JOIN claim USING (record_id) WHERE length(lower(answer)) = length(answer)),
+p AS (SELECT record_id, claim_ord, strpos(low, n) - 1 AS a, strpos(low, n) - 1 + length(n) AS e, length(n) >= 6 AND strpos(low, n) > 0 AS usable FROM n),
+r AS (SELECT record_id, claim_ord, CASE WHEN usable THEN [{{'a': a, 'e': e, 'c': claim_ord}}] ELSE [] END AS acc FROM p WHERE claim_ord = 0
+UNION ALL SELECT p.record_id, p.claim_ord, CASE WHEN p.usable AND len(list_filter(r.acc, lambda x: p.a < x.e AND p.e > x.a)) = 0 THEN list_append(r.acc, {{'a': p.a, 'e': p.e, 'c': p.claim_ord}}) ELSE r.acc END FROM r JOIN p ON p.record_id = r.record_id AND p.claim_ord = r.claim_ord + 1),
+last AS (SELECT record_id, arg_max(acc, claim_ord) AS acc FROM r GROUP BY record_id)
+SELECT record_id, x.c AS claim_no, x.a AS start, x.e AS "end" FROM (SELECT record_id, unnest(acc) AS x FROM last)""")
 def anchor_claims(spark, d):
     """Where each claim stands in its answer."""
     rows = answers(spark, d).select("record_id", "answer", claims.decompose(F.col("answer"), F.col("language")).alias("c"))
@@ -917,7 +940,17 @@ def inverse_citations(spark, d):
     return rows.groupBy("chunk_id").agg(F.count("*").alias("claims_citing"), F.count_distinct("record_id").alias("answers_citing"))
 
 
-@query()
+def _evidence_sql() -> str:
+    words = lambda t: f"regexp_extract_all({t}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+    kept = lambda t: f"list_filter({words(t)}, lambda w: regexp_matches(w, '\\p{{N}}') OR (length(w) >= 3 AND NOT list_contains({S._list(L.EVIDENCE_STOP)}, w)))"
+    return _verdict_sql("support") + f""", c AS (SELECT res.record_id, res.claim_ord, claim.claim, string_split(citations, ',')[1] AS chunk_id FROM res JOIN claim USING (record_id, claim_ord) WHERE verdict = 'CONTRADICTED'),
+s AS (SELECT c.*, list_filter(string_split(regexp_replace(text, '([.!?।॥])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS ss, list_distinct({kept('lower(claim)')}) AS mine, {words('lower(claim)')} AS said FROM c JOIN corpus USING (chunk_id)),
+u AS (SELECT *, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS i FROM s), h AS (SELECT *, len(list_filter({kept('lower(sentence)')}, lambda w: list_contains(mine, w))) AS hits, {words('lower(sentence)')} AS ws FROM u),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY record_id, claim_ord ORDER BY hits DESC, i) = 1)
+SELECT record_id, claim_ord, chunk_id, sentence, hits, array_to_string(list_filter(odd, lambda x, k: list_position(odd, x) = k), ' ') AS extra FROM (SELECT *, list_filter(ws, lambda w: (regexp_full_match(w, '\\p{{N}}+') OR list_contains({S._list(L.EVIDENCE_NEGATIONS)}, w)) AND NOT list_contains(said, w)) AS odd FROM b WHERE hits > 0)"""
+
+
+@query(_evidence_sql())
 def evidence_diff(spark, d):
     """For every contradicted claim the sentence it is judged by and what that has and the claim lacks."""
     v = verdicts(spark, d).where("verdict = 'CONTRADICTED'").select("record_id", "claim_ord", "claim", F.element_at("citations", 1).alias("chunk_id"))
@@ -961,7 +994,11 @@ def request_metrics(spark, d):
     return limits.request_metrics(read(spark, d, "events"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, user_id, k, [t] AS last, true AS admitted FROM e WHERE k = 1
+UNION ALL SELECT event_id, user_id, k, CASE WHEN len(f) < 2 THEN list_append(f, t) ELSE f END, len(f) < 2 FROM (SELECT e.event_id, e.user_id, e.k, e.t, list_filter(r.last, lambda x: x > e.t - 600000000) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT event_id, user_id, admitted FROM r""")
 def admitted_requests(spark, d):
     """At most two requests of a visitor in ten minutes; refused ones do not count."""
     return limits.admitted(read(spark, d, "events"), 2, 600).select("event_id", "user_id", "admitted")
@@ -1074,13 +1111,29 @@ def provider_limits(spark, d):
     return limits.within_limits(read(spark, d, "events"), 30, 1000, 1000, "event_type", "value").select("event_id", "minute_ok", "amount_ok", "day_ok")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, CAST(ts AS DATE) AS d, row_number() OVER (ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, user_id, k, d, 1 AS used, [{'u': user_id, 't': t}] AS last, true AS admitted FROM e WHERE k = 1
+UNION ALL SELECT event_id, user_id, k, d, used + ok::INT, CASE WHEN ok THEN list_append(f, {'u': user_id, 't': t}) ELSE f END, ok FROM (SELECT *, used < 300 AND len(list_filter(f, lambda x: x.u = user_id)) < 2 AS ok
+ FROM (SELECT e.event_id, e.user_id, e.k, e.d, e.t, CASE WHEN e.d = r.d THEN r.used ELSE 0 END AS used, list_filter(r.last, lambda x: x.t > e.t - 600000000) AS f FROM r JOIN e ON e.k = r.k + 1)))
+SELECT event_id, user_id, admitted FROM r""")
 def shared_budget(spark, d):
     """At most two requests of a visitor in ten minutes and 300 of all visitors in a day."""
     return limits.admitted_with_budget(read(spark, d, "events"), 2, 600, 300).select("event_id", "user_id", "admitted")
 
 
-@query()
+def _feature_sql() -> str:
+    bag = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda w: w <> ''))"
+    jac = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) ELSE 1 END"
+    return _verdict_sql("support") + _DET + f""", g AS (SELECT qid, min(gold_answer) AS g1, max(gold_answer) AS g2 FROM questions WHERE trim(coalesce(gold_answer, '')) <> '' GROUP BY qid),
+w AS (SELECT r.record_id, len(coalesce(retrieved_chunk_ids, [])) AS k, g1 IS NOT NULL AS two, {bag('answer')} AS a, {bag('g1')} AS b, {bag('g2')} AS c, len(list_filter(regexp_split_to_array(answer, '\\s+'), lambda w: w <> '')) AS n_words FROM records r LEFT JOIN g USING (qid) WHERE answer IS NOT NULL),
+x AS (SELECT *, CASE WHEN two THEN ({jac('a', 'b')} + {jac('a', 'c')} + {jac('b', 'c')}) / 3 ELSE 0 END AS sc, list_sum(list_transform(range(1, k + 1), lambda i: 61.0::DOUBLE / (60 + i))) AS total FROM w)
+SELECT record_id, CASE WHEN k > 0 THEN 1 ELSE 0 END::DOUBLE AS s1_top_score, round(CASE WHEN k > 1 THEN 1 - 61.0::DOUBLE / 62 ELSE 0 END, 6) AS s1_score_margin, round(coalesce(total / nullif(k, 0), 0), 6) AS s1_mean_score, k::DOUBLE AS s1_n_chunks,
+round(coalesce(s::DOUBLE / n, 0), 6) AS s2_supported_ratio, round(coalesce(det.c::DOUBLE / n, 0), 6) AS s2_contradicted_ratio, round(coalesce(u::DOUBLE / n, 0), 6) AS s2_unverifiable_ratio, round(coalesce(mm, 0), 6) AS s2_mean_margin, round(coalesce(mn, 0), 6) AS s2_min_margin, coalesce(n, 0)::DOUBLE AS s2_n_claims,
+NULL::DOUBLE AS s3_mean_logprob, NULL::DOUBLE AS s3_perplexity, round(sc, 6) AS s4_self_consistency, round(1 - sc, 6) AS s4_dispersion, CASE WHEN two THEN 2 ELSE 0 END::DOUBLE AS s4_n_samples, (two AND n_words >= 4)::INT::DOUBLE AS s4_reliable, n_words::DOUBLE AS answer_tokens FROM x LEFT JOIN det USING (record_id)"""
+
+
+@query(_feature_sql())
 def feature_rows(spark, d):
     """The 17 signals of every answer in their fixed order: what was retrieved, the verdicts, no log-probabilities, and the reference answers as further samples. NULL is absent, which is not 0."""
     rows = read(spark, d, "records").where("answer IS NOT NULL").select("record_id", "qid", "answer", F.size("retrieved_chunk_ids").alias("k"))
