@@ -96,9 +96,15 @@ def item_table(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     return rows.mapInArrow(run, "item long, words array<string>, owner array<long>, marks array<long>").where(F.size("words") >= LEAST_WORDS)
 
 
-def _places(marks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _listed(marks: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The positions of the shingles whose two places in the bitmap are both set."""
+    n = len(bits).bit_length() + 5
     u = marks.view(np.uint64)
-    return (u & np.uint64((1 << n) - 1)).astype(np.int64), (u >> np.uint64(64 - n)).astype(np.int64)
+    at = np.arange(len(u))
+    for place in (lambda x: x & np.uint64((1 << n) - 1), lambda x: x >> np.uint64(64 - n)):
+        p = place(u[at])
+        at = at[((bits[(p >> np.uint64(6)).view(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).view(np.int64) == 1]
+    return at
 
 
 def bitmap(listed: DataFrame, n: int = BITS) -> np.ndarray:
@@ -117,16 +123,12 @@ def gathered(docs: DataFrame, bits: np.ndarray, reach: int, key: str, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        width = len(bits).bit_length() + 5
         for b in batches:
             rows, seen = [], defaultdict(int)
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, owner = tokens(t)
                 marks = shingles(found)
-                known = np.ones(len(marks), dtype=bool)
-                for p in _places(marks, width):
-                    known &= (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-                at = np.flatnonzero(known)
+                at = _listed(marks, bits)
                 if not len(at):
                     continue
                 for m in set(marks[at].tolist()):
