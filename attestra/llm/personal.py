@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .boosting import Boosted, boost
 from .common import fill_cores, table, written
@@ -80,9 +81,14 @@ _BREAK = re.compile(r"[.!?।](?<!No\.)\s+(?=[^\s\d])|\n\s*\n")
 # ---------------------------------------------------------------- names
 
 
+def _ends(word: str) -> list[str]:
+    w = f"^{word}$"
+    return [f"{w[-n:]}#" for n in (3, 4, 5)]
+
+
 def _grams(word: str) -> list[str]:
     w = f"^{word}$"
-    return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] + [f"{w[-n:]}#" for n in (3, 4, 5)]
+    return [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] + _ends(word)
 
 
 def _words(text: str) -> set[str]:
@@ -162,7 +168,10 @@ class NameScores:
         """Whether a word could be a family name by its end; lets through more than any known name needs."""
         if len(self.ends) > 500_000:
             self.ends.clear()
-        may = self.of(word)[4] >= self.floor["family"] - 0.7
+        w = word.lower()
+        use = (1 - self.fold[w],) if w in self.fold else (0, 1)
+        # the last of the scores of of(), alone, as most words are asked for nothing else
+        may = sum(self.odds["family", k].get(g, -3.0) for k in use for g in _ends(w)) / (3 * len(use)) >= self.floor["family"] - 0.7
         if len(word) <= SHORT_NAME:
             # too short for its end to say much: a listed name, or a word with a capital that few documents hold
             low = word.lower()
@@ -589,8 +598,14 @@ def choose(judged: DataFrame, finder: Finder, text: str = "text") -> DataFrame:
             rows = [(t, f.chosen(t, [(x["kind"], x["start"], x["end"], x["probability"], None) for x in found])) for t, found in zip(s.fillna("").tolist(), xs)]
             yield pd.DataFrame([_written_out(*r, f) for r in rows], columns=["spans", "redacted"])
 
-    out = judged.withColumn("_text", F.col(text)).withColumn("_sure", sure)
-    return out.withColumn("personal", F.when(F.col(text).isNotNull(), run(F.col("_text"), F.col("_sure")))).drop("_text", "_sure", "judged")
+    # texts without any sure span stay as they are and need no worker
+    kind = T.StructType.fromDDL(SCHEMA)
+    rows = judged.withColumn("_text", F.col(text)).withColumn("_sure", sure).drop("judged")
+    some = F.coalesce(F.size("_sure") > 0, F.lit(False)) & F.col(text).isNotNull()
+    hit = rows.where(some).withColumn("personal", run(F.col("_text"), F.col("_sure")))
+    whole = F.struct(F.array().cast(kind["spans"].dataType).alias("spans"), F.col(text).alias("redacted"))
+    rest = rows.where(~some).withColumn("personal", F.when(F.col(text).isNotNull(), whole).cast(kind))
+    return hit.unionByName(rest).drop("_text", "_sure")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
