@@ -115,6 +115,22 @@ def test_dense_search_equals_brute_force_in_blocks(spark):
         assert [got[i, p][0] for p in range(3)] == best
 
 
+def test_vectors_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    for bad in (df, spark.createDataFrame([(1, [1.0, float("nan")])], "vec_id long, embedding array<double>")):
+        with pytest.raises(Exception, match="vectors"):
+            retrieval.dense_top(df.where("vec_id = 1").withColumnRenamed("vec_id", "query_id"), bad).collect()
+
+
+def test_hybrid_drops_the_weight_of_an_empty_list(spark):
+    lex = spark.createDataFrame([("q", "a", 0, 3.0), ("q", "b", 1, 2.0), ("only", "c", 0, 1.0)], "query_id string, chunk_id string, place int, score double")
+    vec = spark.createDataFrame([("q", "b", 0, 0.9)], "query_id string, chunk_id string, place int, score double")
+    got = {(r.query_id, r.place): (r.chunk_id, round(r.fused, 6), r.dense, r.lexical) for r in retrieval.hybrid(lex, vec, weights=(2.0, 1.0)).collect()}
+    assert got["only", 0] == ("c", 1.0, 0.0, 1.0) and got["q", 0] == ("b", round((2 / 61 + 1 / 62) / (3 / 61), 6), 0.9, 2.0) and got["q", 1][0] == "a"
+    with pytest.raises(Exception, match="index of en"):
+        retrieval.same_language(spark.createDataFrame([("x", "hi")], "chunk_id string, language string"), "en").collect()
+
+
 def test_rerank_and_signals(spark):
     ranked = spark.createDataFrame([("q", "a", 0.9, 0), ("q", "b", 0.5, 1), ("q", "c", 0.4, 2)], "query_id string, chunk_id string, fused double, place int")
     again = retrieval.rerank(ranked, spark.createDataFrame([("q", "c", 0.95)], "query_id string, chunk_id string, rerank double"))
@@ -167,8 +183,13 @@ def test_decompose(spark):
 
 
 def test_batch_labels(spark):
-    df = spark.createDataFrame([("1: supported\n2: contradicted",), ("2. CONTRADICTED\n1. SUPPORTED",), ("1: SUPPORTED",), ("1: SUPPORTED\n1: SUPPORTED",), ("nonsense",)], "r string")
-    assert [r.x and list(r.x) for r in df.select(claims.batch_labels(F.col("r"), 2).alias("x")).collect()] == [["SUPPORTED", "CONTRADICTED"], ["SUPPORTED", "CONTRADICTED"], None, None, None]
+    both = ["ENTAILMENT", "NEUTRAL"]
+    cases = [("1: entailment\n2: neutral", both), ("2. NEUTRAL\n1. ENTAILMENT\n", both), ("```\n[1]: **Entailment** it is\n\n 2) neutral\n```", both), ("`1 - ENTAILMENT\r\n[2]: **NEUTRAL`", both), ("1: ENTAILMENT", None), ("1: ENTAILMENT\n1: NEUTRAL", None),
+             ("1: ENTAILMENT\n3: NEUTRAL", None), ("Here they are:\n1: ENTAILMENT\n2: NEUTRAL", None), ("1: ENTAILMENT\n2: NEUTRALLY", None), ("nonsense", None), ("", None), (None, None), ("99999999999: NEUTRAL\n2: NEUTRAL", None)]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, r string")
+    got = {r.i: r.x and list(r.x) for r in df.select("i", claims.batch_labels(F.col("r"), 2).alias("x")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
+    assert spark.createDataFrame([("1: supported",)], "r string").select(claims.batch_labels(F.col("r"), 1, review.VERDICTS).alias("x")).first().x == ["SUPPORTED"]
 
 
 def test_spans_follow_a_cursor(spark):
@@ -291,7 +312,7 @@ def test_abstention_kappa_percentile_gap(spark):
     assert evaluation.kappa(c, ["g"], ["A", "B"]).first().kappa == pytest.approx(0.4)
     assert evaluation.kappa(spark.createDataFrame([("k", "A", "A", 3)], "g string, gold string, pred string, n long"), ["g"], ["A", "B"]).first().kappa == 1.0
     x = spark.createDataFrame([(4.0,), (2.0,), (3.0,), (1.0,)], "x double")
-    assert x.agg(evaluation.nearest_rank("x", 0.5).alias("a"), evaluation.nearest_rank("x", 0.95).alias("b")).first() == (2.0, 4.0)
+    assert ranking.nearest_ranks(x, [], "x", {"a": 0.5, "b": 0.95}).first() == (2.0, 4.0)
     v = spark.createDataFrame([("en", 0.5), ("hi", 0.4)], "l string, v double").withColumn("s", F.lit("s"))
     assert {r.l: r.gap for r in evaluation.gaps(v, ["s"], "l", "v", "en").collect()} == {"en": 0.0, "hi": pytest.approx(-0.2)}
 
@@ -306,6 +327,65 @@ def test_bootstrap_interval_covers_and_repeats(spark):
     assert one["b"].high - one["b"].low == pytest.approx(2 * 1.96 * se, rel=0.1)
 
 
+def test_bootstrap_of_a_hot_group_in_pieces(spark):
+    """A group with most rows, all of them different, drawn in 16 pieces: the interval is that of drawing rows one by one."""
+    rng = np.random.default_rng(3)
+    v = rng.exponential(size=8000)
+    df = spark.createDataFrame([("hot", float(x)) for x in v] + [("cold", float(x)) for x in v[:50]], "g string, v double")
+    got = {r.g: r for r in evaluation.bootstrap_mean(df, ["g"], "v", shard=500).collect()}
+    means = np.sort([rng.choice(v, len(v)).mean() for _ in range(2000)])
+    assert got["hot"].n == 8000 and got["hot"]["mean"] == pytest.approx(v.mean())
+    assert got["hot"].low == pytest.approx(means[50], abs=0.006) and got["hot"].high == pytest.approx(means[1950], abs=0.006) and got["cold"].n == 50
+    drawn, groups = evaluation.resampled(df, ["g"], [F.lit(1.0), F.col("v")], shard=500)
+    sizes = drawn.join(groups.select("_key", "n"), "_key").selectExpr("s0 = n AS same").distinct().collect()
+    assert [r.same for r in sizes] == [True]  # every resample has as many rows as the group
+
+
+def test_calibration_interval_against_drawing_rows(spark):
+    rng = np.random.default_rng(5)
+    p = rng.random(200).round(2)
+    y = (rng.random(200) < p).astype(int)
+
+    def ece(p, y):
+        k = np.ceil(p * 10 - 1e-9).clip(1)
+        return sum(abs((p[k == b] - y[k == b]).sum()) for b in range(1, 11)) / len(p)
+
+    got = evaluation.calibration_interval(spark.createDataFrame([("a", float(a), int(b)) for a, b in zip(p, y)], "g string, p double, y int"), ["g"]).first()
+    stats = np.sort([ece(p[i], y[i]) for i in (rng.integers(0, 200, 200) for _ in range(2000))])
+    assert got.n == 200 and got.ece == pytest.approx(ece(p, y)) and got.low == pytest.approx(stats[50], abs=0.012) and got.high == pytest.approx(stats[1950], abs=0.012)
+    assert evaluation.calibration_interval(spark.createDataFrame([], "g string, p double, y int"), ["g"]).count() == 0
+
+
+def test_gates_one_by_one(spark):
+    good = [("en", i < 12, i < 12, True, True, 0.95, 150.0, 100.0) for i in range(60)]
+    spoil = {
+        "enough_reviewed": lambda r: r[11:], "enough_answered": lambda r: [x[:1] + (True,) + x[2:] if i >= 30 else x for i, x in enumerate(r)], "both_kinds": lambda r: [x[:2] + (False,) + x[3:] for x in r], "unsupported_ok": lambda r: [x[:3] + (i % 10 != 0 or x[1],) + x[4:] for i, x in enumerate(r)],
+        "over_abstention_ok": lambda r: [x[:1] + (i < 24,) + x[2:] for i, x in enumerate(r)], "recall_ok": lambda r: [x[:1] + (i < 9,) + x[2:] for i, x in enumerate(r)], "calibrated_ok": lambda r: r[:-1] + [r[-1][:4] + (False,) + r[-1][5:]], "ece_ok": lambda r: [x[:5] + (0.5,) + x[6:] for x in r],
+        "latency_ok": lambda r: [x[:6] + ((900.0,) if i % 10 == 0 else (150.0,)) + x[7:] for i, x in enumerate(r)],
+    }
+    schema = "language string, abstained boolean, should_abstain boolean, fully_supported boolean, calibrated boolean, confidence double, latency_ms double, baseline_latency_ms double"
+    one = evaluation.gates(spark.createDataFrame(good, schema), "language").first()
+    assert one.passed and all(one[k] for k in spoil)
+    for gate, f in spoil.items():
+        r = evaluation.gates(spark.createDataFrame(f(good), schema), "language").first()
+        assert not r[gate] and not r.passed, gate
+
+
+def test_correction_effect_hand_case(spark):
+    rows = [("a", 0.5, 0.2, False, 0.8, 0.4), ("a", 0.5, 0.6, True, 0.8, 0.4), ("a", None, 0.1, True, 1.0, 1.0), ("b", 0.0, 0.0, None, None, None)]
+    got = {r.s: r for r in evaluation.correction_effect(spark.createDataFrame(rows, "s string, before double, after double, regressed boolean, relevance_before double, relevance_after double"), ["s"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.n, a.improvement_rate, a.regression_rate, a.net_improvement) == (2, 0.5, 0.5, 0.0) and a.relative_reduction == pytest.approx(0.2) and a.relevance_retention == pytest.approx(0.5)
+    assert (b.n, b.relative_reduction, b.relevance_retention) == (1, 0.0, 1.0)
+
+
+def test_feature_rows_keep_absent_apart_from_zero(spark):
+    r = spark.range(1).select(*confidence.feature_row({"s1_n_chunks": F.lit(0), "answer_tokens": F.lit(3)})).first()
+    assert len(r) == 17 and r.s1_n_chunks == 0.0 and r.answer_tokens == 3.0 and r.s3_mean_logprob is None and r.s2_n_claims is None
+    with pytest.raises(ValueError):
+        confidence.feature_row({"odd": F.lit(1)})
+
+
 def test_paired_takes_the_last_run(spark):
     rows = [("base", "q", 0.5, 1), ("base", "q", 0.3, 2), ("new", "q", 0.9, 1), ("new", "other", 0.9, 1)]
     got = evaluation.paired(spark.createDataFrame(rows, "s string, k string, v double, o int"), ["k"], "s", "v", "base", "o").collect()
@@ -316,12 +396,35 @@ def test_paired_takes_the_last_run(spark):
 
 def test_places_and_totals_do_not_depend_on_partitions(spark):
     df = spark.range(500).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 7, None).otherwise("cold"))
-    got = [sorted(map(tuple, ranking.hash_place(df.repartition(n), ["g"], F.xxhash64("id"), "p", ["id"], 16).select("id", "p").collect())) for n in (1, 5)]
+    got = [sorted(map(tuple, ranking.hash_place(df.repartition(n), ["g"], F.xxhash64("id"), "p", ["id"]).select("id", "p").collect())) for n in (1, 5)]
     assert got[0] == got[1]
     hot = [p for i, p in got[0] if i % 3 == 0]
     assert sorted(hot) == list(range(len(hot)))
-    t = ranking.running_total(df.select("id", F.lit(2).alias("v")), "id", "v", "t", 6).collect()
+    t = ranking.running_total(df.select("id", F.lit(2).alias("v")), "id", "v", "t", parts=6).collect()
     assert {r.id: r.t for r in t} == {i: 2 * (i + 1) for i in range(500)}
+    order = {r.id: (r.h, r.p) for r in ranking.hash_place(df, ["g"], F.xxhash64("id"), "p", ["id"]).withColumn("h", F.xxhash64("id")).where("g = 'hot'").collect()}
+    assert [p for _, p in sorted(order.values())] == list(range(len(order)))
+
+
+def test_running_totals_of_millions_with_a_payload(spark):
+    """Also by group, one of them with a third of all rows; ties share a total."""
+    df = spark.range(1_500_000).select((F.col("id") * 7919 % 1_400_017).cast("double").alias("p"), (F.col("id") % 5 + 1).alias("c"), F.md5(F.col("id").cast("string")).alias("payload"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"))
+    for by in (None, ["g"]):
+        got = ranking.running_total(df, "p", "c", "t", by).select("p", "c", "g", "t").toPandas()
+        each = got.groupby([*(by or []), "p"], as_index=False).agg(c=("c", "sum"), lo=("t", "min"), hi=("t", "max")).sort_values("p")
+        want = each.groupby(by[0]).c.cumsum() if by else each.c.cumsum()
+        assert len(got) == 1_500_000 and (each.lo == want).all() and (each.hi == want).all()
+
+
+def test_nearest_ranks_against_sorting(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.randrange(40) / 4) for g, n in (("hot", 3000), ("a", 1), ("b", 20), (None, 7)) for _ in range(n)] + [("c", None)]
+    got = {r.g: (r.p50, r.p95) for r in ranking.nearest_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    want = {}
+    for g in {g for g, v in rows if v is not None}:
+        vs = sorted(v for k, v in rows if k == g)
+        want[g] = tuple(vs[max(0, math.ceil(len(vs) * q) - 1)] for q in (0.5, 0.95))
+    assert got == want
 
 
 def plan_of(df):

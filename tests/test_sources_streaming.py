@@ -3,6 +3,9 @@
 import json
 import os
 
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +101,39 @@ def test_windows_and_days(spark):
     assert {r.in_window for r in limits.sliding_counts(df, seconds=120).where("event_id = 4").collect()} == {2}
 
 
+def test_a_visitor_with_a_third_of_all_events(spark):
+    """Sessions, sliding counts and admissions of a hot visitor against plain Python."""
+    rng = random.Random(6)
+    at = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(i, 0 if i % 3 == 0 else rng.randrange(1, 40), at + dt.timedelta(seconds=rng.choice([rng.random() * 9e5, round(rng.random() * 9e5)])), rng.random()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").withColumn("_t", F.lit("kept"))
+    got = {r.event_id: (r.in_window, round(r.sum_in_window, 6)) for r in limits.sliding_counts(df.drop("_t"), seconds=600, value="value").collect()}
+    by = {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        by.setdefault(r[1], []).append(r)
+    for rs in by.values():
+        for r in rs:
+            inside = [x for x in rs if r[2] - dt.timedelta(seconds=600) <= x[2] <= r[2]]
+            assert got[r[0]] == (len(inside), round(sum(x[3] for x in inside), 6))
+    want = []
+    for u, rs in by.items():
+        for a, b in zip([None, *rs], rs):
+            if a is None or b[2] - a[2] >= dt.timedelta(minutes=30):
+                want.append([u, b[2], b[2], 0])
+            want[-1][2:] = [b[2], want[-1][3] + 1]
+    mine = limits.sessions(df).collect()
+    assert sorted((r.user_id, r.session_start.timestamp(), r.session_end.timestamp(), r.n) for r in mine) == sorted((u, a.timestamp(), z.timestamp() + 1800, n) for u, a, z, n in want)
+    used, last, day, passed = 0, {}, None, set()
+    for i, u, t, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        used, day = (used if t.date() == day else 0), t.date()
+        mine_ = last[u] = [x for x in last.get(u, []) if x > t - dt.timedelta(seconds=600)]
+        if used < 200 and len(mine_) < 2:
+            mine_.append(t)
+            used += 1
+            passed.add(i)
+    assert {r.event_id for r in limits.admitted_with_budget(df, 2, 600, 200).where("admitted").collect()} == passed
+
+
 def test_every_query_runs_and_survives_empty_tables(spark, data, tmp_path):
     from attestra.plans import queries as Q
 

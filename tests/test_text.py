@@ -72,10 +72,29 @@ def test_self_consistency(spark, samples, want):
     assert one(spark, X.self_consistency(F.col("t")), samples, "array<string>") == pytest.approx(want)
 
 
-def test_secrets(spark):
-    assert list(one(spark, X.secrets(F.col("t")), "key " + "AKIA" + "A" * 16)) == ["aws_key"]
-    assert list(one(spark, X.secrets(F.col("t")), "nothing")) == []
-
-
 def test_word_lists_hold_what_they_must():
     assert (len(L.STOP_WORDS["en"]), len(L.STOP_WORDS["hi"]), len(L.STOP_WORDS["ta"]), len(L.NEGATIONS), len(L.ABBREVIATIONS)) == (21, 18, 8, 13, 27)
+
+
+def test_foreign_scripts_by_language(spark):
+    cases = [
+        ("Write पॉolicy in हिंदी", "hi", {"MIXED_WORD": 1}), ("Write हिंदी here", "en", {"DEVANAGARI": 5}), ("நிதி மற்றும் हिंदी", "ta", {"DEVANAGARI": 5}), ("Library-ன் விதி", "ta", {}), ("한국 text", "hi", {"HANGUL": 2}), ("рay Ａ ٣ 5%", "de", {"CYRILLIC": 1, "FULLWIDTH": 1}),
+        ("नiroki और नि-a", "hi", {"MIXED_WORD": 1}), ("plain", None, {}), ("", "hi", {}),
+    ]
+    df = spark.createDataFrame([(i, t, l) for i, (t, l, _) in enumerate(cases)] + [(99, None, "hi")], "i int, t string, l string")
+    got = {r.i: None if r.x is None else {y.script: y.n for y in r.x} for r in df.select("i", X.foreign_scripts(F.col("t"), F.col("l")).alias("x")).collect()}
+    assert got == {**{i: w for i, (_, _, w) in enumerate(cases)}, 99: None}
+
+
+def test_daily_quota_and_samples(spark):
+    df = spark.createDataFrame([("quota exceeded",), ("Quota per minute exceeded",), ("requests PER DAY exhausted",), ("per minute and daily",), ("bad request",)], "b string")
+    assert [r.x for r in df.select(X.is_daily_quota(F.col("b")).alias("x")).collect()] == [True, False, True, True, False]
+    s = spark.createDataFrame([("a b c d", ["a b c d", "a b c d"]), ("no", ["no", "no"]), ("a b c d", [])], "a string, s array<string>")
+    got = s.select(*[c.alias(k) for k, c in X.consistency_signals(F.col("a"), F.col("s")).items()], X.degenerate(F.col("a"), F.col("s")).alias("same")).collect()
+    assert [(r.s4_self_consistency, r.s4_n_samples, r.s4_reliable, r.same) for r in got] == [(1.0, 2, 1, True), (1.0, 2, 0, True), (0.0, 0, 0, False)]
+
+
+def test_credentials_of_all_four_kinds(spark):
+    long = "0123456789abcdefghijKLM"
+    df = spark.createDataFrame([(f"x AIza{long}",), (f"gsk_{long}",), (f"ghp_{long}",), (f"sk-{long}",), ("sk-short",)], "t string")
+    assert [list(r.x) for r in df.select(X.secrets(F.col("t")).alias("x")).collect()] == [["google"], ["groq"], ["github"], ["openai_style"], []]
