@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from .canon import canonical
 from .common import fill_cores, hash_sample, language_label, table
 
-LANGUAGES = ("en", "hi", "ta")
+LANGUAGES = ("en", "hi", "ta")  # of this project's data; a parameter of train()
 SAMPLE_ROWS = 20_000  # bound of the labelled sample that the model is fitted on
 BITS = 16
 ORDERS = (1, 2, 3, 4)
 CHUNK = 200_000  # characters scored at once
-MIN_LETTERS = 12  # a shorter segment says too little to make its text mixed
+MIN_LETTERS = 6  # a shorter piece is a word or a name and no sentence
 LEAST_TEXTS = 5  # segments; fewer say too little to fit a class
 ROUNDS = 8  # at most so many fits sort out wrong labels
 _CODE = re.compile(r"\S*\d\S*")
@@ -87,10 +87,12 @@ def ngram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     classes: list[tuple[str, str]]
     logp: np.ndarray  # cell x class; its size is fixed by BITS and the number of classes
+    prior: np.ndarray  # log share of each class among the segments
+    languages: tuple[str, ...] = LANGUAGES
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
-        """Probability of each of LANGUAGES for each text; n-grams of one place count as one observation. No letters: all equal."""
-        out = np.full((len(texts), len(LANGUAGES)), 1 / len(LANGUAGES))
+        """Probability of each of the languages for each text; n-grams of one place count as one observation. No letters: all equal."""
+        out = np.full((len(texts), len(self.languages)), 1 / len(self.languages))
         if not self.classes:
             return out
         start = 0
@@ -105,7 +107,7 @@ class Model:
 
     def scored(self, parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         """posteriors() of n texts whose n-grams are at hand, in parts of 2,000 texts."""
-        out = np.full((n, len(LANGUAGES)), 1 / len(LANGUAGES))
+        out = np.full((n, len(self.languages)), 1 / len(self.languages))
         for i, part in enumerate(parts):
             self._score(out[2000 * i : 2000 * (i + 1)], *part)
         return out
@@ -113,14 +115,14 @@ class Model:
     def _score(self, out: np.ndarray, cells: np.ndarray, owner: np.ndarray) -> None:
         n = len(out)
         score = np.stack([np.bincount(owner, weights=self.logp[cells, c], minlength=n) for c in range(len(self.classes))], 1)
-        score = np.maximum(score / len(ORDERS), -1e6)
+        score = np.maximum(score / len(ORDERS), -1e6) + self.prior
         seen = np.bincount(owner, minlength=n) > 0
         p = np.exp(score - score.max(1, keepdims=True))
-        by = np.stack([p[:, [i for i, (l, _) in enumerate(self.classes) if l == lang]].sum(1) for lang in LANGUAGES], 1)
+        by = np.stack([p[:, [i for i, (l, _) in enumerate(self.classes) if l == lang]].sum(1) for lang in self.languages], 1)
         out[seen] = (by / by.sum(1, keepdims=True))[seen]
 
 
-def fit(texts: list[str], labels: list[str]) -> Model:
+def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUAGES) -> Model:
     """A model from labelled texts, by segments, as a text may be mixed. Segments whose label is contradicted by a model of the other half of the texts are left out of the next fits, until none is.
 
     A class, however small its share of a script, stays as long as such models confirm segments of it; one of wrong labels
@@ -140,13 +142,13 @@ def fit(texts: list[str], labels: list[str]) -> Model:
         sizes = np.bincount(of[keep], minlength=len(names))
         new = keep.copy()
         for h in (0, 1):
-            model = _model(names, by[1 - h], sizes)
+            model = _model(names, by[1 - h], sizes, languages)
             if model.classes:
-                new &= (half != h) | (model.scored(parts, len(texts)).argmax(1) == [LANGUAGES.index(x) for x in labels])
+                new &= (half != h) | (model.scored(parts, len(texts)).argmax(1) == [languages.index(x) for x in labels])
         if (new == keep).all():
             break
         keep = new
-    return _model(names, _counts(parts, np.where(keep, of, -1), len(names)), np.bincount(of[keep], minlength=len(names)))
+    return _model(names, _counts(parts, np.where(keep, of, -1), len(names)), np.bincount(of[keep], minlength=len(names)), languages)
 
 
 def _counts(parts: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, n: int) -> np.ndarray:
@@ -159,18 +161,18 @@ def _counts(parts: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, n: int)
     return out
 
 
-def _model(names: list[tuple[str, str]], counts: np.ndarray, sizes: np.ndarray) -> Model:
+def _model(names: list[tuple[str, str]], counts: np.ndarray, sizes: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> Model:
     """Of the classes that have segments enough and stand in the counts."""
     use = [k for k in range(len(names)) if sizes[k] >= LEAST_TEXTS and counts[:, k].any()]
     smooth = counts[:, use] + 0.05
-    return Model([names[k] for k in use], np.log(smooth / smooth.sum(0)))
+    return Model([names[k] for k in use], np.log(smooth / smooth.sum(0)), np.log(sizes[use] / max(1, sizes[use].sum())), languages)
 
 
-def train(df: DataFrame, text: str, language: str, key: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model fitted on about `sample_rows` labelled rows at most, taken by a hash of the key."""
+def train(df: DataFrame, text: str, language: str, key: str, sample_rows: int = SAMPLE_ROWS, languages: tuple[str, ...] = LANGUAGES) -> Model:
+    """A model of the languages fitted on about `sample_rows` labelled rows at most, taken by a hash of the key. Rows with other labels are not learned from."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), language_label(F.col(language)).alias("l"))
-    rows = hash_sample(rows.where(F.col("l").isin(*LANGUAGES) & (F.trim("t") != "")), F.xxhash64("k"), sample_rows).toPandas().sort_values(["k", "t"])
-    return fit(rows["t"].tolist(), rows["l"].tolist())
+    rows = hash_sample(rows.where(F.col("l").isin(*languages) & (F.trim("t") != "")), F.xxhash64("k"), sample_rows).toPandas().sort_values(["k", "t"])
+    return fit(rows["t"].tolist(), rows["l"].tolist(), languages)
 
 
 SCHEMA = "language string, confidence double, segments array<struct<segment: string, language: string, confidence: double>>"
@@ -192,7 +194,7 @@ def identify(df: DataFrame, model: Model, text: str = "question") -> DataFrame:
             parts = [segments(t) for t in texts]
             flat = [letters(t) for t in texts] + [letters(x) for p in parts for x in p]
             post = m.posteriors(flat)
-            named = [(LANGUAGES[b], float(p[b])) if t else (None, 0.0) for t, p, b in zip(flat, post, post.argmax(1))]
+            named = [(m.languages[b], float(p[b])) if t else (None, 0.0) for t, p, b in zip(flat, post, post.argmax(1))]
             at, rows = len(texts), []
             for i, p in enumerate(parts):
                 rows.append((*named[i], [(x, *named[at + k]) for k, x in enumerate(p)]))
