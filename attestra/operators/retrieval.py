@@ -57,10 +57,71 @@ def bm25_terms(queries: DataFrame, post: DataFrame, query: str = "query_id", lan
     return hits.select(query, "chunk_id", "term", part.alias("contribution")).where("contribution > 0")
 
 
-def bm25_top(queries: DataFrame, post: DataFrame, k: int = 5, query: str = "query_id") -> DataFrame:
-    """(query, chunk_id, score, place): the k best chunks, equal scores (to 8 places) in the order of their ids."""
-    scores = bm25_terms(queries, post, query).groupBy(query, "chunk_id").agg(F.round(F.sum("contribution"), 8).alias("score"))
-    return top_k(scores, [query], [F.desc("score"), F.col("chunk_id")], k)
+def bm25_weights(post: DataFrame, language: str = "language", k1: float = L.BM25_K1, b: float = L.BM25_B) -> DataFrame:
+    """(language, term, chunk_id, w): what a term adds to a chunk's score, above 0."""
+    rows = post.join(F.broadcast(chunk_statistics(post, language)), language).join(term_statistics(post, language), [language, "term"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    return rows.select(language, "term", "chunk_id", part.alias("w")).where("w > 0")
+
+
+def _dealt(left: DataFrame, left_key: str, right: DataFrame, right_key: str, left_rows: int, right_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with block numbers `qb` and `vb`, so that every row meets every row of the other side in one pair of blocks: rows are dealt by hash into blocks of about the given sizes and copied once for each block of the other side."""
+    n_left, n_right = left.count(), right.count()
+    lefts, rights = max(1, -(-n_left // left_rows)), max(1, -(-n_right // right_rows), min(left.sparkSession.sparkContext.defaultParallelism, n_right // 256))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = left.select("*", block(left_key, lefts).alias("qb"), numbers(rights).alias("vb"))
+    right = right.select("*", numbers(lefts).alias("qb"), block(right_key, rights).alias("vb"))
+    return spread(left, "qb", "vb"), spread(right, "qb", "vb")
+
+
+def bm25_top(queries: DataFrame, post: DataFrame, k: int = 5, query: str = "query_id", language: str = "language", query_block: int = 2048, chunk_block: int = 8192) -> DataFrame:
+    """(query, chunk_id, score, place): the k best chunks, equal scores (to 8 places) in the order of their ids.
+
+    Every query is scored against every chunk of its language. Queries and chunks meet in pairs of blocks, a chunk with its
+    terms as one row; a task adds up a query's terms over a block of chunks in numpy and keeps k of them, so the pairs of
+    query terms and postings are never rows and only k chunks a query and block are shuffled. Terms meet by 64-bit hashes.
+    """
+    term = lambda t: F.xxhash64(F.col(language), t)
+    weights = bm25_weights(post, language).groupBy("chunk_id").agg(F.collect_list(F.struct(term(F.col("term")).alias("h"), "w")).alias("t"))
+    chunks = written(weights.select("chunk_id", F.transform("t", lambda x: x["h"]).alias("hs"), F.transform("t", lambda x: x["w"]).alias("ws")))
+    asked = queries.where(F.size("terms") > 0).select(F.col(query).alias("_q"), F.transform(F.array_distinct("terms"), term).alias("qs"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("chunk_id")
+            ids, sizes = right["chunk_id"].to_numpy(), right["hs"].map(len).to_numpy()
+            h, w, c = np.concatenate(right["hs"].to_list()), np.concatenate(right["ws"].to_list()), np.repeat(np.arange(len(ids)), sizes)
+            order = np.argsort(h, kind="stable")
+            known, start = np.unique(h[order], return_index=True)
+            w, c, end = w[order], c[order], np.append(start[1:], len(h))
+            for q, terms in zip(left["_q"], left["qs"]):
+                at = np.searchsorted(known, terms)
+                at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == terms)]
+                if not len(at):
+                    continue
+                rows = np.concatenate([np.arange(start[i], end[i]) for i in at])
+                s = np.round(np.bincount(c[rows], weights=w[rows], minlength=len(ids)), 8)
+                least = max(np.partition(s, len(s) - min(k, len(s)))[len(s) - min(k, len(s))], 1e-8)
+                best = np.flatnonzero(s >= least)
+                best = best[np.lexsort((best, -s[best]))][:k]
+                out.append(pd.DataFrame({query: q, "chunk_id": ids[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({query: [], "chunk_id": [], "score": []})
+
+    left, right = _dealt(asked, "_q", chunks, "chunk_id", query_block, chunk_block)
+    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(search, f"{query} {dict(queries.dtypes)[query]}, chunk_id string, score double")
+    return top_k(met, [query], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def bm25_parts(queries: DataFrame, post: DataFrame, pairs: DataFrame, query: str = "query_id", language: str = "language") -> DataFrame:
+    """(query, chunk_id, term, contribution): what each term of a query adds to the score of the chunks that it is paired with; only their postings are read."""
+    asked = queries.select(query, language, F.explode_outer(F.array_distinct("terms")).alias("term")).where("term IS NOT NULL").join(pairs.select(query, "chunk_id"), query)
+    near = post.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    weights = near.join(F.broadcast(chunk_statistics(post, language)), language).join(term_statistics(post, language), [language, "term"])
+    part = F.col("idf") * F.col("tf") * (L.BM25_K1 + 1) / (F.col("tf") + L.BM25_K1 * (1 - L.BM25_B + L.BM25_B * F.col("length") / F.col("avg_length")))
+    rows = weights.select(language, "term", "chunk_id", part.alias("contribution")).where("contribution > 0")
+    return asked.join(rows, [language, "term", "chunk_id"]).select(query, "chunk_id", "term", "contribution")
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float | None = 0.30, query: str = "query_id", key: str = "vec_id", vector: str = "embedding", block: int = 8192) -> DataFrame:
@@ -71,14 +132,9 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: flo
     group limit. So a row is copied once for each block of the other side, and nothing passes through the driver. NULL
     vectors are left out; vectors of different lengths or with numbers that are not finite are an error.
     """
-    spark = vectors.sparkSession
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query).alias("_q"), F.col(vector).alias("_x"))
     v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("_v"), F.col(vector).alias("_y"))
-    n_q, n_v = q.count(), v.count()
-    q_blocks, v_blocks = max(1, -(-n_q // block)), max(1, -(-n_v // block), min(spark.sparkContext.defaultParallelism, n_v // 256))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = spread(q.select("_q", "_x", F.pmod(F.xxhash64("_q"), F.lit(q_blocks)).cast("int").alias("qb"), numbers(v_blocks).alias("vb")), "qb", "vb")
-    v = spread(v.select("_v", "_y", numbers(q_blocks).alias("qb"), F.pmod(F.xxhash64("_v"), F.lit(v_blocks)).cast("int").alias("vb")), "qb", "vb")
+    q, v = _dealt(q, "_q", v, "_v", block, block)
 
     def matrix(column: pd.Series) -> np.ndarray:
         rows = column.to_list()

@@ -243,7 +243,7 @@ def bm25_explain(spark, d):
     """What each term adds to the best chunk of a query."""
     q, post = question_queries(spark, d), corpus_postings(spark, d)
     best = retrieval.bm25_top(q, post, 1).select("query_id", "chunk_id")
-    return retrieval.bm25_terms(q, post).join(best, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "term", F.round("contribution", 6).alias("contribution"))
+    return retrieval.bm25_parts(q, post, written(best)).select("query_id", "chunk_id", "term", F.round("contribution", 6).alias("contribution"))
 
 
 @query(_bm25_sql() + """ SELECT query_id, max(CASE WHEN place = 0 THEN score END) AS s1_top_score, round(coalesce(max(CASE WHEN place = 0 THEN score END) - max(CASE WHEN place = 1 THEN score END), 0), 8) AS s1_score_margin,
