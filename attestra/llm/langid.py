@@ -45,18 +45,24 @@ def script_of(text: str) -> str:
     return best if counts[best] else "none"
 
 
-def segments(text: str) -> list[str]:
-    """Sentences and lines of a text, as they stand; a piece without MIN_LETTERS letters joins the one before or after it."""
-    parts = [p for p in _END.split(text) if p and p.strip()]
-    out: list[str] = []
-    for p in parts:
-        if out and (len(letters(p)) < MIN_LETTERS or len(letters(out[-1])) < MIN_LETTERS):
-            out[-1] = f"{out[-1]} {p}"
+def parted(text: str) -> list[tuple[str, str]]:
+    """(segment, its letters): sentences and lines of a text, as they stand; a piece without MIN_LETTERS letters joins the one before or after it."""
+    out: list[tuple[str, str]] = []
+    for p in _END.split(text):
+        if not p or not p.strip():
+            continue
+        seen = letters(p)
+        if out and (len(seen) < MIN_LETTERS or len(out[-1][1]) < MIN_LETTERS):
+            out[-1] = f"{out[-1][0]} {p}", f"{out[-1][1]} {seen}".strip()
         else:
-            out.append(p)
+            out.append((p, seen))
     return out
 
 
+def segments(text: str) -> list[str]:
+    return [p for p, _ in parted(text)]
+
+
 def ngram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash cell, text number) of every character n-gram of the texts, words padded with a blank; all in numpy."""
     joined = "".join(f" {t} \0\0\0" for t in texts)
@@ -128,13 +134,13 @@ def fit(texts: list[str], labels: list[str], languages: tuple[str, ...] = LANGUA
     A class, however small its share of a script, stays as long as such models confirm segments of it; one of wrong labels
     has the n-grams of the right class, which knows them better.
     """
-    parted = [(letters(x), l, zlib.crc32(t.encode()) & 1) for t, l in zip(texts, labels) for x in segments(t)]
-    texts, labels = [x[0] for x in parted], [x[1] for x in parted]
+    rows = [(x, l, zlib.crc32(t.encode()) & 1) for t, l in zip(texts, labels) for _, x in parted(t)]
+    texts, labels = [x[0] for x in rows], [x[1] for x in rows]
     scripts = [script_of(t) for t in texts]
     names = sorted({c for c in zip(labels, scripts) if c[1] != "none"})
     at = {c: k for k, c in enumerate(names)}
     of = np.array([at.get(c, -1) for c in zip(labels, scripts)], np.int64)
-    half = np.array([x[2] for x in parted], np.int64)  # equal texts are in one half
+    half = np.array([x[2] for x in rows], np.int64)  # equal texts are in one half
     parts = [ngram_cells(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]
     keep = of >= 0
     for _ in range(ROUNDS):
@@ -191,14 +197,16 @@ def identify(df: DataFrame, model: Model, text: str = "question") -> DataFrame:
         m = shared.value
         for s in batches:
             texts = s.fillna("").tolist()
-            parts = [segments(t) for t in texts]
-            flat = [letters(t) for t in texts] + [letters(x) for p in parts for x in p]
+            parts = [parted(t) for t in texts]
+            # a text of one segment is scored once
+            flat = [" ".join(x for _, x in p if x) for p in parts] + [x for p in parts if len(p) > 1 for _, x in p]
             post = m.posteriors(flat)
             named = [(m.languages[b], float(p[b])) if t else (None, 0.0) for t, p, b in zip(flat, post, post.argmax(1))]
             at, rows = len(texts), []
             for i, p in enumerate(parts):
-                rows.append((*named[i], [(x, *named[at + k]) for k, x in enumerate(p)]))
-                at += len(p)
+                own = [named[i]] if len(p) == 1 else named[at : at + len(p)]
+                rows.append((*named[i], [(x, *n) for (x, _), n in zip(p, own)]))
+                at += len(p) if len(p) > 1 else 0
             yield pd.DataFrame(rows, columns=["language", "confidence", "segments"])
 
     once = detect.asNondeterministic()
