@@ -201,7 +201,7 @@ def settle(open_: pd.DataFrame, state: pd.DataFrame, classes: list[str]) -> pd.D
     cost = lambda m: (np.abs(m) * weight).sum(-1)
     to = []
     for _, _, v in each:
-        s = int(np.argmin(cost(lack - v) - cost(lack)))
+        s = int(np.argmin(cost(lack - v) - cost(lack) - 1e-6 * lack[:, 0]))  # of equal costs, where most rows are lacking
         lack[s] -= v
         to.append(s)
     for _ in range(20):

@@ -195,3 +195,16 @@ def test_shares_hold_by_language_beside_a_hot_group(spark):
     by = done.groupby("assigned_split")[["n_rows", "n_en", "n_ta"]].sum()
     for s, share in (("train", 0.8), ("dev", 0.1), ("test", 0.1)):
         assert abs(by.n_rows[s] - share * 12_000) <= 12
+
+
+def test_a_hot_group_leaves_every_split_its_languages(spark):
+    """A group with a tenth of all rows, more English than the rest, fits into two splits; it goes where it leaves the languages in proportion."""
+    rng = random.Random(8)
+    rows = [(i, f"en-ins-{0 if i % 10 == 0 else rng.randrange(1, 3000):06d}") for i in range(12_000)]
+    q = spark.createDataFrame([(i, k, k[3:], rng.choice(["en", "en", "hi"] if k.endswith("000000") else ["en", "hi", "ta"]), None, None, None, None, 0, "") for i, k in rows], Q)
+    plan = spark.createDataFrame([("train", 0.7), ("dev", 0.1), ("test", 0.2)], "split_name string, target_share double")
+    done = G.assign_components(G.components(q), plan).toPandas()
+    by = done.groupby("assigned_split")[["n_rows", "n_en", "n_hi", "n_ta"]].sum()
+    for s, share in (("train", 0.7), ("dev", 0.1), ("test", 0.2)):
+        assert abs(by.n_rows[s] - share * 12_000) <= 6
+        assert all(abs(by[c][s] - share * done[c].sum()) <= 0.02 * done[c].sum() for c in ("n_en", "n_hi", "n_ta")), by
