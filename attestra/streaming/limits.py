@@ -163,7 +163,10 @@ def closed_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", ga
 
 
 def admitted_stream(events: DataFrame, limit: int, seconds: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """The streaming form of admitted(): (key, tie, admitted), with a key's last admissions as its state, which the checkpoint keeps over restarts."""
+    """The streaming form of admitted(): (key, tie, admitted), with a key's last admissions as its state, which the checkpoint keeps over restarts.
+
+    The requests of a key that one trigger reads are sorted in memory; maxFilesPerTrigger bounds them.
+    """
     out = f"{key} {dict(events.dtypes)[key]}, {tie} {dict(events.dtypes)[tie]}, admitted boolean"
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
